@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillmesh.functions.text import trim_ws
+from quillmesh.functions.text import let, trim_ws
 
 
 def parse_answer(text: Column) -> Column:
@@ -32,9 +32,12 @@ def as_text(v: Column) -> Column:
 
 def as_items(v: Column) -> Column:
     """Elements when the value is an array, else an empty array."""
-    return F.coalesce(
-        F.when(kind_of(v) == "ARRAY", F.try_variant_get(v, "$", "array<variant>")),
-        F.array().cast("array<variant>"),
+    return let(
+        v,
+        lambda x: F.coalesce(
+            F.when(kind_of(x) == "ARRAY", F.try_variant_get(x, "$", "array<variant>")),
+            F.array().cast("array<variant>"),
+        ),
     )
 
 

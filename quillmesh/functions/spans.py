@@ -40,8 +40,7 @@ def parse_spans(answer: Column, total_lines: Column) -> Column:
             title.alias("t"),
         )
 
-    def clamp(x: Column, i: Column) -> Column:
-        n = total_lines.cast("double")
+    def clamp(x: Column, i: Column, n: Column) -> Column:
         start = F.greatest(F.lit(1.0), F.least(n, x["s"]))
         return F.struct(
             start.alias("start_line"),
@@ -50,10 +49,10 @@ def parse_spans(answer: Column, total_lines: Column) -> Column:
             x["t"].alias("t"),
         )
 
-    def build(items: Column) -> Column:
+    def build(items: Column, n: Column) -> Column:
         broken = F.exists(items, lambda x: F.coalesce(kind_of(x) == "VOID", F.lit(True)))
         finite = F.filter(F.transform(items, one), lambda x: x["s"].isNotNull() & x["e"].isNotNull())
-        ordered = F.array_sort(F.transform(finite, clamp))
+        ordered = F.array_sort(F.transform(finite, lambda x, i: clamp(x, i, n)))
         shaped = F.transform(
             ordered,
             lambda x: F.struct(
@@ -65,7 +64,10 @@ def parse_spans(answer: Column, total_lines: Column) -> Column:
         )
         return F.when(broken, F.array().cast(f"array<{SPAN}>")).otherwise(shaped.cast(f"array<{SPAN}>"))
 
-    return let(as_items(field(parse_answer(answer), "chunks")), build)
+    return let(
+        total_lines.cast("double"),
+        lambda n: let(as_items(field(parse_answer(answer), "chunks")), lambda items: build(items, n)),
+    )
 
 
 def merge_spans(spans: Column) -> Column:

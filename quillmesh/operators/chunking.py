@@ -25,12 +25,16 @@ def chunk_notes(notes: DataFrame, max_chars: int = INDEX_CHUNK_CHARS) -> DataFra
 
 def resolved_spans(answer: Column, cleaned: Column, max_chars: int = INDEX_CHUNK_CHARS) -> Column:
     """Merged model spans of a note, or its rule chunks when there are none."""
-    merged = sp.merge_spans(sp.parse_spans(answer, F.size(lines_of(cleaned))))
-    rules = sp.spans_from_chunks(md.chunks(cleaned, max_chars))
     none = F.array().cast(f"array<{sp.SPAN}>")
-    return F.when(is_blank(cleaned), none).otherwise(
-        let(merged, lambda m: F.when(F.size(m) > 0, m).otherwise(rules))
-    )
+
+    def resolve(text: Column) -> Column:
+        merged = sp.merge_spans(sp.parse_spans(answer, F.size(lines_of(text))))
+        rules = sp.spans_from_chunks(md.chunks(text, max_chars))
+        return F.when(is_blank(text), none).otherwise(
+            let(merged, lambda m: F.when(F.size(m) > 0, m).otherwise(rules))
+        )
+
+    return let(cleaned, resolve)
 
 
 def span_chunks(notes: DataFrame, answers: DataFrame, max_chars: int = INDEX_CHUNK_CHARS) -> DataFrame:
@@ -42,12 +46,8 @@ def span_chunks(notes: DataFrame, answers: DataFrame, max_chars: int = INDEX_CHU
     joined = notes.select("note_path", "content").join(
         answers.select("note_path", "response"), "note_path", "left"
     )
-    cut = let(
-        md.preprocess(F.col("content")),
-        lambda cleaned: sp.slice_spans(
-            F.col("content"), resolved_spans(F.coalesce(F.col("response"), F.lit("")), cleaned, max_chars)
-        ),
-    )
+    spans = resolved_spans(F.coalesce(F.col("response"), F.lit("")), md.preprocess(F.col("content")), max_chars)
+    cut = let(spans, lambda s: sp.slice_spans(F.col("content"), s))
     rows = joined.select("note_path", F.posexplode(cut).alias("index", "c"))
     return rows.select("note_path", "index", *[F.col(f"c.{x}").alias(x) for x in CHUNK_FIELDS])
 
