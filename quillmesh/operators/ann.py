@@ -3,32 +3,42 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillmesh.operators.knn import _rank, _sides, _spec, match_tiles
+from quillmesh.operators import topk_kernel
+from quillmesh.operators.knn import ITEM_TILE, QUERY_TILE, _rank, _sides, _spec, match_tiles
 
-MAX_BUCKET_ROWS = 16384
 
+def hyperplanes(dim: int, bands: int, bits: int, seed: int) -> np.ndarray:
+    """Fixed random directions, (dim, bands * bits), a function of the seed."""
+    return np.random.default_rng(seed).standard_normal((dim, bands * bits)).round(6)
 
-def hyperplanes(dim: int, bands: int, bits: int, seed: int) -> list[list[list[float]]]:
-    """Fixed random directions: bands x bits x dim, a function of the seed."""
-    return np.random.default_rng(seed).standard_normal((bands, bits, dim)).round(6).tolist()
 
+def with_buckets(df: DataFrame, vec_col: str, planes: np.ndarray, bands: int) -> DataFrame:
+    """Add ``buckets``: per band, the number whose bits are the hyperplane sides.
 
-def signature(vec: Column, planes: list[list[float]]) -> Column:
-    """Bucket number whose bits are the sides of the hyperplanes ``vec`` lies on."""
-    terms = []
-    for bit, plane in enumerate(planes):
-        weights = F.array(*[F.lit(x) for x in plane])
-        dot = F.aggregate(
-            F.zip_with(vec, weights, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda acc, x: acc + x
-        )
-        terms.append(F.when(dot >= 0, F.lit(1 << bit)).otherwise(F.lit(0)))
-    out = terms[0]
-    for t in terms[1:]:
-        out = out + t
-    return out
+    Vectors of another size than the hyperplanes get no bucket.
+    """
+
+    def route(batches):
+        for batch in batches:
+            yield topk_kernel.add_buckets(batch, vec_col, planes, bands)
+
+    schema = T.StructType([*df.schema.fields, T.StructField("buckets", T.ArrayType(T.IntegerType()))])
+    return df.mapInArrow(route, schema)
+
+
+def _slots(df: DataFrame, vec_col: str, planes: np.ndarray, bands: int) -> DataFrame:
+    found = with_buckets(df, vec_col, planes, bands)
+    return found.select(*df.columns, F.posexplode("buckets").alias("band", "bucket"))
+
+
+def _pieces(slots: DataFrame, rows: int, name: str) -> DataFrame:
+    """Buckets that must be cut, with the number of pieces."""
+    counts = slots.groupBy("band", "bucket").count().filter(F.col("count") > rows)
+    return F.broadcast(counts.select("band", "bucket", F.ceil(F.col("count") / rows).cast("int").alias(name)))
 
 
 def ann_topk(
@@ -44,53 +54,37 @@ def ann_topk(
     item_vec: str = "content_vec",
     query_key: str = "query_id",
     item_key: str = "chunk_id",
-    max_bucket_rows: int = MAX_BUCKET_ROWS,
+    query_tile: int = QUERY_TILE,
+    item_tile: int = ITEM_TILE,
 ) -> DataFrame:
     """Candidates sharing a bucket in any band, re-ranked by exact cosine.
 
     Rows move once per band to their bucket; inside a bucket the block kernel
-    keeps only ``k`` rows per query.  Buckets above ``max_bucket_rows`` are split
-    into salted sub-buckets on the item side, and their queries visit every
-    sub-bucket, so a crowded bucket costs more tasks, not one big task, and no
-    candidate is lost.  The table of crowded buckets has at most
-    ``bands * 2**bits`` rows, which is why it may be broadcast.
+    keeps only ``k`` rows per query.  A crowded bucket is cut into a grid of
+    query pieces and item pieces that all meet, so it costs more tasks, not one
+    big task, and no candidate is lost.  The tables of crowded buckets have at
+    most ``bands * 2**bits`` rows each, which is why they may be broadcast.
     """
     spec = _spec(k, [("ann", query_vec, item_vec)], query_key, item_key, None, None, None, None, None)
     q, i = _sides(queries, items, spec)
     planes = hyperplanes(dim, bands, bits, seed)
+    q_slots, i_slots = _slots(q, query_vec, planes, bands), _slots(i, item_vec, planes, bands)
+    q_cut, i_cut = _pieces(q_slots, query_tile, "q_n"), _pieces(i_slots, item_tile, "i_n")
+    slot = ["band", "bucket"]
 
-    def routed(df: DataFrame, vec: str) -> DataFrame:
-        slots = F.array(
-            *[
-                F.struct(F.lit(b).alias("band"), signature(F.col(vec), planes[b]).alias("bucket"))
-                for b in range(bands)
-            ]
-        )
-        return df.withColumn("_slot", F.explode(slots)).select(
-            *df.columns, F.col("_slot.band").alias("band"), F.col("_slot.bucket").alias("bucket")
+    def placed(df, own, own_key, other):
+        n_own, n_other = F.coalesce(f"{own}_n", F.lit(1)), F.coalesce(f"{other}_n", F.lit(1))
+        return (
+            df.join(q_cut, slot, "left")
+            .join(i_cut, slot, "left")
+            .withColumn(f"{own}_piece", F.pmod(F.xxhash64(own_key), n_own).cast("int"))
+            .withColumn(f"{other}_piece", F.explode(F.sequence(F.lit(0), n_other - 1)))
+            .drop("q_n", "i_n")
         )
 
-    i_slots = routed(i, item_vec)
-    crowded = (
-        i_slots.groupBy("band", "bucket")
-        .count()
-        .filter(F.col("count") > max_bucket_rows)
-        .select("band", "bucket", F.ceil(F.col("count") / max_bucket_rows).cast("int").alias("salts"))
-    )
-    crowded = F.broadcast(crowded)
-    salts = F.coalesce("salts", F.lit(1))
-    i_routed = (
-        i_slots.join(crowded, ["band", "bucket"], "left")
-        .withColumn("salt", F.pmod(F.xxhash64(item_key), salts).cast("int"))
-        .drop("salts")
-    )
-    q_routed = (
-        routed(q, query_vec)
-        .join(crowded, ["band", "bucket"], "left")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-        .drop("salts")
+    found = match_tiles(
+        placed(q_slots, "q", query_key, "i"), placed(i_slots, "i", item_key, "q"), [*slot, "q_piece", "i_piece"], spec
     )
-    found = match_tiles(q_routed, i_routed, ["band", "bucket", "salt"], spec)
     once = found.groupBy(query_key, "vec_name", item_key).agg(F.max("score").alias("score"))
     return _rank(once, spec).drop("vec_name")
 

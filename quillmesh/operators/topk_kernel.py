@@ -165,3 +165,21 @@ def search(q, batches, spec):
                 ],
                 names=[spec["query_key"], "vec_name", spec["item_key"], "score"],
             )
+
+
+def add_buckets(batch, vec_col, planes, bands):
+    """Append the list column ``buckets`` (one bucket number per band)."""
+    dim, width = planes.shape
+    bits = width // bands
+    n = batch.num_rows
+    numbers = np.zeros((n, bands), dtype=np.int32)
+    known = np.zeros(n, dtype=bool)
+    groups = unit_rows(batch.column(vec_col))[1]
+    if dim in groups:
+        ids, rows = groups[dim]
+        sides = (rows @ planes >= 0).reshape(len(ids), bands, bits)
+        numbers[ids] = (sides * (1 << np.arange(bits))).sum(axis=2)
+        known[ids] = True
+    offsets = pa.array(np.r_[0, np.cumsum(np.where(known, bands, 0))].astype(np.int32))
+    lists = pa.ListArray.from_arrays(offsets, pa.array(numbers[known].ravel()))
+    return pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "buckets"])

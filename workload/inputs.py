@@ -43,7 +43,7 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat("source", F.lit("/"), "lang", F.lit("/doc_"), C("doc_id").cast("string"), F.lit(".md")).alias("note_path"),
         F.concat(F.lit("doc_"), C("doc_id").cast("string")).alias("title"),
         F.concat(front, body).alias("content"),
-        F.lit("2024-01-15 00:00:00").cast("timestamp").alias("mtime"),
+        F.lit("2024-01-15 00:00:00Z").cast("timestamp").alias("mtime"),
         F.array("lang", "source").alias("tags"),
     )
 
@@ -64,7 +64,7 @@ def note_state(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(doc % 5 == 0, F.lit(None).cast("string"))
         .otherwise(F.concat(F.lit("2024-01-"), F.lpad((doc % 28 + 1).cast("string"), 2, "0"), F.lit("T00:00:00.000Z")))
         .alias("me_indexed_at"),
-        F.lit("2024-01-15 00:00:00").cast("timestamp").alias("mtime"),
+        F.lit("2024-01-15 00:00:00Z").cast("timestamp").alias("mtime"),
     )
 
 
@@ -250,7 +250,7 @@ def shape_events(turns: DataFrame) -> DataFrame:
         .otherwise(F.lit(2500))
     )
     content = F.concat(F.array_join(F.collect_list("text").over(w), "\n\n"), F.lit("\n\n"))
-    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    start = F.lit("2024-01-01 00:00:00Z").cast("timestamp")
     return (
         turns.withColumn("content", content)
         .withColumn("ms", F.sum(gap).over(w))

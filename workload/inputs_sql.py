@@ -55,7 +55,7 @@ NOTE_STATE = """note_state as (
     timestamp '2024-01-15 00:00:00' as mtime
   from documents)"""
 
-STAMPS = """stamps as (select *, try_cast(replace(me_indexed_at, 'Z', '') as timestamp) as at from note_state)"""
+STAMPS = """stamps as (select *, try_cast(replace(me_indexed_at, 'Z', '') as timestamp) as stamped from note_state)"""
 
 PROPOSED = """proposed as (
   select note_path, ord, name from (
