@@ -84,11 +84,16 @@ def chunk_payload(annotated: DataFrame, indexed_at: Column) -> DataFrame:
     )
 
 
-def embedding_inputs(payload: DataFrame) -> DataFrame:
-    """The three texts to embed for every chunk."""
+def with_embedding_texts(payload: DataFrame) -> DataFrame:
+    """Add the three texts to embed for every chunk."""
     return payload.select(
-        "chunk_id",
+        "*",
         F.col("content").alias("content_text"),
         or_else(F.col("summary"), F.substring("content", 1, SUMMARY_STAND_IN_CHARS)).alias("summary_text"),
         or_else(F.col("header_path"), F.col("file_path")).alias("title_text"),
     )
+
+
+def embedding_inputs(payload: DataFrame) -> DataFrame:
+    """The three texts alone, by chunk id."""
+    return with_embedding_texts(payload).select("chunk_id", "content_text", "summary_text", "title_text")

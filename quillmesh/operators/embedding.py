@@ -2,82 +2,88 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Embedder = Callable[[Sequence[str]], Sequence[Sequence[float] | None]]
 
+# Text column -> vector column of a chunk.
+CHUNK_TEXTS = {"content_text": "content_vec", "summary_text": "summary_vec", "title_text": "title_vec"}
 
-def embed_texts(
-    texts: DataFrame, embedder: Embedder, *, text_col: str = "text", continue_on_error: bool = False
+
+def embed_columns(
+    df: DataFrame,
+    embedder: Embedder,
+    columns: Mapping[str, str],
+    *,
+    continue_on_error: bool = False,
+    max_texts: int = 256,
 ) -> DataFrame:
-    """Add ``vec`` and ``error`` to every row.
+    """Add one vector column per text column, and ``error`` (NULL when all worked).
 
-    ``embedder`` maps a list of texts to vectors.  Equal texts are embedded once:
-    the distinct texts are embedded and joined back (titles repeat per file).
-    With ``continue_on_error`` a failing batch is retried text by text and each
-    failure becomes an ``error``; otherwise the job fails.
+    ``embedder`` maps a list of at most ``max_texts`` texts to their vectors.
+    Rows stay where they are: no shuffle.  Texts that repeat within an Arrow
+    batch are embedded once, which catches the titles that the chunks of one
+    file share.  With ``continue_on_error`` a failing call is retried text by
+    text and each failure is reported in its row; otherwise the job fails.
     """
+    texts_in, vectors_out = list(columns), list(columns.values())
+
+    def run(batches):
+        import pyarrow as pa
 
-    def run(frames):
-        for frame in frames:
-            batch = frame["text"].tolist()
-            try:
-                vectors, errors = list(embedder(batch)), [None] * len(batch)
-            except Exception:
-                if not continue_on_error:
-                    raise
-                vectors, errors = [], []
-                for text in batch:
-                    try:
-                        vectors.append(embedder([text])[0])
-                        errors.append(None)
-                    except Exception as e:  # noqa: BLE001 - reported per row
-                        vectors.append(None)
-                        errors.append(str(e))
-            frame = frame.assign(
-                vec=[None if v is None else [float(x) for x in v] for v in vectors], error=errors
+        for batch in batches:
+            per_column = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in texts_in]
+            distinct = list(dict.fromkeys(t for texts in per_column for t in texts if t is not None))
+            vectors, errors = {}, {}
+            for start in range(0, len(distinct), max_texts):
+                part = distinct[start : start + max_texts]
+                try:
+                    vectors.update(zip(part, embedder(part), strict=True))
+                except Exception:
+                    if not continue_on_error:
+                        raise
+                    for text in part:
+                        try:
+                            vectors[text] = embedder([text])[0]
+                        except Exception as e:  # noqa: BLE001 - reported per row
+                            errors[text] = str(e) or type(e).__name__
+            added = [
+                pa.array([vectors.get(t) if t is not None else None for t in texts], pa.list_(pa.float32()))
+                for texts in per_column
+            ]
+            failed = [next((errors[t] for t in row if t in errors), None) for row in zip(*per_column)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *added, pa.array(failed, pa.string())],
+                names=[*batch.schema.names, *vectors_out, "error"],
             )
-            yield frame[["text", "vec", "error"]]
 
-    distinct = texts.select(F.col(text_col).alias("text")).distinct()
-    done = distinct.mapInPandas(run, "text string, vec array<float>, error string")
-    done = done.withColumnRenamed("text", "_text")
-    return texts.join(done, texts[text_col].eqNullSafe(done["_text"]), "left").drop("_text")
+    schema = T.StructType(
+        [
+            *df.schema.fields,
+            *[T.StructField(v, T.ArrayType(T.FloatType())) for v in vectors_out],
+            T.StructField("error", T.StringType()),
+        ]
+    )
+    return df.mapInArrow(run, schema)
+
+
+def embed_texts(df: DataFrame, embedder: Embedder, *, text_col: str = "text", **options) -> DataFrame:
+    """Add ``vec`` and ``error`` for one text column."""
+    return embed_columns(df, embedder, {text_col: "vec"}, **options)
 
 
 def split_results(embedded: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with a vector, and rows with an error."""
+    """Rows with all vectors, and rows with an error."""
     return (
         embedded.filter(F.col("error").isNull()).drop("error"),
-        embedded.filter(F.col("error").isNotNull()).drop("vec"),
+        embedded.filter(F.col("error").isNotNull()),
     )
 
 
-def embed_chunks(inputs: DataFrame, embedder: Embedder, **options) -> DataFrame:
-    """(chunk_id, content_text, summary_text, title_text) -> three vectors per chunk."""
-    rows = inputs.select(
-        "chunk_id",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(v).alias("vec_name"), F.col(t).alias("text"))
-                    for v, t in (
-                        ("content_vec", "content_text"),
-                        ("summary_vec", "summary_text"),
-                        ("title_vec", "title_text"),
-                    )
-                ]
-            )
-        ).alias("x"),
-    ).select("chunk_id", "x.vec_name", "x.text")
-    done = embed_texts(rows, embedder, **options)
-    pick = lambda v: F.first(F.when(F.col("vec_name") == v, F.col("vec")), ignorenulls=True).alias(v)
-    return done.groupBy("chunk_id").agg(pick("content_vec"), pick("summary_vec"), pick("title_vec"))
-
-
 def check_dimension(vectors: DataFrame, vec_col: str, expected: int) -> DataFrame:
     """Rows whose vector has another size than the model's."""
     return vectors.filter(F.size(vec_col) != expected)

@@ -90,14 +90,9 @@ def register_or_match(
     ranked = nearest(
         incoming, registry, 2, vectors=CONCEPT_VECTORS, query_key="ord", item_key="concept", **knn_options
     )
-    top = ranked.groupBy("ord").agg(
-        *[
-            F.max(F.when((F.col("vec_name") == v) & (F.col("rank") == 1), F.struct("concept", "score"))).alias(a)
-            for v, a in (("concept_vec", "s"),)
-        ]
-    )
-    strict_hit = top.filter(F.col("s.score") >= strict).select(
-        "ord", F.col("s.concept").alias("strict_concept"), F.col("s.score").alias("strict_score")
+    nearest_name = (F.col("vec_name") == "concept_vec") & (F.col("rank") == 1)
+    strict_hit = ranked.filter(nearest_name & (F.col("score") >= strict)).select(
+        "ord", F.col("concept").alias("strict_concept"), F.col("score").alias("strict_score")
     )
     base = incoming.select("ord", "name", "reason").join(strict_hit, "ord", "left")
     if loose is None:
@@ -166,7 +161,7 @@ def elect_leaders(candidates: DataFrame, threshold: float = STRICT_THRESHOLD, **
         flagged.filter("nonzero").groupBy("name_vec").agg(F.min("ord").alias("ord")).select("ord", "name_vec"),
         "undecided",
     )
-    leaders = materialize(alone, "leaders")
+    leaders = alone
     same = {
         "k": 1,
         "vectors": [("name", "name_vec", "name_vec")],
@@ -177,8 +172,8 @@ def elect_leaders(candidates: DataFrame, threshold: float = STRICT_THRESHOLD, **
     while not undecided.isEmpty():
         others = undecided.select(F.col("ord").alias("other"), "name_vec")
         behind = nearest(undecided, others, query_order="ord", item_order="other", **same, **knn_options)
-        new = materialize(undecided.join(behind.select("ord"), "ord", "left_anti"), "round")
-        leaders = materialize(leaders.unionByName(new.select("ord")), "leaders")
+        new = materialize(undecided.join(behind.select("ord"), "ord", "left_anti"), "leaders")
+        leaders = leaders.unionByName(new.select("ord"))
         near = nearest(undecided, new.select(F.col("ord").alias("other"), "name_vec"), **same, **knn_options)
         undecided = materialize(undecided.join(near.select("ord"), "ord", "left_anti"), "undecided")
     return leaders

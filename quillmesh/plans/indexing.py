@@ -11,24 +11,26 @@ from quillmesh.operators.chunking import (
     annotate_chunks,
     chunk_notes,
     chunk_payload,
-    embedding_inputs,
     span_chunks,
+    with_embedding_texts,
 )
 from quillmesh.operators.concepts import concept_rows, dedup_concepts
-from quillmesh.operators.embedding import Embedder, embed_chunks
+from quillmesh.operators.embedding import CHUNK_TEXTS, Embedder, embed_columns
 from quillmesh.operators.notes import needs_reindex
 from quillmesh.sources.index_store import replace_files
 
 
 class Indexed(NamedTuple):
+    """Index rows with their three vectors, and the concepts found per note."""
+
     rows: DataFrame
     concepts: DataFrame
 
 
 def _finish(chunks: DataFrame, answers: DataFrame, embedder: Embedder, indexed_at: Column) -> Indexed:
     annotated = annotate_chunks(chunks, answers)
-    payload = chunk_payload(annotated, indexed_at)
-    rows = payload.join(embed_chunks(embedding_inputs(payload), embedder), "chunk_id")
+    texts = with_embedding_texts(chunk_payload(annotated, indexed_at))
+    rows = embed_columns(texts, embedder, CHUNK_TEXTS).drop(*CHUNK_TEXTS, "error")
     found = dedup_concepts(concept_rows(annotated), order=("index", "pos"))
     return Indexed(rows, found)
 

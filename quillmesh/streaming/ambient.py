@@ -32,18 +32,21 @@ def start_recommender(
     interval: str | None = None,
     **debounce_options,
 ) -> StreamingQuery:
-    """Stream of editor changes -> recommendation rows under ``path``.
+    """Stream of editor changes -> tables ``paragraphs`` and ``recommendations`` under ``path``.
 
-    ``index`` is called per batch so that fresh index rows are seen.  Each batch
-    overwrites its own folder, so a retry repeats nothing.
+    ``index`` is called per batch so that fresh index rows are seen.  The
+    paragraphs of a batch are stored before they are searched, so the stateful
+    part of the stream runs once; each batch overwrites its own folders, so a
+    retry repeats nothing.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            recommend(batch, index(), embed, limit).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-        finally:
-            batch.unpersist()
+        stored = f"{path}/paragraphs/batch_id={batch_id}"
+        batch.write.mode("overwrite").parquet(stored)
+        found = batch.sparkSession.read.schema(batch.schema).parquet(stored)
+        recommend(found, index(), embed, limit).write.mode("overwrite").parquet(
+            f"{path}/recommendations/batch_id={batch_id}"
+        )
 
     writer = (
         debounce_stream(events, **debounce_options)

@@ -8,6 +8,7 @@ from quillmesh.functions import metadata as meta
 from quillmesh.operators import concepts as con
 from quillmesh.operators import notes as state
 from quillmesh.operators import registry as reg
+from quillmesh.session import materialize
 from workload import inputs as src
 from workload import inputs_sql as sql
 
@@ -220,8 +221,13 @@ def q_register_or_match(spark, d):
     )
 
 
+def tables(spark, d):
+    """Incoming concepts and registry as stored tables, as a job would find them."""
+    return materialize(src.incoming(spark, d), "incoming"), materialize(src.registry(spark, d), "registry")
+
+
 def q_register_batch(spark, d):
-    r = reg.register_batch(src.incoming(spark, d), src.registry(spark, d))
+    r = reg.register_batch(*tables(spark, d))
     return r.select("ord", "matched", "concept", "summary", F.round("similarity", 6).alias("similarity"), "is_new", "link", "created_by")
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions.vectors import hash_embedding
 from quillmesh.operators import chunking
+from quillmesh.operators import registry as reg
+from quillmesh.operators.concepts import resolve_concepts, review_select
 from quillmesh.plans import indexing, review
 from quillmesh.session import fresh_path
 from quillmesh.sources import index_store as store
@@ -13,6 +15,7 @@ from quillmesh.streaming import ambient, paragraphs, sink
 from workload import concept_queries as cq
 from workload import inputs as src
 from workload import inputs_sql as sql
+from workload import text_queries as tq
 from workload import vector_queries as vq
 
 C = F.col
@@ -166,11 +169,17 @@ def _embedder(dim=vq.DIM):
     return embed
 
 
+def answers_per_chunk(notes):
+    """The note's answer for every chunk number it can possibly have."""
+    most = F.size(F.split("content", "\n", -1)) + F.floor(F.length("content") / MAX).cast("int")
+    a = src.metadata_answers(notes)
+    return a.select("note_path", "response", F.explode(F.sequence(F.lit(0), most)).alias("index"))
+
+
 def _unified(spark, d):
     notes = src.notes(spark, d)
     spans = src.span_answers(notes).select("note_path", "response")
-    answers = src.metadata_answers(notes).select("note_path", "response")
-    indexes = chunking.span_chunks(notes, spans, MAX).select("note_path", "index").join(answers, "note_path")
+    indexes = answers_per_chunk(notes)
     return indexing.unified_index(notes, spans, indexes, _embedder(), F.lit(NOW_MS).cast("bigint"), MAX)
 
 
@@ -184,9 +193,10 @@ def q_unified_index(spark, d):
 
 def q_apply_concepts(spark, d):
     """Reviewer's choice applied to the notes of the incoming concepts."""
-    incoming, registry = src.incoming(spark, d), src.registry(spark, d)
-    proposed = cq._resolved(spark, d)
-    chosen = review_selected(proposed)
+    incoming, registry = cq.tables(spark, d)
+    matches = reg.register_or_match(incoming, registry)
+    proposed = resolve_concepts(incoming, matches)
+    chosen = review_select(proposed, *cq._selection(proposed))
     own = incoming.select("ord", "name_vec", "reason_vec")
     known = registry.select(C("concept").alias("matched"), C("concept_vec").cast("array<double>").alias("known_vec"))
     selected = (
@@ -203,12 +213,6 @@ def q_apply_concepts(spark, d):
     return applied.note_state.select("note_path", F.array_join("me_concepts", "|").alias("me_concepts"), "me_indexed_at")
 
 
-def review_selected(proposed):
-    from quillmesh.operators.concepts import review_select
-
-    return review_select(proposed, *cq._selection(proposed))
-
-
 # ------------------------------------------------------------- streams
 
 
@@ -243,7 +247,7 @@ def q_ambient_recommend(spark, d):
     run()
     tick.write.mode("append").parquet(source)
     run()
-    recs = spark.read.parquet(path)
+    recs = spark.read.parquet(f"{path}/recommendations")
     return recs.select("query_id", C("rank").cast("bigint").alias("rank"), "note_path", "title", F.round("similarity", 6).alias("similarity"), "excerpt")
 
 
@@ -275,7 +279,35 @@ found as (select *, length(paragraph) as char_count from judged where paragraph
 )
 _EVC = "select editor_id, turn, cursor, paragraph, char_count from found"
 
+_UNIFIED = tq.RESOLVED + """, cut as (
+  select r.note_path, r.span_no, case when r.header_path = '' then r.title else r.header_path end as header_path,
+    array_to_string(""" + sql.lines("o.content") + """[r.start_line:r.end_line], chr(10)) as content
+  from resolved r join raw_notes o using (note_path)),
+""" + sql.ANSWERS.replace("from notes", "from raw_notes") + ",\n" + tq.META + ",\n" + tq.META_ROWS + """,
+names as (select note_path, string_agg(name, '|' order by pos) as concepts from concepts_out group by note_path),
+payload as (
+  select c.note_path || '-chunk-' || c.span_no as chunk_id, c.note_path as file_path, c.header_path, c.content,
+    case when blank then '' else m.summary end as summary,
+    case when blank then '' else array_to_string(list_filter([m.tags, m.category], lambda x: x <> ''), '|') end as tags,
+    case when blank then '' else coalesce(n.concepts, '') end as concepts, length(c.content) as word_count
+  from (select *, """ + sql.trim("content") + """ = '' as blank from cut) c join meta m using (note_path) left join names n using (note_path)),
+u_content as (select chunk_id as key, content as text from payload),
+u_summary as (select chunk_id as key, case when summary <> '' then summary else substr(content, 1, 200) end as text from payload),
+u_title as (select chunk_id as key, case when header_path <> '' then header_path else file_path end as text from payload),
+""" + ",\n".join(vq._hash_vec(f"uv_{n}", f"u_{n}") for n in ("content", "summary", "title"))
+
+_AMBIENT = _EV.rstrip() + """,
+fired as (select editor_id || '@' || epoch_us(ts) as key, paragraph as text from found where next_ts is null or next_ts - ts >= interval 1 second),
+""" + vq.TEXT_INDEX + ",\n" + vq._hash_vec("v_query", "fired") + """,
+text_queries as (select key as query_id, v as query_vec, '' as exclude_path from v_query),
+""" + vq._three(False, "text_index", "text_queries", 5) + ",\n" + vq._fuse("fused", ["kc", "ks", "kt"], 5) + "\n" + vq._FORMAT.format(index="text_index", queries="text_queries")
+
 SQL = {
+    "unified_index": _UNIFIED + f"""
+select p.chunk_id, file_path, header_path, summary, tags, concepts, word_count, {NOW_MS}::bigint as indexed_at,
+  round(c.v[3]::float::double, 6) as content_vec, round(s.v[3]::float::double, 6) as summary_vec, round(t.v[3]::float::double, 6) as title_vec
+from payload p join uv_content c on c.key = p.chunk_id join uv_summary s on s.key = p.chunk_id join uv_title t on t.key = p.chunk_id""",
+    "ambient_recommend": _AMBIENT,
     "index_upsert": _IDX
     + f"""select {_COLS} from (
   select chunk_id, file_path, 'v2 ' || content as summary, tags, title_vec as content_vec from chunk_index where {_EVEN}

@@ -322,7 +322,7 @@ merged as (
   from grouped group by note_path, island)"""
 
 # Rule chunks of the *masked* text: the chunk CTEs run over notes whose content is the mask.
-_RESOLVED = sql.with_(
+RESOLVED = sql.with_(
     sql.NOTES.replace("notes as (", "raw_notes as (", 1),
     sql.LINES.replace("lines as (", "raw_lines as (", 1).replace("from notes", "from raw_notes"),
     sql.KINDS.replace("from lines", "from raw_lines"),
@@ -345,7 +345,7 @@ _RESOLVED = sql.with_(
 
 _ANSWERED = sql.with_(sql.NOTES, sql.SPAN_ANSWERS, _SPANS)
 
-_META = f"""parsed as (
+META = f"""parsed as (
   select note_path, content, doc_id, regexp_replace(response, '```json\\n?|\\n?```', '', 'g') as j from answers),
 usable as (select *, json_valid(j) as ok, case when json_valid(j) then j else '{{}}' end as js from parsed),
 tag_items as (
@@ -378,9 +378,9 @@ concept_best as (
 concepts_out as (
   select note_path, name, confidence, row_number() over (partition by note_path order by first_k) - 1 as pos from concept_best
   qualify pos < 5)"""
-_META_BASE = (sql.NOTES, sql.ANSWERS, _META)
+META_BASE = (sql.NOTES, sql.ANSWERS, META)
 
-_META_ROWS = """meta as (
+META_ROWS = """meta as (
   select u.note_path, u.ok, case when u.ok then coalesce(json_extract_string(js, '$.summary'), '') else '' end as summary,
     coalesce(t.tags, '') as tags,
     case when not u.ok then '' when json_extract_string(js, '$.category') in ('技术笔记', '生活日记', '读书笔记', '想法灵感', '工作记录')
@@ -398,8 +398,8 @@ _PAYLOAD = sql.with_(
     *_BASE,
     sql.chunk_ctes(MAX),
     sql.ANSWERS,
-    _META,
-    _META_ROWS,
+    META,
+    META_ROWS,
     """names as (select note_path, string_agg(name, '|' order by pos) as concepts from concepts_out group by note_path),
 payload as (
   select c.note_path || '-chunk-' || c.index as chunk_id, c.note_path as file_path, c.header_path, c.start_line, c.end_line,
@@ -451,8 +451,8 @@ from (select *, unnest(range(0, ((length(line) + {MAX - 1}) // {MAX})::bigint))
 from (select *, count(*) over (partition by note_path) as total from lines) group by note_path""",
     "normalize_spans": _ANSWERED + "select note_path, span_no, start_line, end_line, title, header_path from norm",
     "merge_spans": _ANSWERED + "select note_path, span_no, start_line, end_line, title, header_path from merged",
-    "spans_fallback": _RESOLVED + "select * from resolved",
-    "slice_spans": _RESOLVED
+    "spans_fallback": RESOLVED + "select * from resolved",
+    "slice_spans": RESOLVED
     + f"""select note_path, span_no as index, start_pos, start_pos + length(content) as end_pos, start_line, end_line, content, header_path
 from (
   select r.note_path, r.span_no, r.start_line, r.end_line, case when r.header_path = '' then r.title else r.header_path end as header_path,
@@ -489,11 +489,11 @@ where {sql.trim('query')} <> '' group by note_path""",
   group by note_path) t using (note_path)""",
     "normalize_category": sql.with_(sql.NOTES)
     + "select note_path, case when doc_id % 3 = 0 then '读书笔记' else '技术笔记' end as category from notes",
-    "normalize_concepts": sql.with_(*_META_BASE) + "select note_path, pos, name, confidence from concepts_out",
-    "normalize_metadata": sql.with_(*_META_BASE, _META_ROWS)
+    "normalize_concepts": sql.with_(*META_BASE) + "select note_path, pos, name, confidence from concepts_out",
+    "normalize_metadata": sql.with_(*META_BASE, META_ROWS)
     + """select note_path, summary, tags, category, coalesce(c.concepts, '') as concepts from meta left join (
   select note_path, string_agg(name || '=' || confidence::decimal(6,2), '|' order by pos) as concepts from concepts_out group by note_path) c using (note_path)""",
-    "concept_reason": sql.with_(*_META_BASE, _META_ROWS, sql.LINES, sql.HEADERS, sql.HEADER_PATHS)
+    "concept_reason": sql.with_(*META_BASE, META_ROWS, sql.LINES, sql.HEADERS, sql.HEADER_PATHS)
     + f"""select c.note_path, c.pos, c.name, c.confidence,
   case when {sql.trim('m.summary')} <> '' then {sql.trim('m.summary')} when coalesce(p.header_path, '') <> '' then '片段主题: ' || p.header_path else '来自片段内容' end as reason
 from concepts_out c join meta m using (note_path) left join header_paths p on p.note_path = c.note_path and p.h = 1""",

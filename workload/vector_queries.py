@@ -197,9 +197,9 @@ def _fuse(name, sets, limit, k=60, weights=None):
   qualify rank <= {limit})"""
 
 
-def _three(tags, index="chunk_index", queries="queries"):
+def _three(tags, index="chunk_index", queries="queries", limit=LIMIT):
     return ",\n".join(
-        _knn(n, v, 2 * LIMIT, tags, index, queries) for n, v in (("kc", "content_vec"), ("ks", "summary_vec"), ("kt", "title_vec"))
+        _knn(n, v, 2 * limit, tags, index, queries) for n, v in (("kc", "content_vec"), ("ks", "summary_vec"), ("kt", "title_vec"))
     )
 
 
@@ -236,20 +236,25 @@ def _hash_vec(name, source):
     group by key))"""
 
 
+TEXT_INDEX = ",\n".join(
+    (
+        "t_content as (select doc_id as key, text from documents)",
+        "t_summary as (select doc_id as key, lang || ' ' || source as text from documents)",
+        "t_title as (select doc_id as key, '# ' || source as text from documents)",
+        _hash_vec("v_content", "t_content"),
+        _hash_vec("v_summary", "t_summary"),
+        _hash_vec("v_title", "t_title"),
+        """text_index as (
+  select d.doc_id as vec_id, 'n/' || (doc_id // 2) || '.md-chunk-' || (doc_id % 2) as chunk_id, 'n/' || (doc_id // 2) || '.md' as file_path,
+    '# ' || source as header_path, text as content, '' as summary, c.v as content_vec, s.v as summary_vec, t.v as title_vec
+  from documents d join v_content c on c.key = doc_id join v_summary s on s.key = doc_id join v_title t on t.key = doc_id)""",
+    )
+)
 _RELATED = sql.with_(
-    "t_content as (select doc_id as key, text from documents)",
-    "t_summary as (select doc_id as key, lang || ' ' || source as text from documents)",
-    "t_title as (select doc_id as key, '# ' || source as text from documents)",
+    TEXT_INDEX,
     "t_query as (select doc_id as key, '# ' || source || chr(10) || text as text from documents where doc_id % 2 = 0)",
-    _hash_vec("v_content", "t_content"),
-    _hash_vec("v_summary", "t_summary"),
-    _hash_vec("v_title", "t_title"),
     _hash_vec("v_query", "t_query"),
-    """text_index as (
-  select d.doc_id as vec_id, 'n/' || (doc_id // 2) || '.md-chunk-' || (doc_id % 2) as chunk_id, 'n/' || (doc_id // 2) || '.md' as file_path,
-    '# ' || source as header_path, text as content, '' as summary, c.v as content_vec, s.v as summary_vec, t.v as title_vec
-  from documents d join v_content c on c.key = doc_id join v_summary s on s.key = doc_id join v_title t on t.key = doc_id),
-text_queries as (select key as query_id, v as query_vec, 'n/' || (key // 2) || '.md' as exclude_path from v_query)""",
+    "text_queries as (select key as query_id, v as query_vec, 'n/' || (key // 2) || '.md' as exclude_path from v_query)",
     _three(False, "text_index", "text_queries"),
     _fuse("fused", ["kc", "ks", "kt"], LIMIT),
 ) + _FORMAT.format(index="text_index", queries="text_queries")
