@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillmesh.functions.text import SPACE, is_blank, let, lines_of, rtrim_ws, trim_ws
+from quillmesh.functions.text import SPACE, is_blank, let, lines_of, ltrim_ws, rtrim_ws, trim_ws
 
 DEFAULT_MAX_CHARS = 800
 
-HEADER = "level int, header_text string, position int, line_no int"
+HEADER = "struct<level:int,header_text:string,position:int,line_no:int>"
 PATH_STEP = "array<struct<level:int,text:string>>"
 SECTION = (
     f"struct<content:string,path:{PATH_STEP},header_path:string,"
@@ -43,37 +43,27 @@ def _empty(sql_type: str) -> Column:
 # ---------------------------------------------------------------- headers
 
 
-def _header_level(line: Column) -> Column:
-    return F.length(F.regexp_extract(line, rf"^[{SPACE}]*(#+)", 1))
-
-
-def _header_text(line: Column) -> Column:
-    return trim_ws(F.regexp_replace(line, rf"^[{SPACE}]*#+", ""))
-
-
 def _headers_of_lines(lines: Column) -> Column:
     def step(acc: Column, line: Column) -> Column:
-        level = _header_level(line)
-        found = F.array(
-            F.struct(
-                level.alias("level"),
-                _header_text(line).alias("header_text"),
+        def with_header(t: Column) -> Column:
+            rest = F.ltrim(t, F.lit("#"))
+            text = trim_ws(rest)
+            found = F.struct(
+                (F.length(t) - F.length(rest)).alias("level"),
+                text.alias("header_text"),
                 acc["pos"].alias("position"),
                 acc["line_no"].alias("line_no"),
             )
-        )
-        hit = (level > 0) & (_header_text(line) != "")
+            hit = F.startswith(t, F.lit("#")) & (text != "")
+            return F.when(hit, F.concat(acc["found"], F.array(found))).otherwise(acc["found"])
+
         return F.struct(
             (acc["pos"] + F.length(line) + 1).alias("pos"),
             (acc["line_no"] + 1).alias("line_no"),
-            F.when(hit, F.concat(acc["found"], found)).otherwise(acc["found"]).alias("found"),
+            let(ltrim_ws(line), with_header).alias("found"),
         )
 
-    start = F.struct(
-        F.lit(0).alias("pos"),
-        F.lit(1).alias("line_no"),
-        _empty(f"array<struct<{HEADER.replace(' int', ':int').replace(' string', ':string')}>>").alias("found"),
-    )
+    start = F.struct(F.lit(0).alias("pos"), F.lit(1).alias("line_no"), _empty(f"array<{HEADER}>").alias("found"))
     return F.aggregate(lines, start, step, lambda acc: acc["found"])
 
 
@@ -275,7 +265,7 @@ def is_fence(trimmed: Column) -> Column:
 
 def is_image(trimmed: Column) -> Column:
     embed = F.contains(trimmed, F.lit("![[")) & F.contains(trimmed, F.lit("]]"))
-    return embed | trimmed.rlike(IMAGE_LINK)
+    return embed | (F.contains(trimmed, F.lit("![")) & trimmed.rlike(IMAGE_LINK))
 
 
 def is_separator(line: Column) -> Column:
@@ -288,10 +278,10 @@ def frontmatter_lines(lines: Column) -> Column:
 
     def measure(trimmed: Column) -> Column:
         close = F.array_position(F.slice(trimmed, F.lit(2), F.greatest(F.size(trimmed) - 1, F.lit(0))), F.lit("---"))
-        opened = F.get(trimmed, F.lit(0)) == "---"
-        return F.when(opened & (close > 0), close.cast("int") + 1).otherwise(F.lit(0))
+        return F.when(close > 0, close.cast("int") + 1).otherwise(F.lit(0))
 
-    return let(F.transform(lines, trim_ws), measure)
+    opened = trim_ws(F.get(lines, F.lit(0))) == "---"
+    return F.when(opened, let(F.transform(lines, trim_ws), measure)).otherwise(F.lit(0))
 
 
 LINE = (
@@ -317,7 +307,9 @@ def _classified(lines: Column) -> Column:
                     F.when(fence, trim_ws(F.regexp_replace(t, "^```+", ""))).otherwise(F.lit("")).alias("lang"),
                     (~front & is_image(t)).alias("image"),
                     F.contains(line, F.lit("|")).alias("pipe"),
-                    F.coalesce(is_separator(nxt), F.lit(False)).alias("sep_next"),
+                    F.when(F.contains(line, F.lit("|")), F.coalesce(is_separator(nxt), F.lit(False)))
+                    .otherwise(F.lit(False))
+                    .alias("sep_next"),
                 )
 
             return let(trim_ws(line), parts)

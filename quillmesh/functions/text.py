@@ -11,11 +11,16 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters that count as whitespace when trimming note text.
+# The characters that count as whitespace when trimming note text,
+# as a pattern class and as plain characters.
 SPACE = (
     r"\t\n\x{0B}\f\r\x{20}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 )
+SPACE_CHARS = (
+    "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -29,15 +34,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def trim_ws(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(c, F.lit(SPACE_CHARS))
+
+
+def ltrim_ws(c: Column) -> Column:
+    return F.ltrim(c, F.lit(SPACE_CHARS))
 
 
 def rtrim_ws(c: Column) -> Column:
-    return F.regexp_replace(c, rf"[{SPACE}]+\z", "")
+    return F.rtrim(c, F.lit(SPACE_CHARS))
 
 
 def is_blank(c: Column) -> Column:
-    return F.coalesce(trim_ws(c), F.lit("")) == ""
+    """NULL or whitespace only; stops at the first other character."""
+    return ~F.coalesce(c.rlike(f"[^{SPACE}]"), F.lit(False))
 
 
 def or_else(c: Column, *fallbacks: Column) -> Column:

@@ -338,6 +338,55 @@ resolved as (
     case when o.is_new then 'new' else 'alias' end as match_type, round(o.similarity, 6) as match_confidence
   from incoming i join outcome o using (ord))"""
 _MATCHED = sql.with_(sql.EMB, sql.REGISTRY, sql.INCOMING, _MATCH)
+
+# Sequential registration: candidates in order, a candidate leads unless an earlier leader is near.
+_BATCH = """cand as (select i.ord, i.name_vec, row_number() over (order by i.ord) as idx from incoming i join outcome o using (ord) where o.is_new),
+near_earlier as (
+  select a.idx, list(b.ord) as earlier from cand a join cand b on b.ord < a.ord
+  where round(list_cosine_similarity(a.name_vec, b.name_vec), 9) >= 0.9 group by a.idx),
+ballots as (select c.idx, c.ord, coalesce(n.earlier, []) as earlier from cand c left join near_earlier n using (idx)),
+elect(idx, leaders) as (
+  select 0::bigint, []::bigint[]
+  union all
+  select e.idx + 1, case when list_has_any(b.earlier, e.leaders) then e.leaders else list_append(e.leaders, b.ord) end
+  from elect e join ballots b on b.idx = e.idx + 1),
+leader_ids as (select unnest(leaders) as ord from elect where idx = (select max(idx) from elect)),
+leaders as (select i.ord as created_by, i.name as new_name, i.reason as new_summary, i.name_vec from incoming i join leader_ids using (ord)),
+near_new as (
+  select i.ord, l.created_by, l.new_name, l.new_summary, round(list_cosine_similarity(i.name_vec, l.name_vec), 9) as new_score
+  from incoming i join leaders l on l.created_by < i.ord
+  where round(list_cosine_similarity(i.name_vec, l.name_vec), 9) >= 0.9
+  qualify row_number() over (partition by i.ord order by new_score desc, l.created_by) = 1),
+batch as (
+  select o.ord, use_new or o.matched as matched, case when use_new then new_name else o.concept end as concept,
+    case when use_new then new_summary else o.summary end as summary,
+    round(case when use_new then new_score else o.similarity end, 6) as similarity, not use_new and o.is_new as is_new,
+    '[[_me/' || case when use_new then new_name else o.concept end || ']]' as link,
+    case when use_new then created_by when o.is_new then o.ord end as created_by
+  from (
+    select o.*, n.created_by, n.new_name, n.new_summary, n.new_score,
+      n.new_score is not null and (o.match_kind <> 'strict' or n.new_score > o.similarity) as use_new
+    from outcome o left join near_new n using (ord)) o)"""
+BATCHED = sql.with_(sql.EMB, sql.REGISTRY, sql.INCOMING, _MATCH, _BATCH, recursive=True)
+# The same over the confirmed rows: the matched name takes the known concept's vector.
+APPLIED = sql.with_(
+    sql.EMB,
+    sql.REGISTRY,
+    sql.INCOMING.replace("incoming as (", "extracted as (", 1),
+    *[
+        _MATCH.replace("from incoming i", "from extracted i")
+        .replace("sims as", "sims0 as").replace("from sims ", "from sims0 ").replace("by_name", "by_name0").replace("by_reason", "by_reason0")
+        .replace("loose_scores", "loose_scores0").replace("loose as", "loose0 as").replace("join loose lo", "join loose0 lo")
+        .replace("matches", "matches0").replace("outcome", "outcome0")
+    ],
+    """incoming as (
+  select r.ord, r.note_path, r.matched_concept as name, r.reason, coalesce(k.concept_vec, x.name_vec) as name_vec, x.reason_vec, x.confidence
+  from resolved r join extracted x using (ord) left join registry k on k.concept = r.matched_concept
+  where regexp_extract(r.note_path, 'doc_(\\d+)', 1)::bigint % 10 <> 9 and r.name in (select name from resolved where ord % 3 <> 0))""",
+    _MATCH[: _MATCH.index(",\nresolved as")],
+    _BATCH,
+    recursive=True,
+)
 _REG = sql.with_(sql.EMB, sql.REGISTRY)
 _UPD = """updates as (
   select case when n % 2 = 0 then concept else 'Fresh_' || n end as concept, 'now ' || n as summary, '[[pages/' || n || ']]' as link,
@@ -412,6 +461,7 @@ and name in (select name from resolved where ord % 3 <> 0)""",
     "loose_match": _MATCHED + "select ord, concept, round(score, 6) as score, rank from loose",
     "register_or_match": _MATCHED
     + "select ord, matched, concept, summary, round(similarity, 6) as similarity, is_new, link, match_kind from outcome",
+    "register_batch": BATCHED + "select * from batch",
     "concept_upsert": sql.with_(sql.EMB, sql.REGISTRY, _UPD)
     + f"""select coalesce(r.concept, u.concept) as concept, coalesce(u.summary, r.summary) as summary, coalesce(u.link, r.link) as link,
   coalesce(r.note_count, 1) as note_count, {_fmt(f"coalesce(r.first_seen_at, timestamp '{NOW}')")} as first_seen_at,

@@ -308,6 +308,12 @@ select p.chunk_id, file_path, header_path, summary, tags, concepts, word_count,
   round(c.v[3]::float::double, 6) as content_vec, round(s.v[3]::float::double, 6) as summary_vec, round(t.v[3]::float::double, 6) as title_vec
 from payload p join uv_content c on c.key = p.chunk_id join uv_summary s on s.key = p.chunk_id join uv_title t on t.key = p.chunk_id""",
     "ambient_recommend": _AMBIENT,
+    "apply_concepts": cq.APPLIED
+    + f""", names as (
+  select note_path, string_agg('[[_me/' || concept || ']]', '|' order by o) as links from (
+    select i.note_path, b.concept, min(b.ord) as o from batch b join incoming i using (ord) group by 1, 2) group by 1)
+select p.note_path, '[[_me/Kept]]' || coalesce('|' || links, '') as me_concepts, case when links is not null then '{cq.NOW_ISO}' end as me_indexed_at
+from (select distinct note_path from extracted) p left join names using (note_path)""",
     "index_upsert": _IDX
     + f"""select {_COLS} from (
   select chunk_id, file_path, 'v2 ' || content as summary, tags, title_vec as content_vec from chunk_index where {_EVEN}
