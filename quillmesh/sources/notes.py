@@ -16,24 +16,26 @@ def title_of(path):
 def read_vault(spark: SparkSession, root: str) -> DataFrame:
     """Every markdown file under ``root``: (note_path, title, content, mtime).
 
-    ``note_path`` is relative to the root.
+    ``note_path`` is relative to the root.  Spark's file sources list non-empty
+    files only; an empty note yields no chunk, so only file counts can differ.
     """
     raw = (
-        spark.read.option("recursiveFileLookup", "true")
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.md")
-        .text(root, wholetext=True)
-        .select("value", "_metadata.file_path", "_metadata.file_modification_time")
+        .load(root)
+        .select("path", "content", "modificationTime")
     )
     base = root.rstrip("/").split("://")[-1]
     if base.startswith("file:"):
         base = base[len("file:") :]
-    path = F.url_decode(F.regexp_replace("file_path", r"^[a-z0-9]+:(//[^/]*)?(?=/)", ""))
+    path = F.regexp_replace("path", r"^[a-z0-9]+:(//[^/]*)?(?=/)", "")
     relative = F.substring(path, F.lit(len(base) + 2), F.length(path))
     return raw.select(
         relative.alias("note_path"),
         title_of(relative).alias("title"),
-        F.col("value").alias("content"),
-        F.col("file_modification_time").alias("mtime"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
+        F.col("modificationTime").alias("mtime"),
     )
 
 

@@ -20,7 +20,6 @@ def start_sink(
     *,
     order: str = "seq",
     interval: str | None = FLUSH_INTERVAL,
-    version_by_order: bool = False,
 ) -> StreamingQuery:
     """Write a stream of index rows to the log, last write per id in each batch.
 
@@ -28,14 +27,11 @@ def start_sink(
     repeated batch neither loses nor duplicates rows.  ``interval=None`` drains
     what is available and stops.  The size of a batch is set at the source
     (for files, ``maxFilesPerTrigger``).
-
-    Rows are versioned by batch, then by ``order`` within it; with
-    ``version_by_order`` by ``order`` alone, for sources that deliver out of order.
+    Rows are versioned by batch, then by ``order`` within it.
     """
 
     def flush(batch: DataFrame, batch_id: int) -> None:
-        batch_no = F.lit(0 if version_by_order else batch_id).cast("bigint")
-        version = F.struct(batch_no.alias("batch"), F.col(order).alias("seq"))
+        version = F.struct(F.lit(batch_id).cast("bigint").alias("batch"), F.col(order).alias("seq"))
         rows = latest_pending(batch, order).withColumn("version", version).drop(order)
         if "deleted" not in rows.columns:
             rows = rows.withColumn("deleted", F.lit(False))

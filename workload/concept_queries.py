@@ -340,18 +340,18 @@ resolved as (
 _MATCHED = sql.with_(sql.EMB, sql.REGISTRY, sql.INCOMING, _MATCH)
 
 # Sequential registration: candidates in order, a candidate leads unless an earlier leader is near.
-_BATCH = """cand as (select i.ord, i.name_vec, row_number() over (order by i.ord) as idx from incoming i join outcome o using (ord) where o.is_new),
-near_earlier as (
+_BATCH = """cand as materialized (select i.ord, i.name_vec, row_number() over (order by i.ord) as idx from incoming i join outcome o using (ord) where o.is_new),
+near_earlier as materialized (
   select a.idx, list(b.ord) as earlier from cand a join cand b on b.ord < a.ord
   where round(list_cosine_similarity(a.name_vec, b.name_vec), 9) >= 0.9 group by a.idx),
-ballots as (select c.idx, c.ord, coalesce(n.earlier, []) as earlier from cand c left join near_earlier n using (idx)),
+ballots as materialized (select c.idx, c.ord, coalesce(n.earlier, []) as earlier from cand c left join near_earlier n using (idx)),
 elect(idx, leaders) as (
   select 0::bigint, []::bigint[]
   union all
   select e.idx + 1, case when list_has_any(b.earlier, e.leaders) then e.leaders else list_append(e.leaders, b.ord) end
   from elect e join ballots b on b.idx = e.idx + 1),
 leader_ids as (select unnest(leaders) as ord from elect where idx = (select max(idx) from elect)),
-leaders as (select i.ord as created_by, i.name as new_name, i.reason as new_summary, i.name_vec from incoming i join leader_ids using (ord)),
+leaders as materialized (select i.ord as created_by, i.name as new_name, i.reason as new_summary, i.name_vec from incoming i join leader_ids using (ord)),
 near_new as (
   select i.ord, l.created_by, l.new_name, l.new_summary, round(list_cosine_similarity(i.name_vec, l.name_vec), 9) as new_score
   from incoming i join leaders l on l.created_by < i.ord

@@ -105,24 +105,19 @@ def q_queue_drop_file(spark, d):
 
 
 def _drained(spark, d):
-    """Write the pending rows as files, stream them through the sink, return the log."""
+    """Stream the first and then the late queue writes through the sink; the log."""
     source, path, checkpoint = (fresh_path(spark, n) for n in ("pending", "log", "ckpt"))
     rows = _pending(spark, d)
-    rows.repartitionByRange(4, "seq").sortWithinPartitions("seq").write.parquet(source)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    sink.start_sink(stream, path, checkpoint, interval=None).awaitTermination()
+    late = C("summary").startswith("late ")
+    for part in (rows.filter(~late), rows.filter(late)):
+        part.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        sink.start_sink(stream, path, checkpoint, interval=None).awaitTermination()
     return path
 
 
 def q_micro_batch_sink(spark, d):
-    """Rows stored after streaming the queue in several batches (files may arrive
-    in any order, so the version is the write number, not the batch)."""
-    source, path, checkpoint = (fresh_path(spark, n) for n in ("pending", "log", "ckpt"))
-    rows = _pending(spark, d)
-    rows.repartition(4).write.parquet(source)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    sink.start_sink(stream, path, checkpoint, interval=None, version_by_order=True).awaitTermination()
-    return _index_out(sink.stored_rows(spark, path))
+    return _index_out(sink.stored_rows(spark, _drained(spark, d)))
 
 
 def q_sink_stats(spark, d):
@@ -330,6 +325,7 @@ from (select distinct note_path from extracted) p left join names using (note_pa
     + "select chunk_id, round(content_vec[1], 6) as content_vec, round(content_vec[1], 6) as summary_vec, round(content_vec[1], 6) as title_vec from chunk_index",
     "queue_by_file": _PEND + f"select {_COLS}, seq from latest where file_path in (select file_path from busy)",
     "queue_drop_file": _PEND + f"select {_COLS}, seq from latest where file_path not in (select file_path from busy)",
+    "sink_stats": _PEND + "select count(*) as total_flushed, 2::bigint as flush_count, 0::bigint as failed_flushes from pending",
     "micro_batch_sink": _PEND + f"select {_COLS} from latest",
     "incremental_index": sql.with_(*sql.CHUNK_BASE, sql.chunk_ctes(MAX), sql.NOTE_STATE, sql.STAMPS,
     """stale as (select note_path from stamps where me_indexed_at is null or me_indexed_at = '' or coalesce(mtime > stamped, false))""",

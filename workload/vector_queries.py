@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions.vectors import MODEL_DIMENSIONS, cosine_similarity, dimension_of, hash_embedding
 from quillmesh.operators import search
-from quillmesh.operators.ann import ann_topk
+from quillmesh.operators.ann import ann_topk, hyperplanes
 from quillmesh.operators.fusion import DEFAULT_WEIGHTS, combine_results, rrf_fusion
 from quillmesh.operators.hotset import hot_set
 from quillmesh.operators.knn import nearest
@@ -17,6 +17,7 @@ C = F.col
 LIMIT = search.DEFAULT_LIMIT
 DIM = 16
 HOT_BUDGET = 60_000
+ANN_DIM, ANN_BANDS, ANN_BITS, ANN_SEED = 64, 16, 4, 7
 
 
 def _scored(df, extra=()):
@@ -57,8 +58,9 @@ def q_cosine_similarity(spark, d):
 
 
 def q_ann_topk(spark, d):
-    dim = len(src.table(spark, d, "embeddings").first()["embedding"])
-    return _scored(ann_topk(_q(spark, d), src.chunk_index(spark, d), LIMIT, dim=dim))
+    return _scored(
+        ann_topk(_q(spark, d), src.chunk_index(spark, d), LIMIT, dim=ANN_DIM, bands=ANN_BANDS, bits=ANN_BITS, seed=ANN_SEED)
+    )
 
 
 def q_tag_filter(spark, d):
@@ -259,6 +261,21 @@ _RELATED = sql.with_(
     _fuse("fused", ["kc", "ks", "kt"], LIMIT),
 ) + _FORMAT.format(index="text_index", queries="text_queries")
 
+_PLANES = ", ".join(
+    f"({i}, {[float(x) for x in plane]}::double[])" for i, plane in enumerate(hyperplanes(ANN_DIM, ANN_BANDS, ANN_BITS, ANN_SEED).T)
+)
+_ANN = f"""planes(p, w) as (values {_PLANES}),
+slots as (
+  select e.vec_id, p.p // {ANN_BITS} as band, sum(case when list_dot_product(e.v, p.w) >= 0 then 1 << (p.p % {ANN_BITS}) else 0 end) as bucket
+  from emb e, planes p group by 1, 2),
+near as (
+  select distinct q.vec_id as query_id, c.vec_id from slots q join slots c on c.band = q.band and c.bucket = q.bucket),
+approx as (
+  select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from (
+    select n.query_id, c.chunk_id, round(list_cosine_similarity(q.query_vec, c.content_vec), 9) as score
+    from near n join queries q using (query_id) join chunk_index c on c.vec_id = n.vec_id)
+  qualify rank <= {LIMIT})"""
+
 _MODELS = ", ".join(f"('{m}', {n})" for m, n in MODEL_DIMENSIONS.items())
 
 SQL = {
@@ -266,6 +283,7 @@ SQL = {
     "cosine_similarity": _BASE
     + """select chunk_id, round(list_cosine_similarity(content_vec, summary_vec), 6) as content_summary,
   round(list_cosine_similarity(content_vec, title_vec), 6) as content_title, 0.0::double as other_size, 0.0::double as zero_norm from chunk_index""",
+    "ann_topk": sql.with_(*_CTE, _ANN) + _OUT + "approx",
     "tag_filter": sql.with_(*_CTE, _knn("top", "content_vec", LIMIT, True)) + _OUT + "top",
     "fused_search": _FUSED + _OUT + "fused",
     "rrf_fusion": sql.with_(*_CTE, _three(True), _fuse("fused", ["ks", "kc"], LIMIT, k=10)) + _OUT + "fused",
