@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmesh.operators import topk_kernel
-from quillmesh.operators.knn import ITEM_TILE, QUERY_TILE, _rank, _sides, _spec, match_tiles
+from quillmesh.operators.knn import _rank, _sides, _spec, match_tiles
+
+BUCKET_ROWS = 32_768
 
 
 def hyperplanes(dim: int, bands: int, bits: int, seed: int) -> np.ndarray:
@@ -54,8 +56,8 @@ def ann_topk(
     item_vec: str = "content_vec",
     query_key: str = "query_id",
     item_key: str = "chunk_id",
-    query_tile: int = QUERY_TILE,
-    item_tile: int = ITEM_TILE,
+    query_tile: int = BUCKET_ROWS,
+    item_tile: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Candidates sharing a bucket in any band, re-ranked by exact cosine.
 

@@ -2,7 +2,7 @@
 
 Two plans, chosen by a counted bound on the query side:
 
-* up to ``broadcast_rows`` queries: the queries are broadcast and the item table
+* up to ``broadcast_rows`` queries (and 256 MB of them): the queries are broadcast and the item table
   is scanned once, without moving any item row; every task emits at most ``k``
   rows per query and vector, and a window (with its map-side group limit) merges
   them;
@@ -30,8 +30,12 @@ from quillmesh.operators import topk_kernel
 cloudpickle.register_pickle_by_value(topk_kernel)
 
 BROADCAST_QUERIES = 2048
-QUERY_TILE = 2048
-ITEM_TILE = 16384
+BROADCAST_BYTES = 256 * 1024 * 1024
+# Tiles of both sides hold about this much vector data (within the row bounds).
+# Equal tiles move the least data, |Q| * |N| * (1/q_tile + 1/i_tile) rows in all.
+TILE_BYTES = 128 * 1024 * 1024
+TILE_ROWS = (1024, 262_144)
+TILES_PER_TASK = 4
 
 VectorPair = tuple[str, str, str]
 
@@ -87,8 +91,7 @@ def match_tiles(q_routed: DataFrame, i_routed: DataFrame, tile: Sequence[str], s
     def evaluate(q_table, i_table):
         import pyarrow as pa
 
-        q = topk_kernel.prepare_queries(q_table, spec)
-        found = list(topk_kernel.search(q, i_table.to_batches(), spec))
+        found = list(topk_kernel.search_table(q_table, i_table, spec))
         arrow = pa.schema(
             [
                 (spec["query_key"], q_table.schema.field(spec["query_key"]).type),
@@ -102,14 +105,22 @@ def match_tiles(q_routed: DataFrame, i_routed: DataFrame, tile: Sequence[str], s
     return q_routed.groupBy(*tile).cogroup(i_routed.groupBy(*tile)).applyInArrow(evaluate, schema)
 
 
+def _tile_rows(sample) -> int:
+    """Rows per tile, from the average size of the sampled query rows."""
+    per_row = max(1, sample.nbytes // max(1, sample.num_rows))
+    return min(TILE_ROWS[1], max(TILE_ROWS[0], TILE_BYTES // per_row))
+
+
 def _tiled(q: DataFrame, i: DataFrame, spec: dict, query_tile: int, item_tile: int) -> DataFrame:
     n_q = max(1, -(-q.count() // query_tile))
     n_i = max(1, -(-i.count() // item_tile))
+    tasks = max(int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_q * n_i // TILES_PER_TASK))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     own = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     q_routed = q.withColumn("q_tile", own(spec["query_key"], n_q)).withColumn("i_tile", every(n_i))
     i_routed = i.withColumn("i_tile", own(spec["item_key"], n_i)).withColumn("q_tile", every(n_q))
-    return match_tiles(q_routed, i_routed, ["q_tile", "i_tile"], spec)
+    tile = ["q_tile", "i_tile"]
+    return match_tiles(q_routed.repartition(tasks, *tile), i_routed.repartition(tasks, *tile), tile, spec)
 
 
 def nearest(
@@ -126,8 +137,8 @@ def nearest(
     query_order: str | None = None,
     item_order: str | None = None,
     broadcast_rows: int = BROADCAST_QUERIES,
-    query_tile: int = QUERY_TILE,
-    item_tile: int = ITEM_TILE,
+    query_tile: int | None = None,
+    item_tile: int | None = None,
 ) -> DataFrame:
     """Top ``k`` items per query for each (name, query column, item column).
 
@@ -138,8 +149,9 @@ def nearest(
     spec = _spec(k, vectors, query_key, item_key, query_tags, item_tags, min_score, query_order, item_order)
     q, i = _sides(queries, items, spec)
     probe = q.limit(broadcast_rows + 1).toArrow()
-    if probe.num_rows > broadcast_rows:
-        return _rank(_tiled(q, i, spec, query_tile, item_tile), spec)
+    if probe.num_rows > broadcast_rows or probe.nbytes > BROADCAST_BYTES:
+        rows = _tile_rows(probe)
+        return _rank(_tiled(q, i, spec, query_tile or rows, item_tile or rows), spec)
 
     shared = q.sparkSession.sparkContext.broadcast(topk_kernel.prepare_queries(probe, spec))
 

@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 
 SCORE_DECIMALS = 9
 ITEM_BLOCK = 1024
+QUERY_BLOCK = 2048
 
 
 def _flat(column):
@@ -167,6 +168,13 @@ def search(q, batches, spec):
             )
 
 
+def search_table(q_table, i_table, spec):
+    """Tile against tile, in query blocks so that score matrices stay small."""
+    batches = i_table.to_batches()
+    for start in range(0, q_table.num_rows, QUERY_BLOCK):
+        yield from search(prepare_queries(q_table.slice(start, QUERY_BLOCK), spec), batches, spec)
+
+
 def add_buckets(batch, vec_col, planes, bands):
     """Append the list column ``buckets`` (one bucket number per band)."""
     dim, width = planes.shape

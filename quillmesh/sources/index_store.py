@@ -27,22 +27,29 @@ def as_tombstones(index: DataFrame, ids: DataFrame, version: Column) -> DataFram
 
 
 def current_view(log: DataFrame) -> DataFrame:
-    """Newest live row per chunk id.
+    """Newest live row per chunk id; a (chunk id, version) pair occurs once.
 
-    Versions order the rows of an id; an aggregation with map-side combine picks
-    the newest, so re-indexed chunks are reduced before the shuffle.
+    A narrow aggregation over ids, versions and tombstones finds the ids written
+    more than once.  All other rows, normally almost the whole log, pass an
+    anti-join untouched, so their vectors are neither sorted nor grouped, and
+    need no shuffle while the list of rewritten ids is small enough to broadcast
+    (Spark's own size threshold decides).
     """
-    payload = [c for c in log.columns if c not in ("chunk_id", "version")]
-    newest = log.groupBy("chunk_id").agg(F.max_by(F.struct(*payload), "version").alias("r"))
-    return newest.filter(~F.col("r.deleted")).select(
-        "chunk_id", *[F.col(f"r.{c}").alias(c) for c in payload if c != "deleted"]
+    history = log.groupBy("chunk_id").agg(
+        F.count(F.lit(1)).alias("_writes"),
+        F.max("version").alias("version"),
+        F.max_by("deleted", "version").alias("_gone"),
     )
+    touched = history.filter((F.col("_writes") > 1) | F.col("_gone"))
+    single = log.join(touched.select("chunk_id"), "chunk_id", "left_anti")
+    newest = log.join(touched.filter(~F.col("_gone")).select("chunk_id", "version"), ["chunk_id", "version"], "left_semi")
+    return single.unionByName(newest).drop("version", "deleted")
 
 
 def upsert(index: DataFrame, rows: DataFrame) -> DataFrame:
-    """Index after an upsert of rows with the same columns (last write wins)."""
-    old = as_upserts(index, F.lit(0))
-    return current_view(old.unionByName(as_upserts(rows.select(*index.columns), F.lit(1))))
+    """Index after an upsert of rows with distinct ids and the same columns."""
+    kept = index.join(rows.select("chunk_id"), "chunk_id", "left_anti")
+    return kept.select(*index.columns).unionByName(rows.select(*index.columns))
 
 
 def delete_ids(index: DataFrame, ids: DataFrame) -> DataFrame:

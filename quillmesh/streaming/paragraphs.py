@@ -13,6 +13,8 @@ MIN_CHARS = 100
 DEBOUNCE_MS = 1000
 RECOMMEND_LIMIT = 5
 
+SLICE_SECONDS = 3600
+
 
 def finished_paragraph(content: Column, cursor: Column) -> Column:
     """Trimmed paragraph that a double line break just ended, else NULL."""
@@ -31,14 +33,29 @@ def extract_paragraphs(events: DataFrame, min_chars: int = MIN_CHARS) -> DataFra
     return out.filter(qualifies(F.col("paragraph"), min_chars)).withColumn("char_count", F.length("paragraph"))
 
 
-def debounce(events: DataFrame, min_chars: int = MIN_CHARS, debounce_ms: int = DEBOUNCE_MS) -> DataFrame:
-    """Batch form: qualifying changes that no change follows within the quiet time."""
+def debounce(
+    events: DataFrame, min_chars: int = MIN_CHARS, debounce_ms: int = DEBOUNCE_MS, slice_seconds: int = SLICE_SECONDS
+) -> DataFrame:
+    """Batch form: qualifying changes that no change follows within the quiet time.
+
+    The follower of a change is looked up within slices of one editor's time
+    line, so an editor with very many changes is spread over many tasks.  Each
+    slice also sees the first change of the next one; a change further away than
+    that is later than the quiet time in any case.
+    """
     if debounce_ms <= 0:
         return extract_paragraphs(events, min_chars)
-    nxt = F.lead("ts").over(W.partitionBy("editor_id").orderBy("ts"))
+    width = max(slice_seconds * 1_000_000, debounce_ms * 1000)
+    slim = events.withColumn("paragraph", finished_paragraph(F.col("content"), F.col("cursor"))).drop("content")
+    sliced = slim.withColumn("_slice", F.floor(F.unix_micros("ts") / F.lit(width)))
+    firsts = events.select("editor_id", "ts", F.floor(F.unix_micros("ts") / F.lit(width)).alias("_slice"))
+    firsts = firsts.groupBy("editor_id", "_slice").agg(F.min("ts").alias("ts")).withColumn("_slice", F.col("_slice") - 1)
+    both = sliced.withColumn("_own", F.lit(True)).unionByName(
+        firsts.withColumn("_own", F.lit(False)), allowMissingColumns=True
+    )
+    nxt = F.lead("ts").over(W.partitionBy("editor_id", "_slice").orderBy("ts"))
     quiet = nxt.isNull() | (F.unix_micros(nxt) - F.unix_micros("ts") >= debounce_ms * 1000)
-    narrow = events.withColumn("paragraph", finished_paragraph(F.col("content"), F.col("cursor"))).drop("content")
-    out = narrow.withColumn("quiet", quiet).filter("quiet").drop("quiet")
+    out = both.withColumn("_quiet", quiet).filter("_own and _quiet").drop("_slice", "_own", "_quiet")
     return out.filter(qualifies(F.col("paragraph"), min_chars)).withColumn("char_count", F.length("paragraph"))
 
 

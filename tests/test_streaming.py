@@ -51,6 +51,7 @@ def fired(df):
 
 def test_debounce_batch(spark):
     assert fired(par.debounce(events(spark, ROWS))) == WANT
+    assert fired(par.debounce(events(spark, ROWS), slice_seconds=1)) == WANT
     assert len(fired(par.debounce(events(spark, ROWS), debounce_ms=0))) == 4
 
 

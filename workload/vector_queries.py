@@ -84,9 +84,10 @@ def q_weighted_fusion(spark, d):
 
 
 def _hits(spark, d):
-    index = src.chunk_index(spark, d)
-    found = search.fused_search(_q(spark, d), index, LIMIT, query_tags=None)
-    return search.with_payload(found, index, "file_path", "header_path", "summary", "content")
+    index, q = src.chunk_index(spark, d), _q(spark, d)
+    found = search.fused_search(q, index, LIMIT, query_tags=None)
+    small = search.few_results(q, LIMIT)
+    return search.with_payload(found, index, "file_path", "header_path", "summary", "content", small=small)
 
 
 def q_exclude_path(spark, d):
