@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions.links import DEFAULT_PREFIX, wrap
+from quillmesh.functions.text import let
 from quillmesh.operators.fusion import rrf_fusion
 from quillmesh.operators.knn import nearest
 from quillmesh.session import materialize
@@ -90,32 +91,50 @@ def register_or_match(
     ranked = nearest(
         incoming, registry, 2, vectors=CONCEPT_VECTORS, query_key="ord", item_key="concept", **knn_options
     )
-    nearest_name = (F.col("vec_name") == "concept_vec") & (F.col("rank") == 1)
-    strict_hit = ranked.filter(nearest_name & (F.col("score") >= strict)).select(
-        "ord", F.col("concept").alias("strict_concept"), F.col("score").alias("strict_score")
+    # At most two neighbours per vector: four entries per item, already on one task.
+    found = ranked.groupBy("ord").agg(F.collect_list(F.struct("vec_name", "rank", "concept", "score")).alias("near"))
+    by_name = F.filter("near", lambda x: (x["vec_name"] == "concept_vec") & (x["rank"] == 1) & (x["score"] >= strict))
+    eligible = F.col("near") if min_cosine is None else F.filter("near", lambda x: x["score"] >= min_cosine)
+    no_loose = F.lit(None).cast("struct<concept:string,score:double>")
+    base = found.select(
+        "ord",
+        F.get(by_name, F.lit(0)).alias("s"),
+        (no_loose if loose is None else _agreed(eligible, loose)).alias("l"),
+    ).select(
+        "ord",
+        F.col("s.concept").alias("strict_concept"),
+        F.col("s.score").alias("strict_score"),
+        F.col("l.concept").alias("loose_concept"),
+        F.col("l.score").alias("loose_score"),
+    )
+    return _outcome(incoming.select("ord", "name", "reason").join(base, "ord", "left"), registry, prefix)
+
+
+def _agreed(near: Column, threshold: float) -> Column:
+    """Best fused neighbour of one item, or NULL below the threshold.
+
+    The same ranking as ``loose_match`` for a list of a few entries.
+    """
+
+    def rank_in(entries: Column, vec_name: str, concept: Column) -> Column:
+        hit = F.filter(entries, lambda x: (x["vec_name"] == vec_name) & (x["concept"] == concept))
+        return F.get(hit, F.lit(0))["rank"]
+
+    def fuse(entries: Column) -> Column:
+        def one(concept: Column) -> Column:
+            r = [rank_in(entries, v[0], concept) for v in CONCEPT_VECTORS]
+            score = sum((F.coalesce(F.lit(1.0) / (F.lit(float(CONCEPT_RRF_K)) + x), F.lit(0.0)) for x in r[1:]),
+                        F.coalesce(F.lit(1.0) / (F.lit(float(CONCEPT_RRF_K)) + r[0]), F.lit(0.0)))
+            met_first = F.when(r[0].isNotNull(), r[0]).otherwise(r[1] + 1000)
+            return F.struct((-score).alias("neg"), met_first.alias("met"), concept.alias("concept"), score.alias("score"))
+
+        names = F.array_distinct(F.transform(entries, lambda x: x["concept"]))
+        return F.array_min(F.transform(names, one))
+
+    return let(
+        let(near, fuse),
+        lambda b: F.when(b["score"] >= threshold, F.struct(b["concept"].alias("concept"), b["score"].alias("score"))),
     )
-    base = incoming.select("ord", "name", "reason").join(strict_hit, "ord", "left")
-    if loose is None:
-        base = base.withColumn("loose_concept", F.lit(None).cast("string")).withColumn(
-            "loose_score", F.lit(None).cast("double")
-        )
-    else:
-        eligible = ranked if min_cosine is None else ranked.filter(F.col("score") >= min_cosine)
-        fused = rrf_fusion(
-            eligible,
-            [v[0] for v in CONCEPT_VECTORS],
-            1,
-            k=CONCEPT_RRF_K,
-            query_key="ord",
-            item_key="concept",
-            min_score=loose,
-        )
-        base = base.join(
-            fused.select("ord", F.col("concept").alias("loose_concept"), F.col("score").alias("loose_score")),
-            "ord",
-            "left",
-        )
-    return _outcome(base, registry, prefix)
 
 
 def _outcome(base: DataFrame, known: DataFrame, prefix: str) -> DataFrame:

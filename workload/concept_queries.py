@@ -139,12 +139,15 @@ def q_concept_filter(spark, d):
     return kept.select("note_path", "ord", "name", "confidence", C("pick").cast("bigint").alias("pick"))
 
 
-def _matches(spark, d, loose=reg.LOOSE_THRESHOLD):
-    return reg.register_or_match(src.incoming(spark, d), src.registry(spark, d), loose=loose)
+def tables(spark, d):
+    """Incoming concepts and registry as stored tables, as a job would find them."""
+    return materialize(src.incoming(spark, d), "incoming"), materialize(src.registry(spark, d), "registry")
 
 
 def _resolved(spark, d):
-    return con.resolve_concepts(src.incoming(spark, d), _matches(spark, d))
+    """The stored table of proposals that a review works on."""
+    incoming, registry = tables(spark, d)
+    return materialize(con.resolve_concepts(incoming, reg.register_or_match(incoming, registry)), "proposed")
 
 
 def _resolved_out(df, *keys):
@@ -216,16 +219,11 @@ def q_loose_match(spark, d):
 
 
 def q_register_or_match(spark, d):
-    return _matches(spark, d).select(
+    return reg.register_or_match(*tables(spark, d)).select(
         "ord", "matched", "concept", "summary", F.round("similarity", 6).alias("similarity"), "is_new", "link", "match_kind"
     )
 
 
-def tables(spark, d):
-    """Incoming concepts and registry as stored tables, as a job would find them."""
-    return materialize(src.incoming(spark, d), "incoming"), materialize(src.registry(spark, d), "registry")
-
-
 def q_register_batch(spark, d):
     r = reg.register_batch(*tables(spark, d))
     return r.select("ord", "matched", "concept", "summary", F.round("similarity", 6).alias("similarity"), "is_new", "link", "created_by")

@@ -9,7 +9,7 @@ from quillmesh.operators import chunking
 from quillmesh.operators import registry as reg
 from quillmesh.operators.concepts import resolve_concepts, review_select
 from quillmesh.plans import indexing, review
-from quillmesh.session import fresh_path
+from quillmesh.session import fresh_path, materialize
 from quillmesh.sources import index_store as store
 from quillmesh.streaming import ambient, paragraphs, sink
 from workload import concept_queries as cq
@@ -67,9 +67,10 @@ def q_index_count(spark, d):
 
 def q_index_clear(spark, d):
     i = _index(spark, d)
-    after = store.count_points(store.cleared(i)).withColumnRenamed("points", "points_after").withColumn("k", F.lit(1))
-    before = store.count_points(i).withColumnRenamed("points", "points_before").withColumn("k", F.lit(1))
-    return before.join(after, "k").drop("k")
+    rows = i.select(F.lit("before").alias("state")).unionByName(store.cleared(i).select(F.lit("after").alias("state")))
+    return rows.agg(
+        F.count_if(C("state") == "before").alias("points_before"), F.count_if(C("state") == "after").alias("points_after")
+    )
 
 
 def q_index_stats(spark, d):
@@ -190,7 +191,7 @@ def q_apply_concepts(spark, d):
     """Reviewer's choice applied to the notes of the incoming concepts."""
     incoming, registry = cq.tables(spark, d)
     matches = reg.register_or_match(incoming, registry)
-    proposed = resolve_concepts(incoming, matches)
+    proposed = materialize(resolve_concepts(incoming, matches), "proposed")
     chosen = review_select(proposed, *cq._selection(proposed))
     own = incoming.select("ord", "name_vec", "reason_vec")
     known = registry.select(C("concept").alias("matched"), C("concept_vec").cast("array<double>").alias("known_vec"))
