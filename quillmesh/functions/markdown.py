@@ -218,8 +218,10 @@ def _locate_parts(section: Column, parts: Column) -> Column:
     """
 
     def step(acc: Column, part: Column) -> Column:
-        consumed = F.substring(section["content"], acc["rel"] + 1, F.length(part))
-        breaks = F.length(consumed) - F.length(F.replace(consumed, F.lit("\n"), F.lit("")))
+        breaks = let(
+            F.substring(section["content"], acc["rel"] + 1, F.length(part)),
+            lambda consumed: F.length(consumed) - F.length(F.replace(consumed, F.lit("\n"), F.lit(""))),
+        )
         end_rel = acc["rel"] + F.length(part)
         end_line = acc["line"] + breaks
         chunk = F.struct(

@@ -1,17 +1,20 @@
 """Nearest-neighbour joins on named vectors (exact cosine top-k).
 
-Two plans, chosen by a counted bound on the query side:
+Three plans, chosen by counted bounds on both sides:
 
-* up to ``broadcast_rows`` queries (and 256 MB of them): the queries are broadcast and the item table
+* up to ``broadcast_rows`` queries (and 128 MB of them): the queries are broadcast and the item table
   is scanned once, without moving any item row; every task emits at most ``k``
   rows per query and vector, and a window (with its map-side group limit) merges
   them;
-* beyond it: both sides are cut into hash tiles of bounded size and every query
+* more queries, but at most ``BROADCAST_ITEMS`` items (a concept registry, say):
+  the items are broadcast and the queries are scanned in place; every query sees
+  all items in one task, so nothing is shuffled or merged;
+* otherwise: both sides are cut into hash tiles of bounded size and every query
   tile meets every item tile exactly once through a co-group on the tile pair.
   Tiles come from hashes of unique keys, so no source, folder or tag can make a
   tile large, and again only ``k`` rows per query leave a tile pair.
 
-Both are exact and give identical rows.
+All are exact and give identical rows.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillmesh.operators import topk_kernel
 
@@ -30,7 +34,8 @@ from quillmesh.operators import topk_kernel
 cloudpickle.register_pickle_by_value(topk_kernel)
 
 BROADCAST_QUERIES = 2048
-BROADCAST_BYTES = 256 * 1024 * 1024
+BROADCAST_ITEMS = 65_536
+BROADCAST_BYTES = 128 * 1024 * 1024
 # Tiles of both sides hold about this much vector data (within the row bounds).
 # Equal tiles move the least data, |Q| * |N| * (1/q_tile + 1/i_tile) rows in all.
 TILE_BYTES = 128 * 1024 * 1024
@@ -73,6 +78,7 @@ def _schema(q: DataFrame, i: DataFrame, spec: dict) -> T.StructType:
             T.StructField("vec_name", T.StringType()),
             T.StructField(spec["item_key"], i.schema[spec["item_key"]].dataType),
             T.StructField("score", T.DoubleType()),
+            T.StructField("rank", T.IntegerType()),
         ]
     )
 
@@ -87,20 +93,18 @@ def _rank(found: DataFrame, spec: dict) -> DataFrame:
 def match_tiles(q_routed: DataFrame, i_routed: DataFrame, tile: Sequence[str], spec: dict) -> DataFrame:
     """Evaluate every pair of query and item tiles that share the tile key."""
     schema = _schema(q_routed, i_routed, spec)
+    arrow = to_arrow_schema(schema)
+    # Both sides may read the same table; renaming keeps their columns apart in the co-group.
+    own = [c for c in i_routed.columns if c not in tile]
+    i_routed = i_routed.select(*tile, *[F.col(c).alias(f"_item_{c}") for c in own])
 
     def evaluate(q_table, i_table):
-        import pyarrow as pa
-
-        found = list(topk_kernel.search_table(q_table, i_table, spec))
-        arrow = pa.schema(
-            [
-                (spec["query_key"], q_table.schema.field(spec["query_key"]).type),
-                ("vec_name", pa.string()),
-                (spec["item_key"], i_table.schema.field(spec["item_key"]).type),
-                ("score", pa.float64()),
-            ]
-        )
-        return pa.Table.from_batches(found, schema=arrow)
+        found = []
+        if q_table.num_rows and i_table.num_rows:
+            i_table = i_table.rename_columns([c.removeprefix("_item_") for c in i_table.schema.names])
+            blocks = list(topk_kernel.item_blocks(i_table.to_batches(), spec))
+            found = list(topk_kernel.search_table(q_table, blocks, spec))
+        return topk_kernel.as_table(found, arrow)
 
     return q_routed.groupBy(*tile).cogroup(i_routed.groupBy(*tile)).applyInArrow(evaluate, schema)
 
@@ -123,6 +127,22 @@ def _tiled(q: DataFrame, i: DataFrame, spec: dict, query_tile: int, item_tile: i
     return match_tiles(q_routed.repartition(tasks, *tile), i_routed.repartition(tasks, *tile), tile, spec)
 
 
+def _may_fit(probe, rows: int) -> bool:
+    """Whether a sample of that many rows is safe to fetch, going by the query rows."""
+    return rows * (probe.nbytes // max(1, probe.num_rows)) <= 4 * BROADCAST_BYTES
+
+
+def _scan_queries(q: DataFrame, i: DataFrame, items, spec: dict) -> DataFrame:
+    shared = q.sparkSession.sparkContext.broadcast(items)
+
+    def scan(batches):
+        blocks = list(topk_kernel.item_blocks(shared.value.to_batches(), spec))
+        for batch in batches:
+            yield from topk_kernel.search_table(batch, blocks, spec)
+
+    return q.mapInArrow(scan, _schema(q, i, spec))
+
+
 def nearest(
     queries: DataFrame,
     items: DataFrame,
@@ -137,6 +157,7 @@ def nearest(
     query_order: str | None = None,
     item_order: str | None = None,
     broadcast_rows: int = BROADCAST_QUERIES,
+    broadcast_items: int = BROADCAST_ITEMS,
     query_tile: int | None = None,
     item_tile: int | None = None,
 ) -> DataFrame:
@@ -150,12 +171,15 @@ def nearest(
     q, i = _sides(queries, items, spec)
     probe = q.limit(broadcast_rows + 1).toArrow()
     if probe.num_rows > broadcast_rows or probe.nbytes > BROADCAST_BYTES:
+        few = i.limit(broadcast_items + 1).toArrow() if _may_fit(probe, broadcast_items) else None
+        if few is not None and few.num_rows <= broadcast_items and few.nbytes <= BROADCAST_BYTES:
+            return _scan_queries(q, i, few, spec)
         rows = _tile_rows(probe)
         return _rank(_tiled(q, i, spec, query_tile or rows, item_tile or rows), spec)
 
     shared = q.sparkSession.sparkContext.broadcast(topk_kernel.prepare_queries(probe, spec))
 
     def scan(batches):
-        yield from topk_kernel.search(shared.value, batches, spec)
+        yield from topk_kernel.search(shared.value, topk_kernel.item_blocks(batches, spec), spec)
 
     return _rank(i.mapInArrow(scan, _schema(q, i, spec)), spec)

@@ -64,7 +64,7 @@ def prepare_queries(table, spec):
         sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
         q["unfiltered"] = sizes == 0
     if spec["query_order"]:
-        q["order"] = table.column(spec["query_order"]).to_numpy().astype(np.int64)
+        q["order"] = _flat(table.column(spec["query_order"])).to_numpy(zero_copy_only=False).astype(np.int64)
     return q
 
 
@@ -80,13 +80,12 @@ def _scores(q, query_col, items, n_items):
     return np.round(out, SCORE_DECIMALS) + 0.0
 
 
-def _first_k(rows, k):
-    """Mask of the first ``k`` entries of each run in a sorted row-id array."""
+def _position(rows):
+    """Position of every entry within its run in a sorted row-id array."""
     if len(rows) == 0:
-        return np.zeros(0, dtype=bool)
+        return np.zeros(0, dtype=np.int64)
     starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-    run = np.repeat(starts, np.diff(np.r_[starts, len(rows)]))
-    return np.arange(len(rows)) - run < k
+    return np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)]))
 
 
 def _block_best(scores, k):
@@ -99,7 +98,7 @@ def _block_best(scores, k):
     rows, cols = np.nonzero(keep)
     best = scores[rows, cols]
     order = np.lexsort((cols, -best, rows))
-    order = order[_first_k(rows[order], k)]
+    order = order[_position(rows[order]) < k]
     return rows[order], cols[order], best[order]
 
 
@@ -122,57 +121,74 @@ class Best:
         t = pa.concat_tables(self.parts).sort_by(
             [("row", "ascending"), ("score", "descending"), ("key", "ascending")]
         )
-        return t.filter(pa.array(_first_k(t.column("row").to_numpy(), self.k)))
+        return t.filter(pa.array(_position(t.column("row").to_numpy()) < self.k))
 
 
-def search(q, batches, spec):
-    """Best items per query and vector pair over an iterator of item batches."""
-    best = {
-        name: Best(spec["k"], max(200_000, 4 * q["n"] * spec["k"])) for name, _, _ in spec["vectors"]
-    }
-    for batch in batches if q["n"] else ():
+def item_blocks(batches, spec):
+    """Item batches as blocks of bounded size, sorted by key, with unit vectors."""
+    for batch in batches:
         for start in range(0, batch.num_rows, ITEM_BLOCK):
             part = batch.slice(start, ITEM_BLOCK)
             part = part.take(pc.sort_indices(_flat(part.column(spec["item_key"]))))
-            n = part.num_rows
-            blocked = np.zeros((q["n"], n), dtype=bool)
-            if spec["query_tags"]:
-                shared = q["tags"] @ tag_matrix(part.column(spec["item_tags"]), q["vocabulary"]).T
-                blocked |= ~((shared > 0) | q["unfiltered"][:, None])
-            if spec["query_order"]:
-                order = part.column(spec["item_order"]).to_numpy(zero_copy_only=False).astype(np.int64)
-                blocked |= order[None, :] >= q["order"][:, None]
-            keys = _flat(part.column(spec["item_key"]))
-            units = {}
-            for name, query_col, item_col in spec["vectors"]:
-                if item_col not in units:
-                    units[item_col] = unit_rows(part.column(item_col))[1]
-                s = _scores(q, query_col, units[item_col], n)
-                s[blocked] = -np.inf
-                if spec["min_score"] is not None:
-                    s[s < spec["min_score"]] = -np.inf
-                rows, cols, top = _block_best(s, spec["k"])
-                if len(rows):
-                    best[name].add(rows, keys.take(pa.array(cols)), top)
+            block = {"keys": _flat(part.column(spec["item_key"])), "n": part.num_rows, "units": {}}
+            for _, _, item_col in spec["vectors"]:
+                if item_col not in block["units"]:
+                    block["units"][item_col] = unit_rows(part.column(item_col))[1]
+            if spec["item_tags"]:
+                block["tags"] = _flat(part.column(spec["item_tags"]))
+            if spec["item_order"]:
+                block["order"] = _flat(part.column(spec["item_order"])).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield block
+
+
+def search(q, blocks, spec):
+    """Best items per query and vector pair over prepared item blocks."""
+    best = {
+        name: Best(spec["k"], max(200_000, 4 * q["n"] * spec["k"])) for name, _, _ in spec["vectors"]
+    }
+    for block in blocks if q["n"] else ():
+        blocked = np.zeros((q["n"], block["n"]), dtype=bool)
+        if spec["query_tags"]:
+            shared = q["tags"] @ tag_matrix(block["tags"], q["vocabulary"]).T
+            blocked |= ~((shared > 0) | q["unfiltered"][:, None])
+        if spec["query_order"]:
+            blocked |= block["order"][None, :] >= q["order"][:, None]
+            if blocked.all():
+                continue
+        for name, query_col, item_col in spec["vectors"]:
+            s = _scores(q, query_col, block["units"][item_col], block["n"])
+            s[blocked] = -np.inf
+            if spec["min_score"] is not None:
+                s[s < spec["min_score"]] = -np.inf
+            rows, cols, top = _block_best(s, spec["k"])
+            if len(rows):
+                best[name].add(rows, block["keys"].take(pa.array(cols)), top)
     for name, found in best.items():
         t = found.result()
         if t is not None and t.num_rows:
+            rank = _position(t.column("row").to_numpy()) + 1
             yield pa.RecordBatch.from_arrays(
                 [
                     q["keys"].take(_flat(t.column("row"))),
                     pa.array([name] * t.num_rows, pa.string()),
                     _flat(t.column("key")),
                     _flat(t.column("score")),
+                    pa.array(rank.astype(np.int32)),
                 ],
-                names=[spec["query_key"], "vec_name", spec["item_key"], "score"],
+                names=[spec["query_key"], "vec_name", spec["item_key"], "score", "rank"],
             )
 
 
-def search_table(q_table, i_table, spec):
-    """Tile against tile, in query blocks so that score matrices stay small."""
-    batches = i_table.to_batches()
+def search_table(q_table, blocks, spec):
+    """All queries of a table against reusable blocks, in query blocks of bounded size."""
     for start in range(0, q_table.num_rows, QUERY_BLOCK):
-        yield from search(prepare_queries(q_table.slice(start, QUERY_BLOCK), spec), batches, spec)
+        yield from search(prepare_queries(q_table.slice(start, QUERY_BLOCK), spec), blocks, spec)
+
+
+def as_table(batches, schema):
+    return pa.Table.from_batches([pa.RecordBatch.from_arrays(b.columns, names=schema.names) for b in batches]).cast(
+        schema
+    ) if batches else schema.empty_table()
 
 
 def add_buckets(batch, vec_col, planes, bands):

@@ -65,7 +65,7 @@ def data(spark):
     return queries, items, spark.createDataFrame(queries, qs), spark.createDataFrame(items, it)
 
 
-PLANS = [{}, {"broadcast_rows": 3, "query_tile": 5, "item_tile": 40}]
+PLANS = [{}, {"broadcast_rows": 3}, {"broadcast_rows": 3, "broadcast_items": 4, "query_tile": 5, "item_tile": 40}]
 
 
 @pytest.mark.parametrize("plan", PLANS)

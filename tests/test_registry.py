@@ -64,7 +64,7 @@ def tables(spark, seed, n, spread):
     )
 
 
-@pytest.mark.parametrize("seed,spread,plan", [(1, 0.1, {}), (2, 0.45, {}), (3, 0.3, {"broadcast_rows": 4, "query_tile": 20, "item_tile": 15})])
+@pytest.mark.parametrize("seed,spread,plan", [(1, 0.1, {}), (2, 0.45, {}), (3, 0.3, {"broadcast_rows": 4, "broadcast_items": 2, "query_tile": 20, "item_tile": 15})])
 def test_batch_equals_one_by_one(spark, seed, spread, plan):
     incoming, registry, idf, rdf = tables(spark, seed, 60, spread)
     got = {r["ord"]: (r["concept"], r["is_new"]) for r in reg.register_batch(idf, rdf, **plan).collect()}
