@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.session import materialize
+
 # Size model of a cached chunk and the default budget.
 BYTES_PER_CHAR = 2
 BYTES_PER_NUMBER = 8
@@ -28,13 +30,14 @@ def hot_set(accesses: DataFrame, budget: int = DEFAULT_BUDGET) -> DataFrame:
 
     ``last_access`` is a unique counter.  The newest chunk is always kept.
     Instead of a running sum over one global order, the cut-off is found by
-    refining a histogram of at most 1,024 buckets over the counter (a few small
-    aggregations), and the result is a plain filter on it.
+    refining a histogram of at most 1,024 buckets over the counter, and the
+    result is a plain filter on it.  The wide columns are read once to store
+    (counter, size) pairs, which the few refinements then scan.
     """
     sized = accesses.withColumn(
         "cached_bytes", cached_size(F.col("content"), F.col("embedding"), F.col("metadata"))
     )
-    narrow = sized.select("last_access", "cached_bytes")
+    narrow = materialize(sized.select("last_access", "cached_bytes"), "sizes")
     span = narrow.agg(F.min("last_access"), F.max("last_access")).first()
     if span[0] is None:
         return sized
