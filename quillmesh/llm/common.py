@@ -36,7 +36,7 @@ def map_slices(df: DataFrame, work: Callable[..., Iterator | list], schema: str,
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(start, SLICE_ROWS)
-                out = work(*[c.to_pylist() for c in part.columns], *state)
+                out = list(work(*[c.to_pylist() for c in part.columns], *state)) or [()] * len(target)
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, target, strict=True)], schema=target)
 
     return df.mapInArrow(run, schema)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import quality_rules, url_rules
-from quillmesh.llm.common import table
+from quillmesh.llm import decontamination, html_text, language_id, packing, pii, quality_rules, toxicity, url_rules
+from quillmesh.llm.common import held_out, table
 from quillmesh.llm.oracle import SQL  # noqa: F401
 
 # The url rules of the query.
@@ -30,7 +30,51 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*names)
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = held_out(F.col("doc_id"), 5) == 0
+    toxic = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.train(docs.join(toxic.where(~held), "doc_id"))
+    # the score reads texts only; whether a row was held out follows from its id
+    found = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path
+    return packing.pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = held_out(F.col("doc_id"), 3) == 1
+    net = language_id.train(docs.where(~held))
+    found = language_id.identify(docs, net).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
+    "op1_html_text": op1_html_text,
+    "op3_toxicity": op3_toxicity,
     "op4_url_rules": op4_url_rules,
+    "op5_pii": op5_pii,
+    "op6_decontamination": op6_decontamination,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
+    "op9_language_id": op9_language_id,
 }
