@@ -8,8 +8,9 @@ driver plans from the counts of every length (at most 1,024 numbers whatever the
 2. The few rounded sizes make a cutting-stock problem: column generation finds the
    fractional mix of configurations that needs the fewest sequences, and each
    configuration is used its whole number of times.
-3. Actual lengths take the places of the rounded sizes of their group.
-4. What is left over and the small lengths go best-fit into the room that is left.
+3. Actual lengths take the places of the rounded sizes of their group; the last place of a
+   sequence and the room that rounding left go to the longest that fit, small ones included.
+4. What is left over goes best-fit, longest first.
 
 The plan is a list of runs: so many sequences that hold the same lengths in the same order.
 Documents find their place by their rank among the documents of their length;
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 
 import numpy as np
@@ -34,8 +35,10 @@ from quillmesh.session import materialize
 SIZE = 1024
 END_ID = 2
 #: Lengths up to this part of a sequence are small and fill the room that larger ones leave.
-SMALL_PART = 8
+SMALL_PART = 4
 GROUPS = 48
+#: The fractional mix is at most this share above its optimum.
+GAP = 1e-4
 #: Rows per rank bucket, about.
 BUCKET_ROWS = 100_000
 
@@ -147,12 +150,12 @@ def configurations(demand: dict[int, int], size: int) -> list[tuple[dict[int, in
     sizes = np.array(sorted(demand, reverse=True))
     need = np.array([demand[s] for s in sizes], float)
     basis = np.diag([float(size // s) for s in sizes])
-    for _ in range(60 * len(sizes)):
+    for _ in range(20 * len(sizes)):
         inverse = np.linalg.inv(basis)
         level = inverse @ need
         prices = inverse.sum(axis=0)
         value, column = _best_column(prices, sizes, size)
-        if value <= 1 + 1e-9:
+        if value <= 1 + GAP:  # no mix can be better than the present one divided by this value
             break
         step = inverse @ column
         up = step > 1e-9
@@ -208,6 +211,25 @@ class _Runs:
         return [r for room in self.rooms for r in self.by_room[room]]
 
 
+def _fill(slots: list[int], lengths: list[int], left: Counter, size: int) -> Counter:
+    """Actual lengths in the places of a configuration.
+
+    Every place but the last takes the longest one of its group or below; the last one takes the
+    longest that fits, and so do further ones as long as anything fits.
+    """
+    room, taken = size, Counter()
+    for n in range(size):
+        most = min(room, slots[n]) if n < len(slots) - 1 else room
+        at = bisect_right(lengths, most) - 1
+        while at >= 0 and taken[lengths[at]] >= left[lengths[at]]:
+            at -= 1
+        if at < 0:
+            break
+        taken[lengths[at]] += 1
+        room -= lengths[at]
+    return +taken
+
+
 def plan(counts: dict[int, int], size: int = SIZE, groups: int = GROUPS) -> list[tuple[tuple[int, ...], int]]:
     """Runs (lengths of a sequence, number of such sequences) that hold every counted length."""
     runs = _Runs(size)
@@ -216,39 +238,22 @@ def plan(counts: dict[int, int], size: int = SIZE, groups: int = GROUPS) -> list
         runs.add((size,), counts[size])
     large = {k: n for k, n in counts.items() if small_most < k < size and n}
     rest = Counter({k: n for k, n in counts.items() if k <= small_most and n})
+    left = Counter(large)
     if large:
-        queues = {s: list(reversed(members)) for s, members in group_sizes(large, groups).items()}
-        chosen = configurations({s: sum(n for _, n in q) for s, q in queues.items()}, size)
-        for config, uses in chosen:
+        demand = {s: sum(n for _, n in members) for s, members in group_sizes(large, groups).items()}
+        left.update(rest)
+        lengths = sorted(left)
+        for config, uses in sorted(configurations(demand, size), key=lambda c: -max(c[0])):
             slots = [s for s, n in sorted(config.items(), reverse=True) for _ in range(n)]
-            left = uses
-            while left and all(len(queues[s]) for s in slots):
-                # as many sequences as the lengths at the heads of the queues allow
-                wanted = Counter(slots)
-                heads = {s: queues[s][-1] for s in wanted}
-                take = min(left, *(heads[s][1] // n for s, n in wanted.items()))
-                if take:
-                    runs.add(tuple(heads[s][0] for s in slots), take)
-                    for s, n in wanted.items():
-                        queues[s][-1] = (heads[s][0], heads[s][1] - n * take)
-                        if not queues[s][-1][1]:
-                            queues[s].pop()
-                else:
-                    lengths = []
-                    for s in slots:
-                        if not queues[s]:
-                            break
-                        k, n = queues[s][-1]
-                        lengths.append(k)
-                        queues[s][-1] = (k, n - 1)
-                        if n == 1:
-                            queues[s].pop()
-                    runs.add(tuple(lengths), 1)
-                    take = 1
-                left -= take
-        for q in queues.values():
-            for k, n in q:
-                rest[k] += n
+            while uses and (filled := _fill(slots, lengths, left, size)):
+                times = min(uses, *(left[k] // n for k, n in filled.items()))
+                runs.add(tuple(sorted(filled.elements(), reverse=True)), times)
+                for k, n in filled.items():
+                    left[k] -= n * times
+                    if not left[k]:
+                        del lengths[bisect_left(lengths, k)], left[k]
+                uses -= times
+        rest = left
     for k in sorted(rest, reverse=True):
         runs.best_fit(k, rest[k])
     return runs.runs()

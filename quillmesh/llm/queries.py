@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import decontamination, html_text, language_id, packing, pii, quality_rules, toxicity, url_rules
+from quillmesh.llm import decontamination, html_text, jaccard_join, language_id, packing, pii, quality_rules, toxicity, url_rules
 from quillmesh.llm.common import held_out, table
 from quillmesh.llm.oracle import SQL  # noqa: F401
 
@@ -68,6 +68,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op3_toxicity": op3_toxicity,
@@ -77,4 +82,5 @@ QUERIES = {
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
+    "op10_jaccard_join": op10_jaccard_join,
 }

@@ -25,7 +25,9 @@ from quillmesh.llm.common import map_slices
 BITS = 20
 #: Labelled rows that the classifier is fitted on at most, half of them of either label where there are as many.
 SAMPLE_ROWS = 6_000
-EPOCHS = 4
+EPOCHS = 6
+#: A coordinate is learned if so many rows of the sample have it.
+MIN_ROWS = 5
 #: The distances between the two words of a pair: 1 is a bigram, 2 and 3 are skip-grams.
 DISTANCES = (1, 2, 3)
 
@@ -67,16 +69,22 @@ class Hasher:
 class Ftrl:
     """FTRL-proximal over binary features.
 
-    ``balance`` weighs the rarer label up by that power of the labels' ratio.
+    A coordinate's gradients add up over all rows, so the L1 bar that chance does not reach
+    grows with the rows: ``l1_per_row`` of them, between ``l1_least`` and ``l1_most``.
     """
 
-    alpha: float = 0.3
+    alpha: float = 0.5
     beta: float = 1.0
-    l1: float = 1.5
     l2: float = 1.0
+    l1_per_row: float = 0.004
+    l1_least: float = 3.0
+    l1_most: float = 20.0
 
     def fit(self, rows: list[np.ndarray], labels: list[int], epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
         """(coordinates, weights, bias); the bias is learned without L1."""
+        counts = np.bincount(np.concatenate(rows), minlength=1 << BITS)
+        rows = [x[counts[x] >= MIN_ROWS] for x in rows]
+        self.l1 = min(self.l1_most, max(self.l1_least, self.l1_per_row * len(rows)))
         z = np.zeros(1 << BITS)
         n = np.zeros(1 << BITS)
         bias_z = bias_n = bias = 0.0
