@@ -193,3 +193,24 @@ def find_contamination(
         rows = _pass(rows, block, last=following is None)
         block = following
     return map_slices(rows, _close, FOUND)
+
+
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
+    """The input's rows in which no benchmark item is found; all columns stay.
+
+    One pass over the rows for each block of the benchmark, and nothing is joined.
+    """
+    at = docs.columns.index(text_col)
+    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
+    for block in _blocks(benchmark, item_id_col, item_text_col):
+        shared = docs.sparkSession.sparkContext.broadcast(SeedTable(block))
+
+        def work(*columns):
+            *values, seeds = columns
+            clean = [not seeds.search(t) for t in values[at]]
+            return [[v for v, k in zip(c, clean, strict=True) if k] for c in values]
+
+        docs = map_slices(docs, work, schema, lambda shared=shared: shared.value)
+    return docs

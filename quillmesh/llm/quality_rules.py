@@ -117,6 +117,14 @@ def clean_lines(text: Column) -> Column:
     return F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~has_word(x) | ~line_fails(x)), "\n")
 
 
+def _fails(words: Column, repeated: Column) -> Column:
+    return (words < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * words)
+
+
+def _loses(lost: Column, whole: Column) -> Column:
+    return 100 * lost > MAX_LOST_PERCENT * whole
+
+
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row with its counts and ``kept``.
 
@@ -144,7 +152,17 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.col("l.all_chars").alias("line_chars"),
         F.col("l.lost_chars").alias("lost_chars"),
     )
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return counted.withColumn("base_failed", failed).withColumn(
-        "kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= MAX_LOST_PERCENT * F.col("line_chars"))
-    )
+    judged = counted.withColumn("base_failed", _fails(F.col("n_words"), F.col("n_repeat_words")))
+    return judged.withColumn("kept", ~F.col("base_failed") & ~_loses(F.col("lost_chars"), F.col("line_chars")))
+
+
+def keep_clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The input's rows that ``quality`` keeps; all columns stay as they are, texts included.
+
+    Rejection is this operator's effect; ``clean_lines`` gives the text without the failing lines.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # one expression for each side, so that the filter computes neither twice
+    passes = let(words_of(text), lambda w: let(repeated_words(w), lambda r: ~_fails(F.size(w), r)))
+    whole = let(_line_facts(F.filter(F.split(text, "\n", -1), has_word)), lambda f: ~_loses(f["lost_chars"], f["all_chars"]))
+    return docs.where(passes & whole)

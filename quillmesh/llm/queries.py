@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import decontamination, html_text, jaccard_join, language_id, packing, pii, quality_rules, toxicity, url_rules
+from quillmesh.llm import decontamination, html_text, jaccard_join, language_id, licenses, packing, pii, quality_rules, toxicity, url_rules
 from quillmesh.llm.common import held_out, table
 from quillmesh.llm.oracle import SQL  # noqa: F401
 
@@ -34,6 +34,11 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.train(docs)).withColumnRenamed("id", "doc_id")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = held_out(F.col("doc_id"), 5) == 0
@@ -75,6 +80,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_html_text": op1_html_text,
+    "op2_license_scan": op2_license_scan,
     "op3_toxicity": op3_toxicity,
     "op4_url_rules": op4_url_rules,
     "op5_pii": op5_pii,
