@@ -11,7 +11,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillmesh.functions.text import SPACE, is_blank, let, lines_of, ltrim_ws, rtrim_ws, trim_ws
+from quillmesh.functions.text import (
+    SPACE,
+    is_blank,
+    let,
+    lines_of,
+    ltrim_ws,
+    pieces_of,
+    rtrim_ws,
+    running_starts,
+    scan,
+    trim_ws,
+)
 
 DEFAULT_MAX_CHARS = 800
 
@@ -44,27 +55,23 @@ def _empty(sql_type: str) -> Column:
 
 
 def _headers_of_lines(lines: Column) -> Column:
-    def step(acc: Column, line: Column) -> Column:
+    def step(at: Column, line: Column) -> tuple[Column, Column]:
         def with_header(t: Column) -> Column:
             rest = F.ltrim(t, F.lit("#"))
             text = trim_ws(rest)
             found = F.struct(
                 (F.length(t) - F.length(rest)).alias("level"),
                 text.alias("header_text"),
-                acc["pos"].alias("position"),
-                acc["line_no"].alias("line_no"),
+                at["pos"].alias("position"),
+                at["line_no"].alias("line_no"),
             )
             hit = F.startswith(t, F.lit("#")) & (text != "")
-            return F.when(hit, F.concat(acc["found"], F.array(found))).otherwise(acc["found"])
+            return F.when(hit, F.array(found)).otherwise(_empty(f"array<{HEADER}>"))
 
-        return F.struct(
-            (acc["pos"] + F.length(line) + 1).alias("pos"),
-            (acc["line_no"] + 1).alias("line_no"),
-            let(ltrim_ws(line), with_header).alias("found"),
-        )
+        after = F.struct((at["pos"] + F.length(line) + 1).alias("pos"), (at["line_no"] + 1).alias("line_no"))
+        return after, let(ltrim_ws(line), with_header)
 
-    start = F.struct(F.lit(0).alias("pos"), F.lit(1).alias("line_no"), _empty(f"array<{HEADER}>").alias("found"))
-    return F.aggregate(lines, start, step, lambda acc: acc["found"])
+    return scan(lines, F.struct(F.lit(0).alias("pos"), F.lit(1).alias("line_no")), HEADER, step)
 
 
 def headers(content: Column) -> Column:
@@ -75,18 +82,12 @@ def headers(content: Column) -> Column:
 def header_paths(header_array: Column) -> Column:
     """For each header, its ancestors and itself (levels strictly increasing)."""
 
-    def step(acc: Column, h: Column) -> Column:
+    def step(stack: Column, h: Column) -> tuple[Column, Column]:
         me = F.struct(h["level"].alias("level"), h["header_text"].alias("text"))
-        stack = F.concat(F.filter(acc["stack"], lambda a: a["level"] < h["level"]), F.array(me))
-        return let(
-            stack,
-            lambda s: F.struct(s.alias("stack"), F.concat(acc["out"], F.array(s)).alias("out")),
-        )
+        now = F.concat(F.filter(stack, lambda a: a["level"] < h["level"]), F.array(me))
+        return now, F.array(now)
 
-    start = F.struct(
-        _empty(PATH_STEP).alias("stack"), _empty(f"array<{PATH_STEP}>").alias("out")
-    )
-    return F.aggregate(header_array, start, step, lambda acc: acc["out"])
+    return scan(header_array, _empty(PATH_STEP), PATH_STEP, step)
 
 
 def header_path_text(path: Column) -> Column:
@@ -164,14 +165,7 @@ def _sections_or_whole(content: Column) -> Column:
 
 def split_long_line(line: Column, max_chars: int) -> Column:
     """Fixed-width slices of ``max_chars``; the remainder comes last."""
-    n = F.ceil(F.length(line) / F.lit(max_chars)).cast("int")
-    return F.when(
-        F.length(line) > 0,
-        F.transform(
-            F.sequence(F.lit(0), n - 1),
-            lambda i: F.substring(line, i * F.lit(max_chars) + 1, F.lit(max_chars)),
-        ),
-    ).otherwise(_empty("array<string>"))
+    return pieces_of(line, max_chars)
 
 
 def greedy_pack(text: Column, max_chars: int) -> Column:
@@ -182,30 +176,23 @@ def greedy_pack(text: Column, max_chars: int) -> Column:
     sliced and never share a part with their neighbours.
     """
     limit = F.lit(max_chars)
+    none = _empty("array<string>")
 
-    def close(acc: Column) -> Column:
-        return F.when(
-            acc["cur"] != "", F.concat(acc["parts"], F.array(rtrim_ws(acc["cur"])))
-        ).otherwise(acc["parts"])
+    def close(cur: Column) -> Column:
+        return F.when(cur != "", F.array(rtrim_ws(cur))).otherwise(none)
 
-    def step(acc: Column, line: Column) -> Column:
-        fits = F.length(acc["cur"]) + F.length(line) + 1 <= limit
+    def step(cur: Column, line: Column) -> tuple[Column, Column]:
+        fits = F.length(cur) + F.length(line) + 1 <= limit
         too_long = F.length(line) > limit
         with_break = F.concat(line, F.lit("\n"))
         parts = (
-            F.when(fits, acc["parts"])
-            .when(too_long, F.concat(close(acc), split_long_line(line, max_chars)))
-            .otherwise(close(acc))
-        )
-        cur = (
-            F.when(fits, F.concat(acc["cur"], with_break))
-            .when(too_long, F.lit(""))
-            .otherwise(with_break)
+            F.when(fits, none)
+            .when(too_long, F.concat(close(cur), split_long_line(line, max_chars)))
+            .otherwise(close(cur))
         )
-        return F.struct(parts.alias("parts"), cur.alias("cur"))
+        return F.when(fits, F.concat(cur, with_break)).when(too_long, F.lit("")).otherwise(with_break), parts
 
-    start = F.struct(_empty("array<string>").alias("parts"), F.lit("").alias("cur"))
-    packed = F.aggregate(lines_of(text), start, step, close)
+    packed = scan(lines_of(text), F.lit(""), "string", step, close)
     return F.when(F.length(text) <= limit, F.array(text)).otherwise(packed)
 
 
@@ -216,33 +203,41 @@ def _locate_parts(section: Column, parts: Column) -> Column:
     the text by the whitespace dropped between parts; the line numbers follow
     those offsets.
     """
-
-    def step(acc: Column, part: Column) -> Column:
-        breaks = let(
-            F.substring(section["content"], acc["rel"] + 1, F.length(part)),
-            lambda consumed: F.length(consumed) - F.length(F.replace(consumed, F.lit("\n"), F.lit(""))),
+    content = section["content"]
+
+    def breaks_before(starts: Column, ends: Column) -> Column:
+        """For each end, the line breaks before it: breaks and ends in one order, counted in one pass."""
+        events = F.array_sort(
+            F.concat(
+                F.transform(F.filter(starts, lambda p: p > 0), lambda p: F.struct((p - 1).alias("at"), F.lit(1).alias("is_break"))),
+                F.transform(ends, lambda e: F.struct(e.alias("at"), F.lit(0).alias("is_break"))),
+            )
         )
-        end_rel = acc["rel"] + F.length(part)
-        end_line = acc["line"] + breaks
-        chunk = F.struct(
-            part.alias("content"),
-            section["path"].alias("path"),
-            section["header_path"].alias("header_path"),
-            (section["start_pos"] + acc["rel"]).alias("start_pos"),
-            (section["start_pos"] + end_rel).alias("end_pos"),
-            acc["line"].alias("start_line"),
-            end_line.alias("end_line"),
+        return scan(
+            events,
+            F.lit(0),
+            "int",
+            lambda n, e: (n + e["is_break"], F.when(e["is_break"] == 0, F.array(n)).otherwise(_empty("array<int>"))),
         )
-        return F.struct(
-            end_rel.alias("rel"),
-            end_line.alias("line"),
-            F.concat(acc["out"], F.array(chunk)).alias("out"),
+
+    def located(ends: Column, breaks: Column) -> Column:
+        before = lambda values, i: F.coalesce(F.get(values, i - 1), F.lit(0))
+        return F.transform(
+            parts,
+            lambda part, i: F.struct(
+                part.alias("content"),
+                section["path"].alias("path"),
+                section["header_path"].alias("header_path"),
+                (section["start_pos"] + before(ends, i)).alias("start_pos"),
+                (section["start_pos"] + F.get(ends, i)).alias("end_pos"),
+                (section["start_line"] + before(breaks, i)).alias("start_line"),
+                (section["start_line"] + F.get(breaks, i)).alias("end_line"),
+            ),
         )
 
-    start = F.struct(
-        F.lit(0).alias("rel"), section["start_line"].alias("line"), _empty(f"array<{SECTION}>").alias("out")
-    )
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+    ends = scan(parts, F.lit(0), "int", lambda at, part: (at + F.length(part), F.array(at + F.length(part))))
+    starts = running_starts(F.transform(lines_of(content), lambda x: F.length(x) + 1))
+    return let(ends, lambda e: let(breaks_before(starts, e), lambda b: located(e, b)))
 
 
 def chunks(content: Column, max_chars: int = DEFAULT_MAX_CHARS) -> Column:
@@ -250,7 +245,7 @@ def chunks(content: Column, max_chars: int = DEFAULT_MAX_CHARS) -> Column:
 
     def refine(section: Column) -> Column:
         return F.when(F.length(section["content"]) <= F.lit(max_chars), F.array(section)).otherwise(
-            _locate_parts(section, greedy_pack(section["content"], max_chars))
+            let(greedy_pack(section["content"], max_chars), lambda parts: _locate_parts(section, parts))
         )
 
     return F.when(is_blank(content), _empty(f"array<{SECTION}>")).otherwise(
@@ -318,14 +313,14 @@ def _classified(lines: Column) -> Column:
 
         return F.transform(lines, fact)
 
-    def step(acc: Column, x: Column) -> Column:
-        row = x["pipe"] & (acc["table"] | x["sep_next"])
-        plain = ~(x["front"] | x["fence"] | acc["code"] | x["image"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        row = x["pipe"] & (at["table"] | x["sep_next"])
+        plain = ~(x["front"] | x["fence"] | at["code"] | x["image"])
         kind = (
             F.when(x["front"], F.lit("frontmatter"))
-            .when(x["fence"] & acc["code"], F.lit("fence_end"))
+            .when(x["fence"] & at["code"], F.lit("fence_end"))
             .when(x["fence"], F.lit("fence_start"))
-            .when(acc["code"], F.lit("code"))
+            .when(at["code"], F.lit("code"))
             .when(x["image"], F.lit("image"))
             .when(row, F.lit("table"))
             .otherwise(F.lit("text"))
@@ -333,16 +328,11 @@ def _classified(lines: Column) -> Column:
         line = F.struct(
             x["line_no"].alias("line_no"), x["raw"].alias("raw"), kind.alias("kind"), x["lang"].alias("code_lang")
         )
-        return F.struct(
-            (acc["code"] != x["fence"]).alias("code"),
-            F.when(plain, row).otherwise(acc["table"]).alias("table"),
-            F.concat(acc["out"], F.array(line)).alias("out"),
-        )
+        after = F.struct((at["code"] != x["fence"]).alias("code"), F.when(plain, row).otherwise(at["table"]).alias("table"))
+        return after, F.array(line)
 
-    start = F.struct(
-        F.lit(False).alias("code"), F.lit(False).alias("table"), _empty(f"array<{LINE}>").alias("out")
-    )
-    return F.aggregate(let(frontmatter_lines(lines), facts), start, step, lambda acc: acc["out"])
+    start = F.struct(F.lit(False).alias("code"), F.lit(False).alias("table"))
+    return scan(let(frontmatter_lines(lines), facts), start, LINE, step)
 
 
 def classify_lines(content: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillmesh.functions.coercion import as_items, as_text, field, is_truthy, kind_of, parse_answer, to_number
-from quillmesh.functions.text import let, lines_of, or_else, trim_ws
+from quillmesh.functions.text import let, lines_of, or_else, running_starts, trim_ws
 
 # Fixed value: title of an untitled span.
 UNTITLED = "未命名段落"
@@ -134,12 +134,4 @@ def slice_spans(content: Column, spans: Column) -> Column:
 
 def line_starts(lines: Column) -> Column:
     """Character offset at which every line begins."""
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(
-        lines,
-        start,
-        lambda acc, x: F.struct(
-            (acc["pos"] + F.length(x) + 1).alias("pos"), F.concat(acc["out"], F.array(acc["pos"])).alias("out")
-        ),
-        lambda acc: acc["out"],
-    )
+    return running_starts(F.transform(lines, lambda x: F.length(x) + 1))

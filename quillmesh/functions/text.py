@@ -72,3 +72,58 @@ def percent_badge(score: Column) -> Column:
 def nonblank_queries(df, text_col: str = "query"):
     """Drop queries that hold only whitespace."""
     return df.filter(~is_blank(F.col(text_col)))
+
+
+#: Elements that a scan folds before it starts a new piece of its output.
+SCAN_BLOCK = 256
+
+
+def scan(
+    items: Column,
+    state: Column,
+    out_type: str,
+    step: Callable[[Column, Column], tuple[Column, Column]],
+    finish: Callable[[Column], Column] | None = None,
+) -> Column:
+    """Run ``step(state, item) -> (state, array of outputs)`` over an array and collect the outputs.
+
+    A plain fold that appends to its result copies the result at every step, which makes long arrays cost the
+    square of their length.  Here the fold runs over blocks: a step copies at most the outputs
+    of its own block, and blocks are flattened once at the end.  ``finish(state)`` gives last outputs.
+    """
+    none = F.array().cast(f"array<{out_type}>")
+    nested = F.array().cast(f"array<array<{out_type}>>")
+
+    def one(acc: Column, item: Column) -> Column:
+        new, out = step(acc["state"], item)
+        return F.struct(new.alias("state"), F.concat(acc["out"], out).alias("out"))
+
+    def block(acc: Column, part: Column) -> Column:
+        start = F.struct(acc["state"].alias("state"), none.alias("out"))
+        return let(
+            F.aggregate(part, start, one),
+            lambda done: F.struct(done["state"].alias("state"), F.concat(acc["out"], F.array(done["out"])).alias("out")),
+        )
+
+    def close(acc: Column) -> Column:
+        last = F.array(finish(acc["state"])) if finish else nested
+        return F.flatten(F.concat(acc["out"], last))
+
+    def blocks(all_items: Column) -> Column:
+        count = F.greatest(F.ceil(F.size(all_items) / F.lit(SCAN_BLOCK)).cast("int"), F.lit(1))
+        cut = F.transform(
+            F.sequence(F.lit(0), count - 1), lambda b: F.slice(all_items, b * F.lit(SCAN_BLOCK) + 1, F.lit(SCAN_BLOCK))
+        )
+        return F.aggregate(cut, F.struct(state.alias("state"), nested.alias("out")), block, close)
+
+    return let(items, blocks)
+
+
+def running_starts(lengths: Column) -> Column:
+    """0 and the sums of all but the last of the lengths: where each of the joined pieces begins."""
+    return scan(lengths, F.lit(0), "int", lambda at, n: (at + n, F.array(at)))
+
+
+def pieces_of(text: Column, size: int) -> Column:
+    """Consecutive pieces of ``size`` characters, the remainder last; one pass over the text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
