@@ -5,13 +5,13 @@
    Two sets of similarity ``t`` share a token among the first ``n - ceil(t n) + 1`` of each,
    so only these are listed by token.  Frequent tokens - shared passages - come last, so they are
    listed only where little else is left.
-3. Within a token's list every class is compared with the list's first class and with the one before it.
-   That is linear in the list, and gathers similar documents in groups: the components so far.
+3. Within a token's list every class is paired with the list's first class and with the one before it;
+   pairs met often enough are compared.  That is linear in the list, and gathers similar documents in
+   groups: the components so far.
 4. Lists whose classes are all in one group are done: nothing can come of them.  For the others the
-   token-group matrix gives the pairs (class, other group) that share a listed token.
-   Groups are cut into blocks of at most ``BLOCK`` members whose token unions are stored; a
-   class opens a block only if enough of its tokens are in the union, and only then is it compared with the
-   members.
+   token-group matrix holds the union of listed tokens of every group.  The tokens that a class shares with a
+   group bound its overlap with any member; only groups that can reach the similarity are opened: first
+   for ``PROBES`` members each, which merges what belongs together, then for all members of those left.
 
 No link between different sets is lost, a group of near copies costs rows in proportion to its members, and nothing but
 the ``HEAVY_TOKENS`` most frequent tokens goes through the driver.  Comparisons read the
@@ -41,15 +41,32 @@ HEAVY_TOKENS = 1 << 18
 HEAVY_LEAST = 16
 #: Tokens that a task counts together.
 COUNT_TOKENS = 4_000_000
-#: Members of a block of the matrix.
-BLOCK = 64
+#: Members of a group that a class is compared with before the group is opened as a whole.
+PROBES = 8
+#: Sets that a task remembers while it compares pairs.
+REMEMBERED = 2_000
+
+
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
 
 
 class Shingles:
     """Texts to sorted sets of shingle hashes; remembers the hashes of up to a million words."""
 
     def __init__(self):
-        self.known: dict[bytes, int] = {}
+        self.known = _Hashes()
+        self.sets: dict[int, np.ndarray] = {}
+
+    def of(self, key: int, text: str) -> np.ndarray:
+        """The set of a class, remembered."""
+        if key not in self.sets:
+            if len(self.sets) >= REMEMBERED:
+                self.sets.clear()
+            self.sets[key] = self(text)
+        return self.sets[key]
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Words lower-cased in A-Z; a text of fewer words than a shingle is one shingle."""
@@ -59,9 +76,6 @@ class Shingles:
         known = self.known
         if len(known) > 1_000_000:
             known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w)
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         size = min(SHINGLE, len(words))
         out = np.full(len(h) - size + 1, size, np.uint64)
@@ -169,16 +183,27 @@ def _list_tokens(heavy: np.ndarray):
     return run
 
 
-def _size_fits(a: str, b: str):
+def _size_fits(a, b):
     low, high = F.least(a, b), F.greatest(a, b)
     return DENOMINATOR * low >= NUMERATOR * high
 
 
+def _least_shared(n, m):
+    """Listed tokens that similar sets of sizes ``n`` and ``m`` share at least.
+
+    Their overlap is at least ``t (n + m) / (1 + t)``.  Of the set whose listed tokens end first in the order, all overlap up
+    to there is listed in both, and what comes after is at most its unlisted rest, ``ceil(t n) - 1``.
+    """
+    overlap = F.floor(NUMERATOR * (n + m) / F.lit(NUMERATOR + DENOMINATOR))
+    rest = F.ceil(NUMERATOR * F.greatest(n, m) / F.lit(DENOMINATOR))
+    return F.greatest(F.lit(1), overlap - rest)
+
+
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar."""
 
     def work(a, b, x, y, shingles):
-        keep = [similar(shingles(s), shingles(t)) for s, t in zip(x, y, strict=True)]
+        keep = [similar(shingles.of(i, s), shingles.of(j, t)) for i, j, s, t in zip(a, b, x, y, strict=True)]
         return [v for v, k in zip(a, keep, strict=True) if k], [v for v, k in zip(b, keep, strict=True) if k]
 
     left = texts.select(F.col("key").alias("a"), F.col("text").alias("x"))
@@ -187,30 +212,46 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_slices(both, work, "a bigint, b bigint", Shingles)
 
 
-def _open_blocks(asked: DataFrame, blocks: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): the classes asked and the members of the blocks whose token union can hold a similar set."""
-
-    def union(group, block, members, member_texts, shingles):
-        unions = [np.unique(np.concatenate([shingles(t) for t in ts])).tobytes() for ts in member_texts]
-        return group, block, unions
-
-    members = blocks.join(texts.withColumnRenamed("key", "b"), "b").groupBy("group", "block")
-    gathered = members.agg(F.collect_list("b").alias("members"), F.collect_list("text").alias("texts"))
-    unions = materialize(map_slices(gathered, union, "group bigint, block int, tokens binary", Shingles), "unions")
+def _ask(lists: DataFrame, grouped: DataFrame) -> DataFrame:
+    """(a, group, members, only): the classes and the other groups that can hold a similar set.
 
-    def bound(a, group, block, text, tokens, shingles):
-        out = []
-        for q, g, k, t, u in zip(a, group, block, text, tokens, strict=True):
-            mine, theirs = shingles(t), np.frombuffer(u, np.uint64)
-            at = np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)
-            if DENOMINATOR * np.count_nonzero(theirs[at] == mine) >= NUMERATOR * len(mine):
-                out.append((q, g, k))
-        return zip(*out, strict=True)
-
-    ready = asked.join(texts.withColumnRenamed("key", "a"), "a").join(unions, "group")
-    ready = ready.select("a", "group", "block", "text", "tokens")
-    opened = map_slices(ready, bound, "a bigint, group bigint, block int", Shingles)
-    return opened.join(blocks, ["group", "block"]).select("a", "b")
+    Of two groups the classes of the smaller one ask, which covers every pair between them.
+    """
+    members = grouped.groupBy("component").agg(F.count("*").alias("members")).withColumnRenamed("component", "group")
+    placed = lists.select("token", "key", "n").join(grouped.withColumnRenamed("node", "key"), "key", "left")
+    placed = placed.select("token", "key", "n", F.coalesce("component", "key").alias("group"))
+    mixed = placed.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("token")
+    matrix = placed.join(mixed, "token").join(members, "group", "left").withColumn("members", F.coalesce("members", F.lit(1)))
+    matrix = materialize(matrix, "matrix")
+    cells = matrix.groupBy("token", "group").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.first("members").alias("members"), F.min("key").alias("only")
+    )
+    query = matrix.select("token", F.col("key").alias("a"), "n", F.struct("members", "group").alias("own"))
+    smaller = F.col("own") < F.struct("members", "group")
+    can = (DENOMINATOR * F.col("n") >= NUMERATOR * F.col("low")) & (DENOMINATOR * F.col("high") >= NUMERATOR * F.col("n"))
+    met = query.join(cells, "token").where(smaller & can)
+    asked = met.groupBy("a", "group").agg(
+        F.count("*").alias("shared"), F.first("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.first("members").alias("members"), F.min("only").alias("only"),
+    )
+    # the bound falls towards both ends of the sizes that a partner can have
+    low = F.greatest("low", F.floor(NUMERATOR * F.col("n") / F.lit(DENOMINATOR)))
+    high = F.least("high", F.ceil(DENOMINATOR * F.col("n") / F.lit(NUMERATOR)))
+    bound = F.least(_least_shared(F.col("n"), low), _least_shared(F.col("n"), high))
+    return materialize(asked.where(F.col("shared") >= bound).select("a", "group", "members", "only"), "asked")
+
+
+def _opened(asked: DataFrame, grouped: DataFrame, done: DataFrame, probes: int | None) -> DataFrame:
+    """Pairs (a, b) of the classes asked and the members of their groups, at most ``probes`` of each, without those done."""
+    single = asked.where("members = 1").select("a", F.col("only").alias("b"))
+    member = grouped.select(F.col("node").alias("b"), F.col("component").alias("group"))
+    if probes:
+        sizes = asked.where("members > 1").select("group", "members").distinct()
+        share = F.pmod(F.xxhash64("b", "group"), F.greatest(F.lit(1), F.floor(F.col("members") / probes)))
+        member = member.join(sizes, "group").where(share == 0).select("b", "group")
+    wide = asked.where("members > 1").select("a", "group").join(member, "group").select("a", "b")
+    pairs = single.unionByName(wide).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,10 +283,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     lists = materialize(ranked.where("size > 1"), "lists")
     near = [
-        lists.where(F.col("key") != F.col(k)).where(_size_fits("n", f"{k}_n")).select(F.least("key", k).alias("a"), F.greatest("key", k).alias("b"))
+        lists.where(F.col("key") != F.col(k)).select(
+            F.least("key", k).alias("a"), F.greatest("key", k).alias("b"), F.col("n").cast("bigint").alias("n"), F.col(f"{k}_n").cast("bigint").alias("m")
+        )
         for k in ("lead", "prev")
     ]
-    pairs = materialize(near[0].unionByName(near[1]).distinct(), "pairs")
+    met = near[0].unionByName(near[1].where("n is not null")).where(_size_fits("n", "m")).groupBy("a", "b")
+    met = met.agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("m").alias("m"))
+    # a pair that another list's first class hides is found by the matrix
+    pairs = materialize(met.where(2 * F.col("shared") >= _least_shared(F.col("n"), F.col("m"))).select("a", "b"), "pairs")
 
     classes = facts.where("kind = 0 and key is not null")
     wanted = lists.select("key").distinct()
@@ -255,32 +301,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # the token-group matrix over the lists that hold more than one group
     grouped = components(found)
-    member = lists.select("token", "key", "n").join(grouped.withColumnRenamed("node", "key"), "key", "left")
-    member = member.withColumn("group", F.coalesce("component", "key")).drop("component")
-    mixed = member.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("token")
-    matrix = materialize(member.join(mixed, "token"), "matrix")
-    sizes = matrix.select("key", "group").distinct().groupBy("group").agg(F.count("*").alias("members"))
-    all_sizes = grouped.groupBy("component").agg(F.count("*").alias("all_members")).withColumnRenamed("component", "group")
-    sizes = sizes.select("group").join(all_sizes, "group", "left").select("group", F.coalesce("all_members", F.lit(1)).alias("members"))
-    cells = matrix.groupBy("token", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("key").alias("only"))
-    cells = cells.join(sizes, "group")
-    query = matrix.join(sizes, "group").select("token", F.col("key").alias("a"), "n", F.col("group").alias("own"), F.col("members").alias("own_members"))
-    fits = (DENOMINATOR * F.col("n") >= NUMERATOR * F.col("low")) & (DENOMINATOR * F.col("high") >= NUMERATOR * F.col("n"))
-    smaller = F.struct("own_members", "own") < F.struct("members", "group")
-    asked = query.join(cells, "token").where(smaller & fits)
-    asked = materialize(asked.groupBy("a", "group").agg(F.first("members").alias("members"), F.min("only").alias("only")), "asked")
-    single = asked.where("members = 1").select("a", F.col("only").alias("b"))
-    wide = asked.where("members > 1").select("a", "group")
-    needed = wide.select("group").distinct()
-    of_group = grouped.withColumnRenamed("node", "b").withColumnRenamed("component", "group").join(needed, "group")
-    of_group = of_group.join(all_sizes, "group")
-    blocks = materialize(
-        of_group.select("group", F.pmod(F.xxhash64("b"), F.ceil(F.col("all_members") / BLOCK)).cast("int").alias("block"), "b"), "blocks"
-    )
-    opened = _open_blocks(wide, blocks, texts)
-    rest = single.unionByName(opened).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    late = materialize(_verify(rest.join(pairs, ["a", "b"], "left_anti"), texts), "links")
-    final = components(found.unionByName(late))
+    probed = _opened(_ask(lists, grouped), grouped, pairs, PROBES)
+    found = materialize(found.unionByName(_verify(probed, texts)), "links")
+    grouped = components(found)
+    rest = _opened(_ask(lists, grouped), grouped, pairs.unionByName(probed), None)
+    final = components(found.unionByName(_verify(rest, texts)))
 
     joined = facts.where("kind = 0").join(final.withColumnRenamed("node", "key"), "key", "left")
     joined = joined.select("id", "rk", "n", "key", F.coalesce("component", "key").alias("group"))

@@ -338,10 +338,10 @@ def shingles(t):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-@pytest.mark.parametrize("heavy,block", [(16, 64), (2, 3)])
-def test_jaccard_join(spark, monkeypatch, heavy, block):
+@pytest.mark.parametrize("heavy,probes", [(16, 8), (2, 1)])
+def test_jaccard_join(spark, monkeypatch, heavy, probes):
     monkeypatch.setattr(jaccard_join, "HEAVY_LEAST", heavy)
-    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "PROBES", probes)
     r = random.Random(13)
     passage = prose(r, 60)
     texts = [prose(r, r.randint(0, 120)) for _ in range(80)]
