@@ -46,9 +46,12 @@ def span_chunks(notes: DataFrame, answers: DataFrame, max_chars: int = INDEX_CHU
     joined = notes.select("note_path", "content").join(
         answers.select("note_path", "response"), "note_path", "left"
     )
-    spans = resolved_spans(F.coalesce(F.col("response"), F.lit("")), md.preprocess(F.col("content")), max_chars)
-    cut = let(spans, lambda s: sp.slice_spans(F.col("content"), s))
-    rows = joined.select("note_path", F.posexplode(cut).alias("index", "c"))
+    # one step a projection: nested in a single expression they exceed the analyzer's iterations
+    masked = joined.select("note_path", "content", "response", md.preprocess(F.col("content")).alias("cleaned"))
+    spans = resolved_spans(F.coalesce(F.col("response"), F.lit("")), F.col("cleaned"), max_chars)
+    found = masked.select("note_path", "content", spans.alias("spans"))
+    cut = found.select("note_path", let(F.col("spans"), lambda s: sp.slice_spans(F.col("content"), s)).alias("cut"))
+    rows = cut.select("note_path", F.posexplode("cut").alias("index", "c"))
     return rows.select("note_path", "index", *[F.col(f"c.{x}").alias(x) for x in CHUNK_FIELDS])
 
 

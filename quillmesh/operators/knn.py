@@ -1,11 +1,10 @@
 """Nearest-neighbour joins on named vectors (exact cosine top-k).
 
-Three plans, chosen by counted bounds on both sides:
+Three plans, chosen by the rows and bytes of each side, which the executors count first:
 
 * up to ``broadcast_rows`` queries (and 128 MB of them): the queries are broadcast and the item table
   is scanned once, without moving any item row; every task emits at most ``k``
-  rows per query and vector, and a window (with its map-side group limit) merges
-  them;
+  rows per query and vector, and a window merges them;
 * more queries, but at most ``BROADCAST_ITEMS`` items (a concept registry, say):
   the items are broadcast and the queries are scanned in place; every query sees
   all items in one task, so nothing is shuffled or merged;
@@ -20,6 +19,7 @@ All are exact and give identical rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -45,7 +45,10 @@ TILES_PER_TASK = 4
 VectorPair = tuple[str, str, str]
 
 
-def _spec(k, vectors, query_key, item_key, query_tags, item_tags, min_score, query_order, item_order):
+def _spec(
+    k, vectors, query_key, item_key, query_tags=None, item_tags=None, min_score=None, query_order=None, item_order=None,
+    query_group=None, item_group=None,
+):
     if k < 1:
         raise ValueError("k must be at least 1")
     return {
@@ -58,6 +61,8 @@ def _spec(k, vectors, query_key, item_key, query_tags, item_tags, min_score, que
         "min_score": min_score,
         "query_order": query_order,
         "item_order": item_order,
+        "query_group": query_group,
+        "item_group": item_group,
     }
 
 
@@ -66,8 +71,8 @@ def _needed(df: DataFrame, names: Sequence[str | None]) -> DataFrame:
 
 
 def _sides(queries: DataFrame, items: DataFrame, spec: dict) -> tuple[DataFrame, DataFrame]:
-    q = _needed(queries, [spec["query_key"], *[v[1] for v in spec["vectors"]], spec["query_tags"], spec["query_order"]])
-    i = _needed(items, [spec["item_key"], *[v[2] for v in spec["vectors"]], spec["item_tags"], spec["item_order"]])
+    q = _needed(queries, [spec["query_key"], *[v[1] for v in spec["vectors"]], spec["query_tags"], spec["query_order"], spec["query_group"]])
+    i = _needed(items, [spec["item_key"], *[v[2] for v in spec["vectors"]], spec["item_tags"], spec["item_order"], spec["item_group"]])
     return q, i
 
 
@@ -109,15 +114,40 @@ def match_tiles(q_routed: DataFrame, i_routed: DataFrame, tile: Sequence[str], s
     return q_routed.groupBy(*tile).cogroup(i_routed.groupBy(*tile)).applyInArrow(evaluate, schema)
 
 
-def _tile_rows(sample) -> int:
-    """Rows per tile, from the average size of the sampled query rows."""
-    per_row = max(1, sample.nbytes // max(1, sample.num_rows))
-    return min(TILE_ROWS[1], max(TILE_ROWS[0], TILE_BYTES // per_row))
+class Size(NamedTuple):
+    """Rows and bytes of the needed columns of one side, counted on the executors."""
 
+    rows: int
+    bytes: int
 
-def _tiled(q: DataFrame, i: DataFrame, spec: dict, query_tile: int, item_tile: int) -> DataFrame:
-    n_q = max(1, -(-q.count() // query_tile))
-    n_i = max(1, -(-i.count() // item_tile))
+    def tile(self) -> int:
+        """Rows per tile."""
+        return min(TILE_ROWS[1], max(TILE_ROWS[0], TILE_BYTES * max(1, self.rows) // max(1, self.bytes)))
+
+
+def _size(df: DataFrame) -> Size:
+    def width(field: T.StructField):
+        c = F.col(field.name)
+        if isinstance(field.dataType, T.ArrayType):
+            inner = field.dataType.elementType
+            if isinstance(inner, T.StringType):
+                one = F.aggregate(c, F.lit(0).cast("bigint"), lambda n, x: n + F.coalesce(F.octet_length(x), F.lit(0)) + 4)
+            else:
+                one = F.size(c).cast("bigint") * 8
+        elif isinstance(field.dataType, T.StringType):
+            one = F.octet_length(c).cast("bigint") + 4
+        else:
+            one = F.lit(8).cast("bigint")
+        return F.coalesce(one, F.lit(0).cast("bigint"))
+
+    total = sum((width(f) for f in df.schema.fields), F.lit(0).cast("bigint"))
+    found = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(total), F.lit(0)).alias("b")).first()
+    return Size(found["n"], found["b"])
+
+
+def _tiled(q: DataFrame, i: DataFrame, spec: dict, sizes: tuple[Size, Size], query_tile: int, item_tile: int) -> DataFrame:
+    n_q = max(1, -(-sizes[0].rows // query_tile))
+    n_i = max(1, -(-sizes[1].rows // item_tile))
     tasks = max(int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_q * n_i // TILES_PER_TASK))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     own = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
@@ -127,11 +157,6 @@ def _tiled(q: DataFrame, i: DataFrame, spec: dict, query_tile: int, item_tile: i
     return match_tiles(q_routed.repartition(tasks, *tile), i_routed.repartition(tasks, *tile), tile, spec)
 
 
-def _may_fit(probe, rows: int) -> bool:
-    """Whether a sample of that many rows is safe to fetch, going by the query rows."""
-    return rows * (probe.nbytes // max(1, probe.num_rows)) <= 4 * BROADCAST_BYTES
-
-
 def _scan_queries(q: DataFrame, i: DataFrame, items, spec: dict) -> DataFrame:
     shared = q.sparkSession.sparkContext.broadcast(items)
 
@@ -156,6 +181,8 @@ def nearest(
     min_score: float | None = None,
     query_order: str | None = None,
     item_order: str | None = None,
+    query_group: str | None = None,
+    item_group: str | None = None,
     broadcast_rows: int = BROADCAST_QUERIES,
     broadcast_items: int = BROADCAST_ITEMS,
     query_tile: int | None = None,
@@ -164,20 +191,21 @@ def nearest(
     """Top ``k`` items per query for each (name, query column, item column).
 
     Tags filter the items before ranking (any shared tag; no tags = no filter).
-    With the order columns, a query only sees items of a smaller order.
+    With the order columns, a query only sees items of a smaller order; with the
+    group columns, only items of another group (NULL differs from everything).
+    Vectors that are NULL, of another size or hold no finite number are never hits.
     Returns ``(query_key, vec_name, item_key, score, rank)``.
     """
-    spec = _spec(k, vectors, query_key, item_key, query_tags, item_tags, min_score, query_order, item_order)
+    spec = _spec(k, vectors, query_key, item_key, query_tags, item_tags, min_score, query_order, item_order, query_group, item_group)
     q, i = _sides(queries, items, spec)
-    probe = q.limit(broadcast_rows + 1).toArrow()
-    if probe.num_rows > broadcast_rows or probe.nbytes > BROADCAST_BYTES:
-        few = i.limit(broadcast_items + 1).toArrow() if _may_fit(probe, broadcast_items) else None
-        if few is not None and few.num_rows <= broadcast_items and few.nbytes <= BROADCAST_BYTES:
-            return _scan_queries(q, i, few, spec)
-        rows = _tile_rows(probe)
-        return _rank(_tiled(q, i, spec, query_tile or rows, item_tile or rows), spec)
-
-    shared = q.sparkSession.sparkContext.broadcast(topk_kernel.prepare_queries(probe, spec))
+    q_size = _size(q)
+    if q_size.rows > broadcast_rows or q_size.bytes > BROADCAST_BYTES:
+        i_size = _size(i)
+        if i_size.rows <= broadcast_items and i_size.bytes <= BROADCAST_BYTES:
+            return _scan_queries(q, i, i.toArrow(), spec)
+        return _rank(_tiled(q, i, spec, (q_size, i_size), query_tile or q_size.tile(), item_tile or i_size.tile()), spec)
+
+    shared = q.sparkSession.sparkContext.broadcast(topk_kernel.prepare_queries(q.toArrow(), spec))
 
     def scan(batches):
         yield from topk_kernel.search(shared.value, topk_kernel.item_blocks(batches, spec), spec)

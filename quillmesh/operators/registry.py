@@ -9,7 +9,7 @@ from quillmesh.functions.links import DEFAULT_PREFIX, wrap
 from quillmesh.functions.text import let
 from quillmesh.operators.fusion import rrf_fusion
 from quillmesh.operators.knn import nearest
-from quillmesh.session import materialize
+from quillmesh.session import discard, materialize
 
 # Thresholds, page size, and the rank constant of the concept fusion
 # (score 1.0 exactly when one concept is nearest by name and by reason).
@@ -194,7 +194,9 @@ def elect_leaders(candidates: DataFrame, threshold: float = STRICT_THRESHOLD, **
         new = materialize(undecided.join(behind.select("ord"), "ord", "left_anti"), "leaders")
         leaders = leaders.unionByName(new.select("ord"))
         near = nearest(undecided, new.select(F.col("ord").alias("other"), "name_vec"), **same, **knn_options)
-        undecided = materialize(undecided.join(near.select("ord"), "ord", "left_anti"), "undecided")
+        before, undecided = undecided, materialize(undecided.join(near.select("ord"), "ord", "left_anti"), "undecided")
+        discard(before)
+    discard(undecided)
     return leaders
 
 

@@ -3,7 +3,8 @@
 Runs inside Arrow tasks: one block of queries against one batch of items, one
 matrix product per vector pair, and only the best ``k`` rows per query leave the
 block.  Scores are rounded to nine decimals before ranking so that results do
-not depend on how Spark cut the blocks; equal scores rank by item key.
+not depend on how Spark cut the blocks; equal scores rank by item key.  A least score is
+held against the score as it is.  Pairs without a usable vector of one size on both sides are no hits.
 """
 
 from __future__ import annotations
@@ -32,7 +33,10 @@ def unit_rows(column):
         ids = np.flatnonzero(lengths == dim)
         part = column if len(ids) == len(column) else column.take(pa.array(ids))
         m = part.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), int(dim))
-        m = np.where(np.isfinite(m), m, 0.0)
+        # numbers that are NULL, NaN or infinite make a vector unusable
+        usable = np.isfinite(m).all(axis=1)
+        if not usable.all():
+            ids, m = ids[usable], m[usable]
         norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
         groups[int(dim)] = (ids, np.divide(m, norm, out=np.zeros_like(m), where=norm > 0))
     return lengths, groups
@@ -65,11 +69,18 @@ def prepare_queries(table, spec):
         q["unfiltered"] = sizes == 0
     if spec["query_order"]:
         q["order"] = _flat(table.column(spec["query_order"])).to_numpy(zero_copy_only=False).astype(np.int64)
+    if spec["query_group"]:
+        q["group"] = _group(table.column(spec["query_group"]), "query")
     return q
 
 
-def _scores(q, query_col, items, n_items):
-    out = np.zeros((q["n"], n_items))
+def _group(column, side):
+    """Group values as objects; a NULL equals nothing on the other side."""
+    return np.array([(side,) if v is None else v for v in column.to_pylist()] + [None], dtype=object)[:-1]
+
+
+def _scores(q, query_col, items, n_items, min_score):
+    out = np.full((q["n"], n_items), -np.inf)
     for dim, (q_ids, q_rows) in q["vectors"][query_col].items():
         if dim in items:
             i_ids, i_rows = items[dim]
@@ -77,6 +88,8 @@ def _scores(q, query_col, items, n_items):
                 out = q_rows @ i_rows.T
             else:
                 out[np.ix_(q_ids, i_ids)] = q_rows @ i_rows.T
+    if min_score is not None:
+        out[out < min_score] = -np.inf
     return np.round(out, SCORE_DECIMALS) + 0.0
 
 
@@ -138,6 +151,8 @@ def item_blocks(batches, spec):
                 block["tags"] = _flat(part.column(spec["item_tags"]))
             if spec["item_order"]:
                 block["order"] = _flat(part.column(spec["item_order"])).to_numpy(zero_copy_only=False).astype(np.int64)
+            if spec["item_group"]:
+                block["group"] = _group(part.column(spec["item_group"]), "item")
             yield block
 
 
@@ -153,13 +168,13 @@ def search(q, blocks, spec):
             blocked |= ~((shared > 0) | q["unfiltered"][:, None])
         if spec["query_order"]:
             blocked |= block["order"][None, :] >= q["order"][:, None]
-            if blocked.all():
-                continue
+        if spec["query_group"]:
+            blocked |= block["group"][None, :] == q["group"][:, None]
+        if blocked.all():
+            continue
         for name, query_col, item_col in spec["vectors"]:
-            s = _scores(q, query_col, block["units"][item_col], block["n"])
+            s = _scores(q, query_col, block["units"][item_col], block["n"], spec["min_score"])
             s[blocked] = -np.inf
-            if spec["min_score"] is not None:
-                s[s < spec["min_score"]] = -np.inf
             rows, cols, top = _block_best(s, spec["k"])
             if len(rows):
                 best[name].add(rows, block["keys"].take(pa.array(cols)), top)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from quillmesh.operators.chunking import (
     INDEX_CHUNK_CHARS,
@@ -17,22 +18,36 @@ from quillmesh.operators.chunking import (
 from quillmesh.operators.concepts import concept_rows, dedup_concepts
 from quillmesh.operators.embedding import CHUNK_TEXTS, Embedder, embed_columns
 from quillmesh.operators.notes import needs_reindex
+from quillmesh.session import materialize
 from quillmesh.sources.index_store import replace_files
 
 
 class Indexed(NamedTuple):
-    """Index rows with their three vectors, and the concepts found per note."""
+    """Index rows with their three vectors, the concepts found per note, and the notes that failed.
+
+    ``failed`` (note_path, error, failed_chunks): a note with a text that the embedder could not
+    take writes neither rows nor concepts; the other notes are not affected.
+    """
 
     rows: DataFrame
     concepts: DataFrame
+    failed: DataFrame
 
 
 def _finish(chunks: DataFrame, answers: DataFrame, embedder: Embedder, indexed_at: Column) -> Indexed:
-    annotated = annotate_chunks(chunks, answers)
+    # written once: both outputs and the list of failures read it
+    annotated = materialize(annotate_chunks(chunks, answers), "annotated")
     texts = with_embedding_texts(chunk_payload(annotated, indexed_at))
-    rows = embed_columns(texts, embedder, CHUNK_TEXTS).drop(*CHUNK_TEXTS, "error")
-    found = dedup_concepts(concept_rows(annotated), order=("index", "pos"))
-    return Indexed(rows, found)
+    embedded = materialize(embed_columns(texts, embedder, CHUNK_TEXTS, continue_on_error=True).drop(*CHUNK_TEXTS), "embedded")
+    failed = (
+        embedded.filter("error is not null")
+        .groupBy(F.col("file_path").alias("note_path"))
+        .agg(F.min("error").alias("error"), F.count("*").alias("failed_chunks"))
+    )
+    gone = failed.select(F.col("note_path").alias("file_path"))
+    rows = embedded.join(gone, "file_path", "left_anti").select(*[c for c in embedded.columns if c != "error"])
+    whole = annotated.join(failed.select("note_path"), "note_path", "left_anti")
+    return Indexed(rows, dedup_concepts(concept_rows(whole), order=("index", "pos")), failed)
 
 
 def index_notes(
@@ -63,6 +78,11 @@ def stale_notes(notes: DataFrame, note_state: DataFrame) -> DataFrame:
     return joined.filter(needs_reindex()).drop("me_indexed_at")
 
 
-def refresh_index(index: DataFrame, rows: DataFrame) -> DataFrame:
-    """Index with all chunks of the re-indexed files replaced."""
-    return replace_files(index, rows)
+def refresh_index(index: DataFrame, rows: DataFrame, stale: DataFrame | None = None) -> DataFrame:
+    """Index with all chunks of the re-indexed notes replaced.
+
+    ``stale`` (note_path) are the notes that were re-indexed: it decides what goes, so a
+    note edited to blank loses its chunks, and the chunk pipeline behind ``rows`` runs once.
+    """
+    files = None if stale is None else stale.select(F.col("note_path").alias("file_path"))
+    return replace_files(index, rows, files)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions.links import DEFAULT_PREFIX
 from quillmesh.operators.concepts import concept_aliases, concept_usage, dedup_concepts, resolve_concepts
 from quillmesh.operators.notes import new_names, set_concepts, set_indexed_at
-from quillmesh.operators.registry import register_batch, upsert_concepts
+from quillmesh.operators.registry import register_batch, touch_concepts, upsert_concepts
 
 
 class Applied(NamedTuple):
@@ -58,7 +58,8 @@ def apply_concepts(
 
     ``selected``: (ord, note_path, reason, match_info, name_vec, reason_vec),
     the vectors being those of the matched concept and the reason.  Only notes
-    with a confirmed concept change.
+    with a confirmed concept change.  In the returned registry a created concept counts one
+    use, and every match adds one and sets the last use, matches of concepts of the same batch included.
     """
     incoming = selected.withColumn("name", F.col("match_info.matched_concept"))
     outcome = register_batch(incoming, registry, prefix=prefix, **options)
@@ -68,10 +69,11 @@ def apply_concepts(
     touched = note_state.join(new_names(final), "note_path", "left")
     merged = set_concepts(touched, prefix)
     stamped = set_indexed_at(merged, F.when(F.col("new_names").isNotNull(), iso_time).otherwise(F.col("me_indexed_at")))
+    uses = outcome.filter("matched").select("concept")
     events = final.select(F.col("name").alias("concept"), "note_path", now.alias("ts"))
     return Applied(
         stamped.drop("new_names"),
         concept_aliases(final),
         concept_usage(events),
-        upsert_concepts(registry, new_entries(incoming, outcome), now),
+        touch_concepts(upsert_concepts(registry, new_entries(incoming, outcome), now), uses, now),
     )

@@ -60,9 +60,14 @@ def delete_files(index: DataFrame, files: DataFrame) -> DataFrame:
     return index.join(files.select("file_path"), "file_path", "left_anti")
 
 
-def replace_files(index: DataFrame, rows: DataFrame) -> DataFrame:
-    """Re-index whole files: their old chunks go, including stale numbers."""
-    kept = delete_files(index, rows.select("file_path").distinct())
+def replace_files(index: DataFrame, rows: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Re-index whole files: their old chunks go, including stale numbers.
+
+    ``files`` (file_path) lists the files that were re-indexed; one whose new text has no chunk
+    loses its old ones.  Without the list the files of ``rows`` stand for it.
+    """
+    replaced = rows if files is None else files
+    kept = delete_files(index, replaced.select("file_path").distinct())
     return kept.select(*index.columns).unionByName(rows.select(*index.columns))
 
 

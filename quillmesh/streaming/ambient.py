@@ -44,6 +44,8 @@ def start_recommender(
         stored = f"{path}/paragraphs/batch_id={batch_id}"
         batch.write.mode("overwrite").parquet(stored)
         found = batch.sparkSession.read.schema(batch.schema).parquet(stored)
+        if found.isEmpty():
+            return  # no paragraph, so no search over the index
         recommend(found, index(), embed, limit).write.mode("overwrite").parquet(
             f"{path}/recommendations/batch_id={batch_id}"
         )

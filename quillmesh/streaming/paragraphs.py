@@ -33,15 +33,21 @@ def extract_paragraphs(events: DataFrame, min_chars: int = MIN_CHARS) -> DataFra
     return out.filter(qualifies(F.col("paragraph"), min_chars)).withColumn("char_count", F.length("paragraph"))
 
 
+def _ties(arrival: str | None) -> list[str]:
+    return [*([arrival] if arrival else []), "cursor", "paragraph"]
+
+
 def debounce(
-    events: DataFrame, min_chars: int = MIN_CHARS, debounce_ms: int = DEBOUNCE_MS, slice_seconds: int = SLICE_SECONDS
+    events: DataFrame, min_chars: int = MIN_CHARS, debounce_ms: int = DEBOUNCE_MS, slice_seconds: int = SLICE_SECONDS,
+    arrival: str | None = None,
 ) -> DataFrame:
     """Batch form: qualifying changes that no change follows within the quiet time.
 
     The follower of a change is looked up within slices of one editor's time
     line, so an editor with very many changes is spread over many tasks.  Each
     slice also sees the first change of the next one; a change further away than
-    that is later than the quiet time in any case.
+    that is later than the quiet time in any case.  Changes of one instant count in the
+    order of ``arrival`` (a column, where there is one), cursor and paragraph: the last of them stands.
     """
     if debounce_ms <= 0:
         return extract_paragraphs(events, min_chars)
@@ -53,27 +59,29 @@ def debounce(
     both = sliced.withColumn("_own", F.lit(True)).unionByName(
         firsts.withColumn("_own", F.lit(False)), allowMissingColumns=True
     )
-    nxt = F.lead("ts").over(W.partitionBy("editor_id", "_slice").orderBy("ts"))
+    nxt = F.lead("ts").over(W.partitionBy("editor_id", "_slice").orderBy("ts", *_ties(arrival)))
     quiet = nxt.isNull() | (F.unix_micros(nxt) - F.unix_micros("ts") >= debounce_ms * 1000)
     out = both.withColumn("_quiet", quiet).filter("_own and _quiet").drop("_slice", "_own", "_quiet")
     return out.filter(qualifies(F.col("paragraph"), min_chars)).withColumn("char_count", F.length("paragraph"))
 
 
 def debounce_stream(
-    events: DataFrame, min_chars: int = MIN_CHARS, debounce_ms: int = DEBOUNCE_MS, watermark: str = "5 seconds"
+    events: DataFrame, min_chars: int = MIN_CHARS, debounce_ms: int = DEBOUNCE_MS, watermark: str = "5 seconds",
+    arrival: str | None = None,
 ) -> DataFrame:
     """Streaming form: the last change of every burst, if it finished a paragraph.
 
     A burst is a session whose gap is one microsecond below the quiet time, as
     changes exactly one quiet time apart do not cancel each other.  Only the
-    extracted paragraph of the last change is kept in state, not the text.
+    extracted paragraph of the last change is kept in state, not the text.  Ties of one
+    instant are as in ``debounce``.
     """
     if debounce_ms <= 0:
         return extract_paragraphs(events, min_chars)
     slim = events.select(
-        "editor_id", "ts", "cursor", finished_paragraph(F.col("content"), F.col("cursor")).alias("paragraph")
+        "editor_id", "ts", "cursor", *([arrival] if arrival else []), finished_paragraph(F.col("content"), F.col("cursor")).alias("paragraph")
     )
-    last = F.max_by(F.struct("ts", "cursor", "paragraph"), "ts").alias("last")
+    last = F.max_by(F.struct("ts", "cursor", "paragraph"), F.struct("ts", *_ties(arrival))).alias("last")
     bursts = (
         slim.withWatermark("ts", watermark)
         .groupBy("editor_id", F.session_window("ts", f"{debounce_ms * 1000 - 1} microseconds"))

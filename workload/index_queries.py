@@ -129,7 +129,7 @@ def q_sink_stats(spark, d):
 
 
 def q_incremental_index(spark, d):
-    """Old index of one placeholder per note; stale notes are chunked again."""
+    """Old index of one placeholder per note; stale notes are chunked again, some of them edited to blank."""
     notes, state = src.notes(spark, d), src.note_state(spark, d)
     old = notes.select(
         chunking.chunk_id(C("note_path"), F.lit(0)).alias("chunk_id"),
@@ -137,13 +137,15 @@ def q_incremental_index(spark, d):
         F.lit("old").alias("content"),
         F.lit(3).cast("bigint").alias("word_count"),
     )
-    fresh = chunking.chunk_notes(indexing.stale_notes(notes, state), MAX).select(
+    edited = notes.withColumn("content", F.when(C("doc_id") % 17 == 3, F.lit(" \n")).otherwise(C("content")))
+    stale = indexing.stale_notes(edited, state)
+    fresh = chunking.chunk_notes(stale, MAX).select(
         chunking.chunk_id(C("note_path"), C("index")).alias("chunk_id"),
         C("note_path").alias("file_path"),
         "content",
         F.length("content").cast("bigint").alias("word_count"),
     )
-    return indexing.refresh_index(old, fresh)
+    return indexing.refresh_index(old, fresh, stale)
 
 
 def _embedder(dim=vq.DIM):
@@ -334,7 +336,7 @@ from (select distinct note_path from extracted) p left join names using (note_pa
     + """select note_path || '-chunk-0' as chunk_id, note_path as file_path, 'old' as content, 3::bigint as word_count
 from notes where note_path not in (select note_path from stale)
 union all
-select note_path || '-chunk-' || index, note_path, content, length(content) from chunks where note_path in (select note_path from stale)""",
+select note_path || '-chunk-' || index, note_path, content, length(content) from chunks where note_path in (select note_path from stale) and note_path not in (select note_path from notes where doc_id % 17 = 3)""",
     "paragraph_extract": _EV + _EVC,
     "paragraph_debounce": _EV + _EVC + " where next_ts is null or next_ts - ts >= interval 1 second",
 }

@@ -154,8 +154,9 @@ def q_merge_spans(spark, d):
 
 def q_spans_fallback(spark, d):
     a = src.span_answers(src.notes(spark, d))
-    spans = chunking.resolved_spans(C("response"), md.preprocess(C("content")), MAX)
-    return _span_rows(a.select("note_path", spans.alias("spans")))
+    cleaned = a.select("note_path", "response", md.preprocess(C("content")).alias("cleaned"))
+    spans = chunking.resolved_spans(C("response"), C("cleaned"), MAX)
+    return _span_rows(cleaned.select("note_path", spans.alias("spans")))
 
 
 def q_slice_spans(spark, d):
