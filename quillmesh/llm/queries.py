@@ -43,7 +43,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = held_out(F.col("doc_id"), 5) == 0
     toxic = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
-    model = toxicity.train(docs.join(toxic.where(~held), "doc_id"))
+    model = toxicity.train(docs, toxic.where(~held))
     # the score reads texts only; whether a row was held out follows from its id
     found = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
     return found.select("doc_id", held.alias("held_out"), "score", "predicted")

@@ -111,32 +111,34 @@ class Ftrl:
         return -shrunk / ((self.beta + np.sqrt(n)) / self.alpha + self.l2)
 
 
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label", sample_rows: int = SAMPLE_ROWS) -> list[tuple[int, float]]:
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", sample_rows: int = SAMPLE_ROWS
+) -> list[tuple[int, float]]:
     """[(coordinate, weight)] with the bias under coordinate -1.
 
-    Fits on at most ``sample_rows`` labelled rows, the first in the order of their texts'
-    hashes, half of each label.  Rows with NULL label are left out.  Without rows: just a bias of -2.
+    Fits on the documents of at most ``sample_rows`` ids of ``labels``, the first in the order of their
+    hashes, half of each label.  The ids are chosen before any text is read and go to every executor; only the texts
+    chosen move.  Rows with NULL id or label are left out.  Without rows: just a bias of -2.
     """
-    rows = labelled.where(F.col(label_col).isNotNull()).select(text_col, F.col(label_col).cast("int").alias("y"))
+    rows = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    rows = rows.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
     half = sample_rows // 2
-    order = [F.xxhash64(text_col), F.col(text_col)]
-    one = rows.where("y = 1").orderBy(*order).limit(half)
-    zero = rows.where("y = 0").orderBy(*order).limit(half)
+    one, zero = (rows.where(F.col("_y") == v).orderBy(F.xxhash64("_id"), "_id").limit(half) for v in (1, 0))
+    chosen = F.broadcast(one.unionByName(zero))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(chosen, "_id").select("_text", "_y")
 
     def fit(batches):
         import pyarrow as pa
 
-        hasher, x, y = Hasher(), [], []
-        for b in batches:
-            for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x.append(hasher.features(text))
-                y.append(label)
+        hasher = Hasher()
+        found = sorted((t or "", y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        x, y = [hasher.features(t) for t, _ in found], [y for _, y in found]
         at, weights, bias = Ftrl().fit(x, y) if x else (np.empty(0), np.empty(0), -2.0)
         at, weights = np.append(at, -1).astype(np.int64), np.append(weights, bias)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(weights)], names=["at", "weight"])
 
-    fitted = one.unionByName(zero).coalesce(1).mapInArrow(fit, "at bigint, weight double")
-    return [(r.at, r.weight) for r in fitted.collect()]
+    fitted = texts.repartition(1).mapInArrow(fit, "at bigint, weight double")
+    return [(r.at, r.weight) for r in fitted.collect()] or [(-1, -2.0)]
 
 
 def score(docs: DataFrame, model: list[tuple[int, float]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -31,7 +31,7 @@ NET = language_id.fit(["hello there", "guten tag"] * 4, ["en", "de"] * 4, epochs
 OPERATORS = {
     "html": lambda s, d: html_text.extract_text(d.withColumn("url", F.lit(None).cast("string")), "doc_id", "url", "text"),
     "licenses": lambda s, d: licenses.scan(d, licenses.fit([])),
-    "toxicity": lambda s, d: toxicity.score(d, toxicity.train(d.withColumn("label", F.lit(1)))),
+    "toxicity": lambda s, d: toxicity.score(d, toxicity.train(d, d.withColumn("label", F.lit(1)))),
     "urls": lambda s, d: url_rules.match_urls(d, s.createDataFrame(RULES, "host string, path string, verdict string"), "doc_id", "text"),
     "pii": lambda s, d: pii.find_pii(d),
     "contamination": lambda s, d: decontamination.find_contamination(d, bench(s)),
@@ -82,7 +82,7 @@ def test_no_benchmark_no_labels(spark):
     data = rows(spark)
     assert not any(r.contaminated for r in decontamination.find_contamination(data, bench(spark).limit(0)).collect())
     assert decontamination.drop_contaminated(data, bench(spark).limit(0)).count() == data.count()
-    assert toxicity.train(data.withColumn("label", F.lit(None).cast("int"))) == [(-1, -2.0)]
+    assert toxicity.train(data, data.withColumn("label", F.lit(None).cast("int"))) == [(-1, -2.0)]
     assert language_id.train(data.withColumn("lang", F.lit(None).cast("string"))) is None
     assert {r.lang_pred for r in language_id.identify(data, None).collect()} == {"und"}
 

@@ -93,7 +93,7 @@ def test_toxicity_held_out(spark):
             words.insert(r.randrange(len(words)), r.choice(bad))
         rows.append((i, " ".join(words), int(toxic)))
     df = spark.createDataFrame(rows, "doc_id bigint, text string, label int")
-    model = toxicity.train(df.where("doc_id % 5 <> 0"))
+    model = toxicity.train(df, df.where("doc_id % 5 <> 0"))
     assert len(model) < 3_000  # L1 leaves few weights
     out = toxicity.score(df, model).join(df, F.col("id") == F.col("doc_id")).where("doc_id % 5 = 0").collect()
     assert sum(x.predicted == x.label for x in out) >= 0.97 * len(out)
