@@ -54,15 +54,38 @@ def is_truthy(v: Column) -> Column:
     )
 
 
+def _number_of_text(text: Column) -> Column:
+    based = lambda letter, digits, base: F.when(
+        text.rlike(f"^0[{letter}{letter.upper()}][{digits}]+$"), F.conv(F.substring(text, 3, 1000), base, 10).try_cast("double")
+    )
+    plain = F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("double"))
+    return F.coalesce(
+        F.when(text == "", F.lit(0.0)), plain, based("x", "0-9a-fA-F", 16), based("o", "0-7", 8), based("b", "01", 2)
+    )
+
+
 def to_number(v: Column) -> Column:
-    """Finite double, or NULL for anything that is not a finite number."""
+    """Finite double, or NULL for anything that is not a finite number.
+
+    Hexadecimal, octal and binary texts count; an array is the number of its text: 0 when empty,
+    its element's when it has one string, number or NULL, else none.
+    """
     kind = kind_of(v)
+
+    def of_array(items: Column) -> Column:
+        inner = kind_of(F.get(items, F.lit(0)))
+        one = F.when(inner == "VOID", F.lit(0.0)).when(
+            ~inner.isin("OBJECT", "ARRAY", "BOOLEAN"), _number_of_text(trim_ws(as_text(F.get(items, F.lit(0)))))
+        )
+        return F.when(F.size(items) == 0, F.lit(0.0)).when(F.size(items) == 1, one)
+
     text = trim_ws(as_text(v))
-    plain = F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("double"))
+    plain = _number_of_text(text)
     return (
         F.when(kind == "VOID", F.lit(0.0))
         .when(kind == "BOOLEAN", (as_text(v) == "true").cast("double"))
-        .when(kind.isin("OBJECT", "ARRAY"), F.lit(None).cast("double"))
+        .when(kind == "ARRAY", let(as_items(v), of_array))
+        .when(kind == "OBJECT", F.lit(None).cast("double"))
         .when((kind == "STRING") & (text == ""), F.lit(0.0))
         .otherwise(F.when(F.abs(plain) < F.lit(float("inf")), plain))
     )

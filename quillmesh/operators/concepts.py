@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions import links
 from quillmesh.functions.metadata import concept_details
 from quillmesh.functions.text import trim_ws
+from quillmesh.session import materialize
 
 # Declared defaults of the concept filter and the skip rules.
 MIN_CONFIDENCE = 0.7
@@ -188,11 +189,16 @@ def concept_aliases(applied: DataFrame) -> DataFrame:
     )
 
 
-def related_by_concept(targets: DataFrame, note_state: DataFrame) -> DataFrame:
+#: Notes of one link that meet its targets in one piece, about.
+SALT_ROWS = 10_000
+
+
+def related_by_concept(targets: DataFrame, note_state: DataFrame, limit: int | None = None) -> DataFrame:
     """Other notes that share stored links with the target notes.
 
     Returns (target_path, note_path, shared, shared_count, rank): shared links in
-    the other note's order with repeats kept, most shared first, ties by path.
+    the other note's order with repeats kept, most shared first, ties by path;
+    with ``limit`` only the first so many of each target.
     A bounded set of targets is broadcast and the notes are scanned in place;
     otherwise the two exploded link lists meet by link, the target side salted so
     that one popular link is spread over many tasks.
@@ -206,19 +212,34 @@ def related_by_concept(targets: DataFrame, note_state: DataFrame) -> DataFrame:
     if wanted.limit(BROADCAST_TARGETS + 1).count() <= BROADCAST_TARGETS:
         pairs = have.join(F.broadcast(wanted), "link")
     else:
-        salts = 32
-        salted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        spread = have.withColumn("salt", F.pmod(F.xxhash64("note_path"), F.lit(salts)).cast("int"))
+        # a piece holds some thousand notes of a link, however many notes list it
+        popular = have.groupBy("link").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts")).where("salts > 1")
+        salts = F.coalesce("salts", F.lit(1))
+        salted = wanted.join(popular, "link", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+        spread = have.join(popular, "link", "left").withColumn("salt", F.pmod(F.xxhash64("note_path"), salts).cast("int")).drop("salts")
         pairs = spread.join(salted, ["link", "salt"])
     shared = (
         pairs.filter(F.col("note_path") != F.col("target_path"))
         .groupBy("target_path", "note_path")
         .agg(F.sort_array(F.collect_list(F.struct("pos", "link"))).alias("s"))
     )
-    w = W.partitionBy("target_path").orderBy(F.desc("shared_count"), "note_path")
-    return shared.select(
+    counted = shared.select(
         "target_path",
         "note_path",
         F.transform("s", lambda x: x["link"]).alias("shared"),
         F.size("s").alias("shared_count"),
-    ).withColumn("rank", F.row_number().over(w))
+    )
+    if limit is not None:
+        # Spark keeps the best rows of each task before it moves any
+        w = W.partitionBy("target_path").orderBy(F.desc("shared_count"), "note_path")
+        return counted.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    # one target may have most of the notes: sort by ranges, and number each range from where the one before ends
+    order = [F.desc("shared_count"), F.col("note_path")]
+    ranged = counted.repartitionByRange("target_path", *order).withColumn("_range", F.spark_partition_id())
+    ranged = materialize(ranged, "related")
+    sizes = ranged.groupBy("target_path", "_range").agg(F.count("*").alias("_n"))
+    before = W.partitionBy("target_path").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("target_path", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = W.partitionBy("target_path", "_range").orderBy(*order)
+    numbered = ranged.withColumn("rank", F.row_number().over(own)).join(starts, ["target_path", "_range"])
+    return numbered.select(*counted.columns, (F.col("rank") + F.col("_before")).alias("rank"))

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.session import materialize
-
 # Size model of a cached chunk and the default budget.
 BYTES_PER_CHAR = 2
 BYTES_PER_NUMBER = 8
 OVERHEAD_BYTES = 100
 DEFAULT_BUDGET = 50 * 1024 * 1024
 
-HISTOGRAM_BUCKETS = 1024
+RANGES = 1024
 
 
 def cached_size(content: Column, embedding: Column, metadata_json: Column) -> Column:
@@ -26,45 +24,20 @@ def cached_size(content: Column, embedding: Column, metadata_json: Column) -> Co
 
 
 def hot_set(accesses: DataFrame, budget: int = DEFAULT_BUDGET) -> DataFrame:
-    """Newest chunks whose running size stays within the budget.
+    """Newest chunks whose running size stays within the budget; the newest is always kept.
 
-    ``last_access`` is a unique counter.  The newest chunk is always kept.
-    Instead of a running sum over one global order, the cut-off is found by
-    refining a histogram of at most 1,024 buckets over the counter, and the
-    result is a plain filter on it.  The wide columns are read once to store
-    (counter, size) pairs, which the few refinements then scan.
+    ``last_access`` is a unique counter.  The running size is a sum over ``RANGES`` equal ranges of the
+    counter, newest first, plus a running sum inside each range, so no task orders the whole table.
     """
-    sized = accesses.withColumn(
-        "cached_bytes", cached_size(F.col("content"), F.col("embedding"), F.col("metadata"))
-    )
-    narrow = materialize(sized.select("last_access", "cached_bytes"), "sizes")
-    span = narrow.agg(F.min("last_access"), F.max("last_access")).first()
-    if span[0] is None:
-        return sized
-    low, newest = span
-    high, used, cutoff = newest, 0, low
-    while True:
-        width = max(1, -(-(high - low + 1) // HISTOGRAM_BUCKETS))
-        bucket = F.floor((F.lit(high) - F.col("last_access")) / F.lit(width)).cast("bigint")
-        histogram = dict(
-            narrow.filter(F.col("last_access").between(low, high))
-            .groupBy(bucket.alias("b"))
-            .agg(F.sum("cached_bytes"))
-            .collect()
-        )
-        crossing = None
-        for b in sorted(histogram):
-            if used + histogram[b] > budget:
-                crossing = b
-                break
-            used += histogram[b]
-        if crossing is None:
-            cutoff = low
-            break
-        top = high - crossing * width
-        bottom = max(low, top - width + 1)
-        if width == 1:
-            cutoff = top + 1
-            break
-        low, high = bottom, top
-    return sized.filter(F.col("last_access") >= min(cutoff, newest))
+    sized = accesses.withColumn("cached_bytes", cached_size(F.col("content"), F.col("embedding"), F.col("metadata")))
+    ends = accesses.agg(F.min("last_access").alias("_low"), F.max("last_access").alias("_high"))  # one row
+    width = F.greatest(F.lit(1), F.ceil((F.col("_high") - F.col("_low") + 1) / RANGES))
+    ranged = sized.join(F.broadcast(ends)).withColumn("_range", F.floor((F.col("_high") - F.col("last_access")) / width))
+    # at most RANGES rows
+    totals = ranged.groupBy("_range").agg(F.sum("cached_bytes").alias("_bytes"))
+    newer = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_range", F.coalesce(F.sum("_bytes").over(newer), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("_range").orderBy(F.desc("last_access")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = ranged.withColumn("_inside", F.sum("cached_bytes").over(within)).join(F.broadcast(offsets), "_range")
+    fits = (F.col("_before") + F.col("_inside") <= budget) | (F.col("last_access") == F.col("_high"))
+    return running.where(fits).select(*sized.columns)

@@ -9,7 +9,7 @@ from quillmesh.operators import chunking
 from quillmesh.operators import registry as reg
 from quillmesh.operators.concepts import resolve_concepts, review_select
 from quillmesh.plans import indexing, review
-from quillmesh.session import fresh_path, materialize
+from quillmesh.session import fresh_path, materialize, path_exists
 from quillmesh.sources import index_store as store
 from quillmesh.streaming import ambient, paragraphs, sink
 from workload import concept_queries as cq
@@ -66,11 +66,13 @@ def q_index_count(spark, d):
 
 
 def q_index_clear(spark, d):
-    i = _index(spark, d)
-    rows = i.select(F.lit("before").alias("state")).unionByName(store.cleared(i).select(F.lit("after").alias("state")))
-    return rows.agg(
-        F.count_if(C("state") == "before").alias("points_before"), F.count_if(C("state") == "after").alias("points_after")
-    )
+    """A stored index is counted, cleared and counted again."""
+    path, rows = fresh_path(spark, "cleared"), _index(spark, d)
+    store.write_batch(store.as_upserts(rows, F.lit(0)), f"{path}/run=0", 0)
+    before = store.count_points(sink.stored_rows(spark, path)).first()["points"]
+    sink.clear(spark, path)
+    after = sink.stored_rows(spark, path).count() if path_exists(spark, path) else 0
+    return spark.createDataFrame([(before, after)], "points_before bigint, points_after bigint")
 
 
 def q_index_stats(spark, d):
@@ -189,7 +191,7 @@ def q_unified_index(spark, d):
                        "indexed_at", *heads)
 
 
-def q_apply_concepts(spark, d):
+def _applied(spark, d):
     """Reviewer's choice applied to the notes of the incoming concepts."""
     incoming, registry = cq.tables(spark, d)
     matches = reg.register_or_match(incoming, registry)
@@ -207,7 +209,20 @@ def q_apply_concepts(spark, d):
     state = incoming.select("note_path").distinct().select(
         "note_path", F.array(F.lit("[[_me/Kept]]")).alias("me_concepts"), F.lit(None).cast("string").alias("me_indexed_at")
     )
-    applied = review.apply_concepts(selected, registry, state, cq.now(), F.lit(cq.NOW_ISO))
+    return review.apply_concepts(selected, registry, state, cq.now(), F.lit(cq.NOW_ISO))
+
+
+def q_apply_registry(spark, d):
+    r = _applied(spark, d).registry
+    return r.select("concept", "note_count", (C("last_used_at") == cq.now()).alias("used_now"))
+
+
+def q_apply_usage(spark, d):
+    return _applied(spark, d).usage.select("concept", "note_count", "distinct_notes")
+
+
+def q_apply_concepts(spark, d):
+    applied = _applied(spark, d)
     return applied.note_state.select("note_path", F.array_join("me_concepts", "|").alias("me_concepts"), "me_indexed_at")
 
 
@@ -312,6 +327,14 @@ from payload p join uv_content c on c.key = p.chunk_id join uv_summary s on s.ke
     select i.note_path, b.concept, min(b.ord) as o from batch b join incoming i using (ord) group by 1, 2) group by 1)
 select p.note_path, '[[_me/Kept]]' || coalesce('|' || links, '') as me_concepts, case when links is not null then '{cq.NOW_ISO}' end as me_indexed_at
 from (select distinct note_path from extracted) p left join names using (note_path)""",
+    "apply_registry": cq.APPLIED
+    + """, uses as (select concept, count(*) as n from batch where matched group by 1),
+made as (select distinct i.name as concept from batch b join incoming i using (ord) where b.is_new)
+select concept, coalesce(r.note_count, 1) + coalesce(u.n, 0) as note_count, m.concept is not null or u.n is not null as used_now
+from (select concept from registry union select concept from made) a
+left join registry r using (concept) left join uses u using (concept) left join (select concept, concept as c2 from made) m using (concept)""".replace("m.concept is not null", "m.c2 is not null"),
+    "apply_usage": cq.APPLIED
+    + """ select b.concept, count(*) as note_count, count(distinct i.note_path) as distinct_notes from batch b join incoming i using (ord) group by 1""",
     "index_upsert": _IDX
     + f"""select {_COLS} from (
   select chunk_id, file_path, 'v2 ' || content as summary, tags, title_vec as content_vec from chunk_index where {_EVEN}

@@ -8,7 +8,7 @@ from quillmesh.functions import links, spans as sp
 from quillmesh.functions import markdown as md
 from quillmesh.functions import metadata as meta
 from quillmesh.functions.text import basename, lines_of, nonblank_queries, percent_badge
-from quillmesh.functions.vectors import hash_embedding
+from quillmesh.operators.embedding import embed_texts, split_results
 from quillmesh.operators import chunking
 from quillmesh.operators.concepts import skip_notes
 from quillmesh.sources.notes import scan_notes
@@ -267,8 +267,35 @@ DIM = 16
 
 
 def q_embed_text(spark, d):
-    n = src.notes(spark, d).select("note_path", F.posexplode(hash_embedding(C("content"), DIM)).alias("slot", "value"))
-    return n.select("note_path", *big("slot"), F.round("value", 6).alias("value"))
+    """Notes through the batch adapter; texts over its limit fail by themselves and are reported."""
+    done, failed = split_results(embed_texts(src.notes(spark, d).select("note_path", C("content").alias("text")), _limited(), continue_on_error=True))
+    slots = done.select("note_path", F.posexplode("vec").alias("slot", "value"))
+    good = slots.select("note_path", *big("slot"), F.round(C("value").cast("double"), 6).alias("value"), F.lit("").alias("error"))
+    return good.unionByName(failed.select("note_path", F.lit(-1).cast("bigint").alias("slot"), F.lit(0.0).alias("value"), "error"))
+
+
+TEXT_LIMIT = 6_000
+
+
+def _limited(dim=DIM, limit=TEXT_LIMIT):
+    """Word-hash vectors as a plain callable that, like a model, refuses texts that are too long."""
+
+    def embed(texts):
+        import hashlib
+        import re
+
+        out = []
+        for text in texts:
+            if len(text) > limit:
+                raise ValueError("text too long")
+            counts = [0.0] * dim
+            for word in re.findall(r"[^ \n]+", text.lower()):
+                counts[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim] += 1.0
+            norm = sum(c * c for c in counts) ** 0.5
+            out.append([c / norm if norm else 0.0 for c in counts])
+        return out
+
+    return embed
 
 
 def q_score_badge(spark, d):
@@ -511,10 +538,12 @@ from notes n join (
   when book = greatest(tech, diary, book, idea) then '读书笔记' else '想法灵感' end as category
 from (select note_path, {_HITS} from notes)""",
     "embed_text": sql.with_(sql.NOTES)
-    + f"""select note_path, slot, round(case when norm = 0 then 0 else c / norm end, 6) as value from (
+    + f"""select note_path, -1::bigint as slot, 0.0::double as value, 'text too long' as error from notes where length(content) > {TEXT_LIMIT}
+union all
+select note_path, slot, round((case when norm = 0 then 0 else c / norm end)::float::double, 6) as value, '' as error from (
   select note_path, slot, c, sqrt(sum(c * c) over (partition by note_path)) as norm from (
     select g.note_path, g.slot, coalesce(w.c, 0)::double as c
-    from (select note_path, unnest(range(0, {DIM})) as slot from notes) g left join (
+    from (select note_path, unnest(range(0, {DIM})) as slot from notes where length(content) <= {TEXT_LIMIT}) g left join (
       select note_path, ('0x' || substr(md5(w), 1, 8))::bigint % {DIM} as slot, count(*) as c from (
         select note_path, unnest(regexp_extract_all(lower(content), '[^ \\n]+')) as w from notes) group by all) w
     on w.note_path = g.note_path and w.slot = g.slot))""",
