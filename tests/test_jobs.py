@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from quillmesh.operators import concepts as con
 from quillmesh.operators import notes as state
 from quillmesh.operators.embedding import embed_columns, embed_texts, split_results
+from quillmesh.functions.coercion import to_number
 from quillmesh.operators.hotset import hot_set
 from quillmesh.plans import indexing, review
-from quillmesh.session import materialize, shared_dir
+from quillmesh.session import discard, materialize, path_exists, shared_dir
 from quillmesh.sources import index_store as store
 from quillmesh.sources.notes import read_vault
 
@@ -178,9 +179,11 @@ def test_vault_reader(spark, tmp_path):
     (tmp_path / "sub dir" / "a b.md").write_text("# A\nline\n", encoding="utf-8")
     (tmp_path / "c.md").write_bytes(b"x\xff")
     (tmp_path / "d.txt").write_text("no", encoding="utf-8")
+    (tmp_path / "sub dir" / "empty.md").write_text("", encoding="utf-8")
     got = {r["note_path"]: (r["title"], r["content"]) for r in read_vault(spark, str(tmp_path)).collect()}
     assert got["sub dir/a b.md"] == ("a b", "# A\nline\n")
-    assert got["c.md"] == ("c", "x\ufffd") and len(got) == 2
+    assert got["c.md"] == ("c", "x\ufffd") and len(got) == 3
+    assert got["sub dir/empty.md"] == ("empty", "")
 
 
 def test_indexing_jobs(spark):
@@ -230,7 +233,65 @@ def test_propose_and_apply(spark):
     }
     assert sorted(map(tuple, applied.aliases.collect())) == [("fresh 2", "Fresh"), ("known-ish", "Known")]
     assert {r["concept"]: r["note_count"] for r in applied.usage.collect()} == {"Known": 1, "Fresh": 2}
-    assert sorted(r["concept"] for r in applied.registry.collect()) == ["Fresh", "Known"]
+    stored = {r["concept"]: (r["note_count"], r["last_used_at"].isoformat()) for r in applied.registry.collect()}
+    assert {k: n for k, (n, _) in stored.items()} == {"Fresh": 2, "Known": 2}
+    assert len({at for _, at in stored.values()}) == 1 and "2024-02-01" in stored["Known"][1]
+
+
+def test_a_failing_text_fails_its_note_only(spark):
+    def embedder(texts):
+        if any("bad" in t for t in texts):
+            raise ValueError("refused")
+        return [[float(len(t)), 1.0] for t in texts]
+
+    notes = spark.createDataFrame([("good.md", "# A\nalpha"), ("half.md", "# A\nfine\n# B\nbad one")], "note_path string, content string")
+    answers = spark.createDataFrame(
+        [(n, i, '{"concepts":["c"]}') for n in ("good.md", "half.md") for i in (0, 1)], "note_path string, index int, response string"
+    )
+    out = indexing.index_notes(notes, answers, embedder, F.lit(5))
+    assert {r["file_path"] for r in out.rows.collect()} == {"good.md"}
+    assert {r["note_path"] for r in out.concepts.collect()} == {"good.md"}
+    assert [tuple(r) for r in out.failed.collect()] == [("half.md", "refused", 1)]
+
+
+def test_a_blanked_note_loses_its_chunks(spark):
+    index = spark.createDataFrame([("a-0", "a.md", "old"), ("b-0", "b.md", "old")], "chunk_id string, file_path string, content string")
+    rows = index.limit(0)
+    stale = spark.createDataFrame([("a.md", " ")], "note_path string, content string")
+    assert [r["chunk_id"] for r in indexing.refresh_index(index, rows, stale).collect()] == ["b-0"]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://somewhere:7077"
+            getCheckpointDir = staticmethod(lambda: None)  # noqa: N815
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_dir(Session)
+
+
+def test_discarded_tables_are_gone(spark):
+    df = materialize(spark.range(3), "probe")
+    discard(df)
+    assert not path_exists(spark, df.stored_at)
+
+
+def test_numbers_of_answers(spark):
+    values = {"[]": 0.0, '["3"]': 3.0, '"0x10"': 16.0, '"0b11"': 3.0, "[1,2]": None, '"x"': None, "[[4]]": None, "[null]": 0.0, '" 7 "': 7.0, "true": 1.0}
+    got = {v: one(spark, to_number(F.parse_json(F.col("c"))), c=v) for v in values}
+    assert got == values
+
+
+def test_related_notes_with_a_limit(spark):
+    rows = [(f"n{i:02d}", ["hot", f"l{i % 3}"]) for i in range(30)]
+    df = spark.createDataFrame(rows, "note_path string, me_concepts array<string>")
+    full = con.related_by_concept(df, df).select("target_path", "note_path", "rank")
+    few = con.related_by_concept(df, df, limit=4).select("target_path", "note_path", "rank")
+    assert sorted(few.collect()) == sorted(full.where("rank <= 4").collect())
 
 
 def test_intermediate_tables_live_in_the_shared_folder(spark):

@@ -30,9 +30,11 @@ def brute(queries, items, k, *, tags=False, min_score=None, ordered=False):
                 continue
             if ordered and i["pos"] >= q["pos"]:
                 continue
-            s = round(cosine(q["query_vec"], i["content_vec"]), 9) + 0.0
-            if min_score is None or s >= min_score:
-                found.append((-s, i["chunk_id"]))
+            if len(q["query_vec"]) != len(i["content_vec"]):
+                continue  # never a hit
+            raw = cosine(q["query_vec"], i["content_vec"])
+            if min_score is None or raw >= min_score:
+                found.append((-(round(raw, 9) + 0.0), i["chunk_id"]))
         for r, (s, key) in enumerate(sorted(found)[:k], 1):
             out.append((q["query_id"], key, round(-s, 7) + 0.0, r))
     return sorted(out)
@@ -148,5 +150,20 @@ def test_exclusion_happens_after_the_limit(spark):
     assert search_notes(q, index, 2).count() == 0
     more = search_notes(q, index, 2, exclude_before_limit=True).orderBy("rank").collect()
     assert [(r["note_path"], r["title"], len(r["excerpt"])) for r in more] == [("d/f1.md", "f1.md", 100)] * 2
+    # a note with many chunks near itself still leaves a full list
+    many = index.unionByName(index.limit(1).select(F.explode(F.sequence(F.lit(100), F.lit(140))).alias("n"), "*").withColumn(
+        "chunk_id", F.concat(F.lit("f0-chunk-"), "n")).drop("n"))
+    assert search_notes(q, many, 2, exclude_before_limit=True).count() == 2
     hits = spark.createDataFrame([(1, "d/f0.md")], "query_id int, file_path string")
     assert exclude_path(hits, q).count() == 0
+
+
+@pytest.mark.parametrize("plan", [{}, {"broadcast_rows": 0}, {"broadcast_rows": 0, "broadcast_items": 0}])
+def test_unusable_vectors_and_raw_thresholds(spark, plan):
+    v = [[-1.0, 0.1], None, [1.0], [float("nan"), 1.0], [float("inf"), 1.0]]
+    items = spark.createDataFrame([(f"c{n}", x) for n, x in enumerate(v)], "chunk_id string, content_vec array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, query_vec array<double>")
+    assert [r["chunk_id"] for r in nearest(q, items, 2, **plan).collect()] == ["c0"]
+    near = spark.createDataFrame([("a", [0.8999999997, (1 - 0.8999999997**2) ** 0.5])], "chunk_id string, content_vec array<double>")
+    assert nearest(q, near, 1, min_score=0.9, **plan).count() == 0
+    assert nearest(q, near, 1, min_score=0.8999999996, **plan).count() == 1

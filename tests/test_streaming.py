@@ -2,13 +2,14 @@
 
 import datetime as dt
 
+import pytest
 from conftest import one
 from pyspark.sql import functions as F
 
 from quillmesh.functions.vectors import hash_embedding
 from quillmesh.streaming import paragraphs as par
 from quillmesh.streaming.ambient import start_recommender
-from quillmesh.streaming.sink import sink_stats, start_sink, stored_rows
+from quillmesh.streaming.sink import clear, compact, sink_stats, start_sink, stored_rows
 
 T0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
 LONG = "word " * 30
@@ -78,10 +79,39 @@ def test_sink_keeps_last_write_and_survives_replay(spark, tmp_path):
     rows = lambda: sorted((r["chunk_id"], r["content"]) for r in stored_rows(spark, log).collect())
     assert rows() == [("a", "3"), ("b", "1"), ("c", "1")]
     assert tuple(sink_stats(spark, log).first()) == (4, 2, 0)
-    # Replaying everything from a fresh checkpoint rewrites the same folders.
+    # A fresh checkpoint is a run of its own: it adds to the log and overwrites nothing.
     stream = spark.readStream.schema(schema).parquet(src)
     start_sink(stream, log, str(tmp_path / "ck2"), interval=None).awaitTermination()
     assert rows() == [("a", "3"), ("b", "1"), ("c", "1")]
+    assert sink_stats(spark, log).first()["flush_count"] == 3
+    compact(spark, log, str(tmp_path / "small"))
+    assert sorted((r["chunk_id"], r["content"]) for r in stored_rows(spark, str(tmp_path / "small")).collect()) == rows()
+    clear(spark, log)
+    assert not (tmp_path / "log").exists()
+
+
+def test_failed_flush_is_counted(spark, tmp_path, monkeypatch):
+    src, log = str(tmp_path / "in"), str(tmp_path / "log")
+    spark.createDataFrame([("a", "1", 1)], "chunk_id string, content string, seq bigint").coalesce(1).write.parquet(src)
+
+    def run():
+        stream = spark.readStream.schema("chunk_id string, content string, seq bigint").parquet(src)
+        start_sink(stream, log, str(tmp_path / "ck"), interval=None).awaitTermination()
+
+    with monkeypatch.context() as broken:
+        broken.setattr("quillmesh.streaming.sink.write_batch", lambda *_: 1 / 0)
+        with pytest.raises(Exception):  # noqa: B017
+            run()
+    run()
+    assert tuple(sink_stats(spark, log).first()) == (1, 1, 1)
+
+
+def test_ties_of_one_instant(spark):
+    rows = [(1, 0, LONG + "a\n\n"), (1, 0, LONG + "bb\n\n"), (1, 0, LONG + "b\n\n")]
+    for data in (rows, rows[::-1]):
+        assert [r["paragraph"][-2:] for r in par.debounce(events(spark, data)).collect()] == ["bb"]
+    named = events(spark, rows).withColumn("n", F.length("content") * -1)
+    assert [r["paragraph"][-2:] for r in par.debounce(named, arrival="n").collect()] == [" b"]
 
 
 def test_recommender(spark, tmp_path):
