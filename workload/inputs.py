@@ -46,6 +46,16 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def long_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes of a hundred documents each, with some hundred lines up."""
+    one = F.struct("doc_id", "content")
+    joined = notes(spark, sf_dir).groupBy(F.floor(C("doc_id") / 100).alias("n")).agg(F.array_sort(F.collect_list(one)).alias("parts"))
+    return joined.select(
+        F.concat(F.lit("long/"), C("n").cast("string"), F.lit(".md")).alias("note_path"),
+        F.array_join(F.transform("parts", lambda x: x["content"]), "\n").alias("content"),
+    )
+
+
 def note_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     link = lambda n: F.concat(F.lit("[[_me/Concept_"), n.cast("string"), F.lit("]]"))

@@ -139,6 +139,14 @@ ACCESS = """access_log as (
     'c' || vec_id as content, embedding, '{"id":' || vec_id || '}' as metadata
   from embeddings)"""
 
+LONG_NOTES = (
+    NOTES.replace("notes as (", "single_notes as (", 1)
+    + f""",
+notes as (
+  select 'long/' || (doc_id // 100) || '.md' as note_path, string_agg(content, {NL} order by doc_id) as content
+  from single_notes group by 1)"""
+)
+
 LINES = f"""lines as (
   select note_path, line, line_no,
     coalesce(sum(length(line) + 1) over (partition by note_path order by line_no rows between unbounded preceding and 1 preceding), 0)::bigint as start_pos

@@ -102,6 +102,15 @@ def q_md_chunks(spark, d):
     return _chunk_rows(chunking.chunk_notes(src.notes(spark, d), MAX))
 
 
+def q_long_note_chunks(spark, d):
+    """Rule-based chunks of notes with very many lines."""
+    return _chunk_rows(chunking.chunk_notes(src.long_notes(spark, d), MAX))
+
+
+def q_long_note_masks(spark, d):
+    return src.long_notes(spark, d).select("note_path", F.md5(md.preprocess(C("content")).cast("binary")).alias("cleaned_md5"))
+
+
 def q_preprocess_notes(spark, d):
     return src.notes(spark, d).select("note_path", md.preprocess(C("content")).alias("cleaned"))
 
@@ -468,6 +477,8 @@ from (select *, floor(length(content) * doc_id / (doc_id + 3)::double)::bigint a
 from (select *, unnest(range(0, ((length(line) + {MAX - 1}) // {MAX})::bigint)) as i from lines where length(line) > {MAX})""",
     "chunk_no_headers": _CHUNKS + "select * from chunks where note_path not in (select note_path from headers)",
     "md_chunks": _CHUNKS + "select * from chunks",
+    "long_note_chunks": _CHUNKS.replace(sql.NOTES, sql.LONG_NOTES) + "select * from chunks",
+    "long_note_masks": sql.with_(sql.LONG_NOTES, sql.LINES, sql.KINDS, sql.MASKED) + "select note_path, md5(cleaned) as cleaned_md5 from masked",
     "preprocess_notes": sql.with_(sql.NOTES, sql.LINES, sql.KINDS, sql.MASKED) + "select * from masked",
     "frontmatter_span": _KINDS + "select note_path, coalesce(last_front, 0) as frontmatter_lines from front",
     "fence_state": _KINDS
