@@ -35,8 +35,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_slices(df: DataFrame, work: Callable[..., Iterator | list], schema: str, setup: Callable | None = None) -> DataFrame:
-    """Rows through ``work(columns..., [state])`` in Arrow tasks, some hundred rows at a time.
+def map_slices(df: DataFrame, work: Callable[..., Iterator | list], schema: str, setup: Callable | None = None, rows: int = SLICE_ROWS) -> DataFrame:
+    """Rows through ``work(columns..., [state])`` in Arrow tasks, ``rows`` at a time.
 
     ``work`` gets one Python list per column of ``df`` and returns one list per
     column of ``schema``.  ``setup()`` runs once in each task.
@@ -49,8 +49,8 @@ def map_slices(df: DataFrame, work: Callable[..., Iterator | list], schema: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = (setup(),) if setup else ()
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(start, SLICE_ROWS)
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
                 out = list(work(*[c.to_pylist() for c in part.columns], *state)) or [()] * len(target)
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, target, strict=True)], schema=target)
 

@@ -11,7 +11,8 @@
 4. Lists whose classes are all in one group are done: nothing can come of them.  For the others the
    token-group matrix holds the union of listed tokens of every group.  The tokens that a class shares with a
    group bound its overlap with any member; only groups that can reach the similarity are opened: first
-   for ``PROBES`` members each, which merges what belongs together, then for all members of those left.
+   for ``PROBES`` members each, which merges what belongs together, then for all members of those left,
+   in blocks that the union of their own tokens opens or keeps shut.
 
 No link between different sets is lost, a group of near copies costs rows in proportion to its members, and nothing but
 the ``HEAVY_TOKENS`` most frequent tokens goes through the driver.  Comparisons read the
@@ -43,6 +44,8 @@ HEAVY_LEAST = 16
 COUNT_TOKENS = 4_000_000
 #: Members of a group that a class is compared with before the group is opened as a whole.
 PROBES = 8
+#: Texts of a block of a group, about.
+BLOCK = 32
 #: Sets that a task remembers while it compares pairs.
 REMEMBERED = 2_000
 
@@ -241,19 +244,54 @@ def _ask(lists: DataFrame, grouped: DataFrame) -> DataFrame:
     return materialize(asked.where(F.col("shared") >= bound).select("a", "group", "members", "only"), "asked")
 
 
-def _opened(asked: DataFrame, grouped: DataFrame, done: DataFrame, probes: int | None) -> DataFrame:
-    """Pairs (a, b) of the classes asked and the members of their groups, at most ``probes`` of each, without those done."""
+def _probes(asked: DataFrame, grouped: DataFrame, done: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the classes asked and about ``PROBES`` members of their groups, without those done."""
     single = asked.where("members = 1").select("a", F.col("only").alias("b"))
     member = grouped.select(F.col("node").alias("b"), F.col("component").alias("group"))
-    if probes:
-        sizes = asked.where("members > 1").select("group", "members").distinct()
-        share = F.pmod(F.xxhash64("b", "group"), F.greatest(F.lit(1), F.floor(F.col("members") / probes)))
-        member = member.join(sizes, "group").where(share == 0).select("b", "group")
-    wide = asked.where("members > 1").select("a", "group").join(member, "group").select("a", "b")
+    sizes = asked.where("members > 1").select("group", "members").distinct()
+    share = F.pmod(F.xxhash64("b", "group"), F.greatest(F.lit(1), F.floor(F.col("members") / PROBES)))
+    chosen = member.join(sizes, "group").where(share == 0).select("b", "group")
+    wide = asked.where("members > 1").select("a", "group").join(chosen, "group").select("a", "b")
     pairs = single.unionByName(wide).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
 
 
+def _open(asked: DataFrame, grouped: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) of the classes asked and any member of their groups.
+
+    Both sides are cut into blocks of about ``BLOCK`` texts, and a row is a block of classes that ask beside a block of
+    members.  The union of a block's tokens bounds what a class can share with its members; only
+    where it is enough is the class compared with them.
+    """
+    wide = asked.select("a", "group")
+    members = grouped.select(F.col("node").alias("b"), F.col("component").alias("group")).join(wide.select("group").distinct(), "group")
+
+    def blocks(rows: DataFrame, key: str, names: tuple[str, str]) -> DataFrame:
+        sizes = rows.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("_blocks"))
+        placed = rows.join(sizes, "group").withColumn("_block", F.pmod(F.xxhash64(key), F.col("_blocks")))
+        full = placed.join(texts.withColumnRenamed("key", key), key).groupBy("group", "_block")
+        return full.agg(F.collect_list(key).alias(names[0]), F.collect_list("text").alias(names[1])).drop("_block")
+
+    def work(a, x, b, y, shingles):
+        left, right = [], []
+        for keys, texts_, others, theirs in zip(a, x, b, y, strict=True):
+            sets = [shingles.of(k, t) for k, t in zip(others, theirs, strict=True)]
+            union = np.unique(np.concatenate(sets))
+            for key, text in zip(keys, texts_, strict=True):
+                mine = shingles.of(key, text)
+                at = np.minimum(np.searchsorted(union, mine), len(union) - 1)
+                if DENOMINATOR * np.count_nonzero(union[at] == mine) < NUMERATOR * len(mine):
+                    continue
+                found = [o for o, s in zip(others, sets, strict=True) if similar(mine, s)]
+                left += [key] * len(found)
+                right += found
+        return left, right
+
+    both = blocks(wide, "a", ("a", "x")).join(blocks(members, "b", ("b", "y")), "group").select("a", "x", "b", "y")
+    found = map_slices(both, work, "a bigint, b bigint", Shingles, rows=4)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row: (id, rk, n_shingles, component_id, first).
 
@@ -301,11 +339,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # the token-group matrix over the lists that hold more than one group
     grouped = components(found)
-    probed = _opened(_ask(lists, grouped), grouped, pairs, PROBES)
+    probed = _probes(_ask(lists, grouped), grouped, pairs)
     found = materialize(found.unionByName(_verify(probed, texts)), "links")
     grouped = components(found)
-    rest = _opened(_ask(lists, grouped), grouped, pairs.unionByName(probed), None)
-    final = components(found.unionByName(_verify(rest, texts)))
+    rest = _ask(lists, grouped)
+    single = _probes(rest.where("members = 1"), grouped, pairs.unionByName(probed))
+    late = _verify(single, texts).unionByName(_open(rest.where("members > 1"), grouped, texts))
+    final = components(found.unionByName(late))
 
     joined = facts.where("kind = 0").join(final.withColumnRenamed("node", "key"), "key", "left")
     joined = joined.select("id", "rk", "n", "key", F.coalesce("component", "key").alias("group"))

@@ -342,6 +342,7 @@ def shingles(t):
 def test_jaccard_join(spark, monkeypatch, heavy, probes):
     monkeypatch.setattr(jaccard_join, "HEAVY_LEAST", heavy)
     monkeypatch.setattr(jaccard_join, "PROBES", probes)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4 * probes)
     r = random.Random(13)
     passage = prose(r, 60)
     texts = [prose(r, r.randint(0, 120)) for _ in range(80)]
