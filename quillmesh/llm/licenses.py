@@ -14,6 +14,7 @@ triples of the notices are literals whose size follows from the notices alone.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -60,7 +61,11 @@ SAMPLE_PARAGRAPHS = 1_500
 MIN_PROBABILITY = 0.5
 #: Share of word triples that confirms a prediction.
 MIN_TRIPLES = 0.5
+#: Words that more than this share of the corpus's own paragraphs have say nothing about licences; they, and pairs of them, are no features.
+COMMON_SHARE = 0.002
 _PARTS = r"[^\p{L}\p{N}]+"
+#: Splits at least where the one above does around plain letters and digits, and faster.
+_PLAIN_PARTS = "[^a-z0-9]+"
 
 
 def split_words(text: str) -> list[str]:
@@ -82,11 +87,8 @@ class Classifier:
     weights: dict[str, list[float]]
     bias: list[float]
     temperature: float
-
-    @property
-    def anchors(self) -> list[str]:
-        """Words that lift a family over unknown, alone or in a pair."""
-        return sorted({f.split(" ")[0] for f, w in self.weights.items() if max(w[:-1]) > w[-1]})
+    #: Of every word or pair that lifts a family over unknown the rarest word in the corpus.
+    anchors: list[str]
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -102,7 +104,9 @@ def fit(unknown: list[str], l1: float = 2e-4, steps: int = 400, rate: float = 4.
     rows += [(t, len(NOTICES)) for t in unknown if not known & set(grams(split_words(t), 3))]
     # text that talks of licences without granting one, and plain prose where the corpus gives none
     rows += [(t, len(NOTICES)) for t in ("the license plate of the car", "the general said to the public", "free software talk", "the source of the river", "a copy of the work")]
-    vocabulary = sorted({f for texts in NOTICES.values() for t in texts for f in features(t)})
+    seen = Counter(f for t in unknown for f in features(t))
+    most = max(2, COMMON_SHARE * len(unknown))
+    vocabulary = sorted({f for texts in NOTICES.values() for t in texts for f in features(t) if min(seen[w] for w in f.split(" ")) <= most})
     index = {f: i for i, f in enumerate(vocabulary)}
     x = np.zeros((len(rows), len(vocabulary)), np.float32)
     for i, (t, _) in enumerate(rows):
@@ -127,7 +131,9 @@ def fit(unknown: list[str], l1: float = 2e-4, steps: int = 400, rate: float = 4.
 
     temperature = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0), key=loss)
     kept = {f: [round(float(v), 6) for v in w[i]] for f, i in index.items() if np.abs(w[i]).max() > 1e-3}
-    return Classifier(families, kept, [round(float(v), 6) for v in b], temperature)
+    lifting = [f for f, v in kept.items() if max(v[:-1]) > v[-1]]
+    anchors = sorted({min(f.split(" "), key=lambda w: (seen[w], w)) for f in lifting})
+    return Classifier(families, kept, [round(float(v), 6) for v in b], temperature, anchors)
 
 
 def _variants(texts: tuple[str, ...]) -> list[str]:
@@ -178,7 +184,7 @@ def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: s
     })
     anchors = F.array(*[F.lit(a) for a in model.anchors])
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lowered = F.split(F.lower(text), _PARTS, -1)
+    lowered = F.split(F.lower(text), _PLAIN_PARTS, -1)
     lines = F.split(text, "\n", -1)
     paragraphs = F.filter(lines, lambda x: x.rlike(r"[\p{L}\p{N}]"))
 
@@ -211,7 +217,7 @@ def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: s
 
     candidates = F.filter(
         F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
-        lambda s: F.arrays_overlap(F.split(F.lower(s["x"]), _PARTS, -1), anchors),
+        lambda s: F.arrays_overlap(F.split(F.lower(s["x"]), _PLAIN_PARTS, -1), anchors),
     )
     hits = F.filter(
         F.transform(candidates, lambda s: judged(s["x"], s["i"])),
