@@ -52,7 +52,7 @@ HINT_WEIGHT = dict.fromkeys(
     "breadcrumb breadcrumbs newsletter subscribe signup login popup modal overlay pagination pager copyright widget toolbar topbar contentinfo complementary skip outbrain taboola".split(),
     -9.0,
 ) | dict.fromkeys("article content post entry story main articlebody".split(), 2.0) | {"header": HEADER}
-#: Words that mean nothing when a content word stands in the same attribute.
+#: What a block of links only adds, and where a block starts from.
 _LINKS = -5.0
 _BIAS = -1.2
 #: Smoothness: between neighbours, by their distance in the tree, and between blocks of one parent.
