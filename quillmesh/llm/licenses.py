@@ -6,8 +6,9 @@ below and on a bounded sample of the corpus's own paragraphs; L1 leaves few weig
 temperature chosen on rows kept aside calibrates the probabilities.  A prediction is confirmed if
 enough of the paragraph's word triples, or of the notice's, are those of a notice of the family.
 
-Only words with a weight in favour of a family can lift a paragraph above unknown, so texts without any of
-these are decided by one comparison of word sets.  Nothing is shuffled: the weights and the
+Only words with a weight in favour of a family can lift a paragraph above unknown, and frequent ones
+whose weights together cannot do so need not be looked for; texts without any of the others, the
+anchors, are decided by one comparison of word sets.  Nothing is shuffled: the weights and the
 triples of the notices are literals whose size follows from the notices alone.
 """
 
@@ -61,8 +62,6 @@ SAMPLE_PARAGRAPHS = 1_500
 MIN_PROBABILITY = 0.5
 #: Share of word triples that confirms a prediction.
 MIN_TRIPLES = 0.5
-#: Words that more than this share of the corpus's own paragraphs have say nothing about licences; they, and pairs of them, are no features.
-COMMON_SHARE = 0.002
 _PARTS = r"[^\p{L}\p{N}]+"
 #: Splits at least where the one above does around plain letters and digits, and faster.
 _PLAIN_PARTS = "[^a-z0-9]+"
@@ -87,7 +86,7 @@ class Classifier:
     weights: dict[str, list[float]]
     bias: list[float]
     temperature: float
-    #: Of every word or pair that lifts a family over unknown the rarest word in the corpus.
+    #: Words of which any paragraph that is not unknown has at least one.
     anchors: list[str]
 
 
@@ -104,9 +103,7 @@ def fit(unknown: list[str], l1: float = 2e-4, steps: int = 400, rate: float = 4.
     rows += [(t, len(NOTICES)) for t in unknown if not known & set(grams(split_words(t), 3))]
     # text that talks of licences without granting one, and plain prose where the corpus gives none
     rows += [(t, len(NOTICES)) for t in ("the license plate of the car", "the general said to the public", "free software talk", "the source of the river", "a copy of the work")]
-    seen = Counter(f for t in unknown for f in features(t))
-    most = max(2, COMMON_SHARE * len(unknown))
-    vocabulary = sorted({f for texts in NOTICES.values() for t in texts for f in features(t) if min(seen[w] for w in f.split(" ")) <= most})
+    vocabulary = sorted({f for texts in NOTICES.values() for t in texts for f in features(t)})
     index = {f: i for i, f in enumerate(vocabulary)}
     x = np.zeros((len(rows), len(vocabulary)), np.float32)
     for i, (t, _) in enumerate(rows):
@@ -131,9 +128,30 @@ def fit(unknown: list[str], l1: float = 2e-4, steps: int = 400, rate: float = 4.
 
     temperature = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0), key=loss)
     kept = {f: [round(float(v), 6) for v in w[i]] for f, i in index.items() if np.abs(w[i]).max() > 1e-3}
-    lifting = [f for f, v in kept.items() if max(v[:-1]) > v[-1]]
-    anchors = sorted({min(f.split(" "), key=lambda w: (seen[w], w)) for f in lifting})
-    return Classifier(families, kept, [round(float(v), 6) for v in b], temperature, anchors)
+    bias = [round(float(v), 6) for v in b]
+    return Classifier(families, kept, bias, temperature, _anchors(kept, bias, Counter(w for t in unknown for w in set(split_words(t)))))
+
+
+def _anchors(weights: dict[str, list[float]], bias: list[float], seen: Counter) -> list[str]:
+    """Words without any of which no family can reach the score of unknown.
+
+    A word or pair is looked for by its word that the sample ``seen`` has least often.  The most frequent of these words are left
+    out as long as all their words and pairs together lift no family over unknown; which words are frequent changes the work only.
+    """
+    lifts: dict[str, np.ndarray] = {}
+    for f, v in weights.items():
+        lift = np.maximum(np.array(v[:-1]) - v[-1], 0)
+        if lift.any():
+            word = min(f.split(" "), key=lambda w: (seen[w], w))
+            lifts[word] = lifts.get(word, 0) + lift
+    room = bias[-1] - np.array(bias[:-1]) - 1e-6
+    anchors = []
+    for word in sorted(lifts, key=lambda w: (-seen[w], w)):
+        if (lifts[word] < room).all():
+            room = room - lifts[word]
+        else:
+            anchors.append(word)
+    return sorted(anchors)
 
 
 def _variants(texts: tuple[str, ...]) -> list[str]:
@@ -182,6 +200,7 @@ def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: s
     triples = _map_of({
         f: F.array(*[F.lit(g) for g in sorted({g for t in texts for g in grams(split_words(t), 3)})]) for f, texts in NOTICES.items()
     })
+    vocabulary = F.array(*[F.lit(f) for f in model.weights])
     anchors = F.array(*[F.lit(a) for a in model.anchors])
     text = F.coalesce(F.col(text_col), F.lit(""))
     lowered = F.split(F.lower(text), _PLAIN_PARTS, -1)
@@ -189,9 +208,7 @@ def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: s
     paragraphs = F.filter(lines, lambda x: x.rlike(r"[\p{L}\p{N}]"))
 
     def probabilities(words: Column) -> Column:
-        found = F.filter(
-            F.transform(F.array_distinct(F.concat(words, _grams(words, 2))), lambda g: F.try_element_at(weights, g)), lambda w: w.isNotNull()
-        )
+        found = F.transform(F.array_intersect(F.concat(words, _grams(words, 2)), vocabulary), lambda g: F.try_element_at(weights, g))
         total = F.aggregate(found, _doubles(model.bias), lambda t, w: F.zip_with(t, w, lambda a, b: a + b))
         exps = lambda s: F.transform(s, lambda v: F.exp((v - F.array_max(s)) / model.temperature))
         share = lambda e: F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda t, u: t + u))

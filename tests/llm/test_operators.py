@@ -79,6 +79,28 @@ def test_licence_scan(spark):
     assert found[0].lines == "MIT:1!" and found[0].n_paragraphs == 2
 
 
+def test_frequent_licence_notice(spark):
+    r = random.Random(7)
+    notices = ["Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "All rights reserved."]
+    for notice in notices:
+        docs = frame(spark, ["\n".join([prose(r, 20) for _ in range(8)] + [notice] * (i % 3 == 0)) for i in range(300)])
+        found = licenses.scan(docs, licenses.train(docs)).collect()
+        assert {x.id for x in found if x.n_licensed == 1 and x.n_confirmed == 1} == set(range(0, 300, 3))
+        assert all(x.n_licensed == 0 for x in found if x.id % 3)
+
+
+def test_licence_anchors_skip_no_paragraph():
+    r = random.Random(8)
+    words = sorted({w for ts in licenses.NOTICES.values() for t in ts for w in licenses.split_words(t)})
+    model = licenses.fit([" ".join(r.choices(words, k=8)) for _ in range(200)] + [prose(r, 30) + " the of this under a" for _ in range(300)])
+    anchors = set(model.anchors)
+    assert len(anchors) < len({w for f in model.weights for w in f.split(" ")})
+    for _ in range(4_000):
+        t = " ".join(r.choices([w for w in words if w not in anchors] if r.random() < 0.7 else words, k=r.randint(1, 40)))
+        scores = np.sum([model.bias, *(model.weights[f] for f in licenses.features(t) if f in model.weights)], axis=0)
+        assert scores[:-1].max() < scores[-1] or anchors & set(licenses.split_words(t))
+
+
 # toxicity --------------------------------------------------------------------------------------------
 
 
