@@ -4,7 +4,8 @@ A paragraph (a line of the text) is described by its words and word pairs.  A
 logistic regression with a class for every licence family and one for unknown text is trained on the notices
 below and on a bounded sample of the corpus's own paragraphs; L1 leaves few weights.  A
 temperature chosen on rows kept aside calibrates the probabilities.  A prediction is confirmed if
-enough of the paragraph's word triples, or of the notice's, are those of a notice of the family.
+enough of the word triples of one notice of the family are in the paragraph, or enough of the
+paragraph's are those of the family's notices.
 
 Only words with a weight in favour of a family can lift a paragraph above unknown, and frequent ones
 whose weights together cannot do so need not be looked for; texts without any of the others, the
@@ -198,7 +199,7 @@ def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: s
     last = len(model.families) - 1
     weights = _map_of({f: _doubles(w) for f, w in model.weights.items()})
     triples = _map_of({
-        f: F.array(*[F.lit(g) for g in sorted({g for t in texts for g in grams(split_words(t), 3)})]) for f, texts in NOTICES.items()
+        f: F.array(*[F.array(*[F.lit(g) for g in sorted(set(grams(split_words(t), 3)))]) for t in texts]) for f, texts in NOTICES.items()
     })
     vocabulary = F.array(*[F.lit(f) for f in model.weights])
     anchors = F.array(*[F.lit(a) for a in model.anchors])
@@ -219,13 +220,13 @@ def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: s
             def of_shares(p: Column) -> Column:
                 at = F.array_position(p, F.array_max(p)).cast("int") - 1
                 family = F.get(families, at)
-                own = _grams(words, 3)
-                template = F.try_element_at(triples, family)
-                common = F.size(F.array_intersect(own, template))
-                near = F.greatest(F.lit(1), F.least(F.size(F.array_distinct(own)), F.size(template)))
+                own = F.array_distinct(_grams(words, 3))
+                notices = F.try_element_at(triples, family)
+                shared = F.size(F.array_intersect(own, F.flatten(notices))) >= MIN_TRIPLES * F.size(own)
+                whole = F.exists(notices, lambda n: F.size(F.array_intersect(own, n)) >= MIN_TRIPLES * F.size(n))
                 return F.struct(
                     family.alias("family"), number.alias("line"), F.array_max(p).alias("p"),
-                    F.coalesce((common >= MIN_TRIPLES * near) | (F.size(own) < 1), F.lit(False)).alias("confirmed"),
+                    F.coalesce(shared | whole, F.lit(False)).alias("confirmed"),
                 )
 
             return let(probabilities(words), of_shares)

@@ -89,6 +89,25 @@ def test_frequent_licence_notice(spark):
         assert all(x.n_licensed == 0 for x in found if x.id % 3)
 
 
+def test_notices_inside_long_lines(spark):
+    r = random.Random(9)
+    lines = {
+        "Released under the MIT License. See LICENSE for details.": "MIT:0!",
+        "Licensed under the Apache License, Version 2.0. See the NOTICE file distributed with this work for additional information.": "Apache-2.0:0!",
+        "Licensed under the Apache License.": "Apache-2.0:0!",
+        "the MIT License": "MIT:0!",
+        "the MIT License, and a license that nobody granted to anyone": "MIT:0",
+    }
+    short = [(f, t) for f, texts in licenses.NOTICES.items() for t in texts if 3 <= len(licenses.split_words(t)) <= 20]
+    texts = [*lines, *(f"{prose(r, 10)} {t} {prose(r, 10)}" for _, t in short)]
+    wanted = [*lines.values(), *(f"{f}:0!" for f, _ in short)]
+    model = licenses.fit([prose(r, 30) for _ in range(60)])
+    found = {x.id: x.lines for x in licenses.scan(frame(spark, texts), model).collect()}
+    assert [found[i] for i in range(len(lines))] == wanted[: len(lines)]
+    assert all(found[i] in (wanted[i], "") for i in range(len(texts))), [(texts[i], found[i]) for i in found if found[i] != wanted[i]]
+    assert sum(found[i] == wanted[i] for i in range(len(texts))) >= 0.9 * len(texts), [(texts[i], found[i]) for i in found if found[i] != wanted[i]]
+
+
 def test_licence_anchors_skip_no_paragraph():
     r = random.Random(8)
     words = sorted({w for ts in licenses.NOTICES.values() for t in ts for w in licenses.split_words(t)})
