@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from quillmesh.llm.common import map_slices
 
 # Elements whose text is never shown, elements without content, elements that end a
-# block, and those that an element of the same kind closes.
-DROPPED = frozenset("head title script style noscript template iframe object svg math select option textarea canvas audio video map datalist".split())
+# block, those that an element of the same kind closes, and those that may stand in a head (any other ends it).
+DROPPED = frozenset("head title script style noscript template iframe object svg select option textarea canvas audio video map datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 "
@@ -36,6 +36,7 @@ CLOSES = {
     "p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
     "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("thead", "tbody", "tr", "td", "th"),
 }
+IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 _SCOPES = frozenset("table ul ol dl div section article main body td th blockquote".split())
 
 #: What an element around a block adds to its log odds of being content.
@@ -95,8 +96,13 @@ class _Blocks(HTMLParser):
         self.linked = 0
         self.links = 0
         self.owner: Element | None = None
+        self.past_head = False
 
     def handle_starttag(self, tag, attrs):
+        if tag not in IN_HEAD:
+            self._end_head(tag)
+        elif tag == "head" and (self.past_head or self.here.tag == "head"):
+            return
         if tag in VOID:
             if tag == "hr":
                 self.flush()
@@ -150,6 +156,15 @@ class _Blocks(HTMLParser):
                 return
             at = at.parent
 
+    def _end_head(self, tag: str = "") -> None:
+        """Leave an open head before what may not stand in it; a body also ends what was left open in the head."""
+        at = self.here
+        while tag == "body" and at.parent is not None and at.tag not in ("head", "template"):
+            at = at.parent
+        if at.tag == "head":
+            self._leave(at.parent)
+        self.past_head = self.past_head or not self.here.dropped
+
     @staticmethod
     def _weight(tag, attrs, up: Element) -> tuple[float, bool]:
         weight = TAG_WEIGHT.get(tag, 0.0)
@@ -170,6 +185,8 @@ class _Blocks(HTMLParser):
         return weight, hidden
 
     def handle_data(self, data):
+        if not self.past_head and data.strip(" \t\n\r\f"):
+            self._end_head()
         if self.here.dropped:
             return
         if not self.parts or self.owner is None:

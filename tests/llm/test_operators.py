@@ -63,6 +63,28 @@ def test_main_text():
     assert len(html_text.main_text("<p>" + "word. " * 200_000)) == 1_199_999
 
 
+def test_open_heads():
+    whole = html_text.main_text(PAGE)
+    assert html_text.main_text(PAGE.replace("</head>", "")) == whole
+    assert html_text.main_text(PAGE.replace("</head><body>", "").replace("</body></html>", "")) == whole
+    assert html_text.main_text(PAGE.replace("</head>", "<noscript><link href=x>")) == whole
+    assert html_text.main_text(PAGE.replace("</li>", "").replace("</p>", "").replace("</head>", "")) == whole
+    body = "<p>One sentence of the page that is long enough to be kept.<p>Another sentence that is long enough to be kept."
+    two = "One sentence of the page that is long enough to be kept.\nAnother sentence that is long enough to be kept."
+    for tag in ("main", "article", "div class=post", "section class=content", "center class=entry"):
+        head = "<!doctype html><html><head><meta charset=utf-8><title>No</title><script>no()</script><style>no{}</style>\n"
+        assert html_text.main_text(f"{head}<{tag}>{body}") == two
+        assert html_text.main_text(f"{head}<body><{tag}>{body}<head>") == two
+        assert html_text.main_text(f"{head}<template><p>No words of this, as it is never shown to anyone.</template><{tag}>{body}") == two
+    assert html_text.main_text("<head><title>T</title>\n" + two.replace("\n", "<br>")) == two.replace("\n", " ")
+    assert html_text.main_text("<head><head><title>No</title></head><body>" + body) == two
+
+
+def test_formulas_are_text():
+    page = "<article><p>The sum <math><mi>a</mi><mo>+</mo><mi>b</mi></math> is what we looked for here.</article>"
+    assert html_text.main_text(page) == "The sum a+b is what we looked for here."
+
+
 # licences --------------------------------------------------------------------------------------------
 
 
