@@ -330,7 +330,7 @@ def added_spans(text: str, base: list[Span], field: SemiMarkov) -> list[Span]:
         while at < len(known) and known[at][1] <= start:
             at += 1
         inside = [k for k in known[at : at + 1 + MAX_TOKENS] if k[0] < end]
-        if sum(e - s for s, e in inside) >= len(text[start:end].rstrip(".,;:!?)")):
+        if not _marks_left(text, start, end, inside):
             continue  # base spans are all there is
         low = max(0, start - 16)
         for a, b, k, margin in field.decode(text[low : end + 2]):
@@ -340,6 +340,16 @@ def added_spans(text: str, base: list[Span], field: SemiMarkov) -> list[Span]:
     return out
 
 
+def _marks_left(text: str, start: int, end: int, spans: list[tuple[int, int]]) -> bool:
+    """Whether a digit or an @ between the bounds is outside all spans (by start); every segment holds one."""
+    at = start
+    for s, e in spans:
+        if s > at and _MARK.search(text, at, min(s, end)):
+            return True
+        at = max(at, e)
+    return at < end and _MARK.search(text, at, end) is not None
+
+
 def _meets(known: list[tuple[int, int]], a: int, b: int) -> bool:
     i = bisect_left(known, (b, -1))
     return any(e > a for _, e in known[max(0, i - 4) : i])
