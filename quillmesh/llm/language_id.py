@@ -22,9 +22,8 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 EMBEDDING = 8
-#: Labelled texts per language that the network is fitted on, about; and languages at most.
+#: Labelled texts per language that the network is fitted on, about.
 SAMPLE_ROWS = 600
-MAX_LANGUAGES = 400
 EPOCHS = 5
 #: Windows that are worked on at a time.
 CHUNK = 256
@@ -125,7 +124,8 @@ def fit(texts: list[str], labels: list[str], epochs: int = EPOCHS, batch: int =
     languages = sorted(set(labels))
     net = Network(languages)
     rng = np.random.default_rng(11)
-    y = np.array([languages.index(v) for v in labels])
+    number = {v: i for i, v in enumerate(languages)}
+    y = np.array([number[v] for v in labels])
     weight = (len(y) / (len(languages) * np.bincount(y, minlength=len(languages))))[y].astype(np.float32)
     cut = [windows_of(t) for t in texts]
     m = [np.zeros_like(p) for p in net.parameters()]
@@ -147,19 +147,17 @@ def fit(texts: list[str], labels: list[str], epochs: int = EPOCHS, batch: int =
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Network | None:
     """A network from about ``sample_rows`` texts per language; None if no row has both text and language.
 
-    Rows are chosen by the hash of their text, at a rate that the count of their language sets.
+    Every language is learned.  Rows are chosen by the hash of their text, at a rate that the count of their language sets.
     """
     import pickle
 
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
     )
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return None
     million = 1_000_000
-    rate = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(million, million * sample_rows // r["n"] + 1))])
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(million)) < F.coalesce(F.try_element_at(rate, F.col("lang")), F.lit(0)))
+    rates = rows.groupBy("lang").agg(F.expr(f"{million * sample_rows} div count(*) + 1").alias("rate"))
+    known = rows.join(F.broadcast(rates), "lang")
+    chosen = known.where(F.pmod(F.xxhash64("text"), F.lit(million)) < F.col("rate")).select("text", "lang")
 
     def run(batches):
         import pyarrow as pa

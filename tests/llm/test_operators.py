@@ -377,6 +377,12 @@ def test_language_held_out(spark):
     assert {x.lang_pred for x in got if x.doc_id >= 900} == {"und"} and all(0 <= x.score <= 1 for x in got)
 
 
+def test_every_language_is_learned(spark):
+    rows = [(f"text number {i} of {i % 450}", f"l{i % 450:03}") for i in range(900)]
+    net = language_id.train(spark.createDataFrame([*rows, (None, "none"), ("no language", None)], "text string, lang string"), sample_rows=2)
+    assert net.languages == sorted({v for _, v in rows})
+
+
 def test_tables_equal_convolution():
     net = language_id.Network(["a", "b"])
     x = np.random.default_rng(1).integers(0, 256, (3, language_id.WINDOW)).astype(np.uint8)
