@@ -334,7 +334,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = facts.where("kind = 0 and key is not null")
     wanted = lists.select("key").distinct()
     chosen = classes.join(wanted, "key").groupBy("key").agg(F.min("rk").alias("rk"))
-    texts = materialize(rows.select("rk", "text").join(chosen, "rk").select("key", "text"), "texts")
+    # repeated rows are equal in rk; one text for each class
+    texts = rows.select("rk", "text").join(chosen, "rk").dropDuplicates(["rk", "key"])
+    texts = materialize(texts.select("key", "text"), "texts")
     found = materialize(_verify(pairs, texts), "links")
 
     # the token-group matrix over the lists that hold more than one group

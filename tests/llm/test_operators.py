@@ -445,6 +445,20 @@ def test_jaccard_join(spark, monkeypatch, heavy, probes):
     assert got == {i: (len(sets[i]), wanted[i]) for i in sets}
 
 
+def test_repeated_rows_have_one_text(spark, monkeypatch):
+    r = random.Random(15)
+    words = prose(r, 150).split()
+    near = [" ".join(words[:k] + [r.choice(WORDS)] + words[k + 1 :]) for k in range(0, 150, 30)]
+    rows = [(None, near[0])] * 40 + [(7, near[1])] * 30 + [(8 + i, t) for i, t in enumerate(near)]
+    seen = []
+    verify = jaccard_join._verify
+    monkeypatch.setattr(jaccard_join, "_verify", lambda pairs, texts: seen.append(texts) or verify(pairs, texts))
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()
+    assert len(got) == len(rows) and {x.component_id for x in got} == {7}
+    keys = [x.key for x in seen[0].select("key").collect()]
+    assert sorted(set(keys)) == sorted(keys) and len(keys) == len(near)
+
+
 def test_components(spark):
     r = random.Random(14)
     edges = [(i, i + 1) for i in range(100, 160)] + [(r.randrange(300, 400), r.randrange(300, 400)) for _ in range(60)] + [(7, 7), (5, 900), (900, 5), (5, 6)]
