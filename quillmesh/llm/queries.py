@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import decontamination, html_text, jaccard_join, language_id, licenses, packing, pii, quality_rules, toxicity, url_rules
+from quillmesh.llm import decontamination, hard_negatives, html_text, importance_resampling, jaccard_join, language_id, licenses
+from quillmesh.llm import packing, pii, quality_rules, token_cache, toxicity, url_rules
 from quillmesh.llm.common import held_out, table
 from quillmesh.llm.oracle import SQL  # noqa: F401
+from quillmesh.session import fresh_path
 
 # The url rules of the query.
 URL_RULES = [
@@ -78,6 +80,27 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    # a cache of its own, so that every run encodes all distinct texts
+    cache = fresh_path(spark, "token-cache")
+    found = token_cache.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), cache)
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return importance_resampling.resample(docs, target, percent=10, seed=2024, min_words=20).withColumnRenamed("id", "doc_id")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, i = table(spark, sf_dir, "embeddings"), F.col("vec_id")
+    label = F.when(i % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vec = hard_negatives.scaled(F.col("embedding"), 256)
+    return hard_negatives.mine(e.select(i.alias("id"), label.alias("label"), vec.alias("vec"), (i % 100 == 0).alias("anchor")))
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_license_scan": op2_license_scan,
@@ -89,4 +112,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_token_counts": op11_token_counts,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_hard_negatives": op13_hard_negatives,
 }
