@@ -208,7 +208,8 @@ def scaled(vec: Column, scale: int) -> Column:
 
 def _floor_percent(score: str, percent: int) -> Column:
     """floor(percent * score / 100) in whole numbers."""
-    return F.expr(f"({percent} * ({score}) - pmod({percent} * ({score}), 100)) div 100")
+    share = f"cast({percent} as decimal(6, 0)) * cast({score} as decimal(20, 0))"
+    return F.expr(f"({share} - pmod({share}, cast(100 as decimal(6, 0)))) div 100")
 
 
 def mine(
