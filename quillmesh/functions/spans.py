@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillmesh.functions.coercion import as_items, as_text, field, is_truthy, kind_of, parse_answer, to_number
-from quillmesh.functions.text import let, lines_of, or_else, running_starts, trim_ws
+from quillmesh.functions.text import let, lines_of, or_else, running_starts, scan, trim_ws
 
 # Fixed value: title of an untitled span.
 UNTITLED = "未命名段落"
@@ -77,20 +77,19 @@ def merge_spans(spans: Column) -> Column:
     Input must be sorted by start line.
     """
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
+    def step(last: Column, x: Column) -> tuple[Column, Column]:
         overlaps = F.coalesce(x["start_line"] <= last["end_line"], F.lit(False))
         grown = F.struct(
             last["title"].alias("title"),
             last["start_line"].alias("start_line"),
             F.greatest(last["end_line"], x["end_line"]).alias("end_line"),
             last["header_path"].alias("header_path"),
-        )
-        return F.when(
-            overlaps, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))
-        ).otherwise(F.concat(acc, F.array(x)))
+        ).cast(SPAN)
+        closed = F.when(overlaps | last.isNull(), none).otherwise(F.array(last))
+        return F.when(overlaps, grown).otherwise(x), closed
 
-    return F.aggregate(spans, F.array().cast(f"array<{SPAN}>"), step)
+    none = F.array().cast(f"array<{SPAN}>")
+    return scan(spans, F.lit(None).cast(SPAN), SPAN, step, lambda last: F.when(last.isNull(), none).otherwise(F.array(last)))
 
 
 def spans_from_chunks(chunk_array: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The characters that count as whitespace when trimming note text,
@@ -33,6 +33,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def numbered(df: DataFrame, array: str, *keep: str, pos: str, item: str) -> DataFrame:
+    """One row per element of a computed array column, with its position; none for empty arrays.
+
+    An inner generator lets Catalyst infer a filter on the array's size and push it below the projections
+    that compute the array, which then runs twice.  An outer one does not.
+    """
+    rows = df.select(*keep, F.posexplode_outer(array).alias(pos, item))
+    return rows.filter(F.col(pos).isNotNull())
+
+
 def trim_ws(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACE_CHARS))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions import markdown as md
 from quillmesh.functions import metadata as meta
 from quillmesh.functions import spans as sp
-from quillmesh.functions.text import is_blank, let, lines_of, or_else
+from quillmesh.functions.text import is_blank, let, lines_of, numbered, or_else
 
 # Chunk size used when indexing, and the summary stand-in length.
 INDEX_CHUNK_CHARS = 500
@@ -51,7 +51,7 @@ def span_chunks(notes: DataFrame, answers: DataFrame, max_chars: int = INDEX_CHU
     spans = resolved_spans(F.coalesce(F.col("response"), F.lit("")), F.col("cleaned"), max_chars)
     found = masked.select("note_path", "content", spans.alias("spans"))
     cut = found.select("note_path", let(F.col("spans"), lambda s: sp.slice_spans(F.col("content"), s)).alias("cut"))
-    rows = cut.select("note_path", F.posexplode("cut").alias("index", "c"))
+    rows = numbered(cut, "cut", "note_path", pos="index", item="c")
     return rows.select("note_path", "index", *[F.col(f"c.{x}").alias(x) for x in CHUNK_FIELDS])
 
 

@@ -9,6 +9,7 @@ from quillmesh.functions.links import DEFAULT_PREFIX, wrap
 from quillmesh.functions.text import let
 from quillmesh.operators.fusion import rrf_fusion
 from quillmesh.operators.knn import nearest
+from quillmesh.operators.tiles import Lists, earliest_near, fit_lists, into_lists
 from quillmesh.session import discard, materialize
 
 # Thresholds, page size, and the rank constant of the concept fusion
@@ -161,43 +162,99 @@ def _outcome(base: DataFrame, known: DataFrame, prefix: str) -> DataFrame:
 # ------------------------------------------------------------- batch registration
 
 
-def elect_leaders(candidates: DataFrame, threshold: float = STRICT_THRESHOLD, **knn_options) -> DataFrame:
+#: Earlier neighbours listed per candidate in the first pass; each further pass lists four times as many.
+NEIGHBOURS = 16
+#: Edges that one task decides at a time.
+TASK_EDGES = 2_000_000
+#: Candidates per list of the threshold join.
+LIST_ROWS = 2048
+
+
+def elect_leaders(candidates: DataFrame, threshold: float = STRICT_THRESHOLD, neighbours: int = NEIGHBOURS) -> DataFrame:
     """Which candidates become new concepts when taken strictly in ``ord`` order.
 
-    A candidate is a leader unless an earlier leader's name vector is within the
-    threshold.  Rounds: everyone without an earlier undecided neighbour leads;
-    everyone near a leader follows; repeat until none is left.  Each round asks
-    only for the single nearest earlier neighbour, so a large group of near
-    copies yields one row per member, never its pairs, and equal vectors are
-    collapsed to their first occurrence before anything is compared.  Round
-    results are written to the shared folder, so a lost executor costs no more
-    than one round.
+    A candidate is a leader unless an earlier leader's name vector is within the threshold.
+
+    One threshold join over lists around centres gives every candidate its few earliest
+    neighbours before it: edges in proportion to the candidates, however large a group of near copies is.
+    They decide nearly everyone, without another look at vectors: a listed leader makes a follower,
+    and a complete list of followers makes a leader.  A candidate stays open if its list is full and holds
+    followers only, or if it waits for an open one.  Open candidates are joined again, with longer
+    lists, to leaders and open candidates only; the earliest is then decided whatever happens.
+    Equal vectors are collapsed to their first occurrence before.
     """
     norm = F.aggregate("name_vec", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
-    flagged = candidates.select("ord", "name_vec", (norm > 0).alias("nonzero"))
+    flagged = candidates.select("ord", "name_vec", F.coalesce(norm > 0, F.lit(False)).alias("nonzero"))
     alone = flagged.filter(~F.col("nonzero")).select("ord")
-    undecided = materialize(
-        flagged.filter("nonzero").groupBy("name_vec").agg(F.min("ord").alias("ord")).select("ord", "name_vec"),
-        "undecided",
-    )
-    leaders = alone
-    same = {
-        "k": 1,
-        "vectors": [("name", "name_vec", "name_vec")],
-        "query_key": "ord",
-        "item_key": "other",
-        "min_score": threshold,
-    }
-    while not undecided.isEmpty():
-        others = undecided.select(F.col("ord").alias("other"), "name_vec")
-        behind = nearest(undecided, others, query_order="ord", item_order="other", **same, **knn_options)
-        new = materialize(undecided.join(behind.select("ord"), "ord", "left_anti"), "leaders")
-        leaders = leaders.unionByName(new.select("ord"))
-        near = nearest(undecided, new.select(F.col("ord").alias("other"), "name_vec"), **same, **knn_options)
-        before, undecided = undecided, materialize(undecided.join(near.select("ord"), "ord", "left_anti"), "undecided")
-        discard(before)
-    discard(undecided)
-    return leaders
+    distinct = flagged.filter("nonzero").groupBy("name_vec").agg(F.min("ord").cast("bigint").alias("ord"))
+    distinct = materialize(distinct.select("ord", F.col("name_vec").alias("vec")), "candidates")
+    lists = fit_lists(distinct, "vec", "ord", count=max(1, distinct.count() // LIST_ROWS))
+    status = _decide(distinct, distinct, threshold, neighbours, lists)
+    while not (still := status.filter("status = 'open'").select("ord")).isEmpty():
+        neighbours *= 4
+        rest = distinct.join(still, "ord", "left_semi")
+        among = distinct.join(status.filter("status <> 'follower'").select("ord"), "ord", "left_semi")
+        again = _decide(rest, among, threshold, neighbours, lists)
+        before, status = status, materialize(status.filter("status <> 'open'").unionByName(again), "status")
+        discard(before, again)
+    return status.filter("status = 'leader'").select("ord").unionByName(alone)
+
+
+def _decide(rows: DataFrame, among: DataFrame, threshold: float, neighbours: int, lists: Lists) -> DataFrame:
+    """(ord, status) of every row: leader, follower or open; ``among`` are the rows and earlier leaders."""
+    stored = into_lists(among.select(F.col("ord").alias("other"), "vec"), "vec", lists)
+    edges = materialize(earliest_near(rows, stored, threshold, neighbours, lists), "edges")
+    pieces = -(-edges.count() // TASK_EDGES)
+    ends = edges.agg(F.percentile_approx("ord", [i / pieces for i in range(1, pieces)])).first()[0] if pieces > 1 else []
+    bounds, decided = [None, *ends, None], None
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        part = edges
+        if low is not None:
+            part = part.filter(F.col("ord") > low)
+        if high is not None:
+            part = part.filter(F.col("ord") <= high)
+        if decided is not None:
+            part = part.join(decided.select(F.col("ord").alias("other"), "status"), "other", "left")
+        else:
+            part = part.withColumn("status", F.lit(None).cast("string"))
+        part = part.select("ord", "other", "status").repartition(1).sortWithinPartitions("ord", "other")
+        found = materialize(part.mapInArrow(_in_order(neighbours), "ord bigint, status string"), "decided")
+        before, decided = decided, found if decided is None else materialize(decided.unionByName(found), "decided")
+        if before is not None:
+            discard(before, found)
+    # a row without edges has nobody before it
+    free = rows.select("ord").join(decided.select("ord"), "ord", "left_anti").withColumn("status", F.lit("leader"))
+    result = materialize(decided.unionByName(free), "status")
+    discard(stored, edges, decided)
+    return result
+
+
+def _in_order(neighbours: int):
+    """Decide rows of (ord, other, status of other) that come sorted; an unknown other has no edges and leads."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        own, status = None, {}
+        seen = set()
+        size = 0
+
+        def close():
+            if own is not None:
+                status[own] = "follower" if "leader" in seen else "open" if "open" in seen or size >= neighbours else "leader"
+
+        for batch in batches:
+            for ord_, other, known in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if ord_ != own:
+                    close()
+                    own, size = ord_, 0
+                    seen.clear()
+                seen.add(status.get(other) or known or "leader")
+                size += 1
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(list(status), pa.int64()), pa.array(list(status.values()), pa.string())], names=["ord", "status"])
+
+    return run
 
 
 def register_batch(
@@ -220,7 +277,7 @@ def register_batch(
         register_or_match(incoming, registry, strict=strict, loose=loose, prefix=prefix, **knn_options), "snapshot"
     )
     fresh = incoming.join(snapshot.filter("is_new").select("ord"), "ord", "left_semi")
-    leaders = elect_leaders(fresh, strict, **knn_options)
+    leaders = elect_leaders(fresh, strict)
     created = materialize(
         incoming.join(leaders, "ord", "left_semi").select("ord", "name", "reason", "name_vec"), "created"
     )

@@ -222,3 +222,87 @@ def add_buckets(batch, vec_col, planes, bands):
     offsets = pa.array(np.r_[0, np.cumsum(np.where(known, bands, 0))].astype(np.int32))
     lists = pa.ListArray.from_arrays(offsets, pa.array(numbers[known].ravel()))
     return pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "buckets"])
+
+
+#: Rows whose distances to all centres are held at a time.
+ROUTE_ROWS = 1024
+
+
+def fit_centres(units, count, rounds):
+    """Spherical k-means from the first ``count`` rows; an empty group keeps its centre.
+
+    Scores are rounded before a centre is chosen (ties: the first), and centres after each round, so that
+    the result does not depend on the order of sums.
+    """
+    centres = units[:count].round(6)
+    for _ in range(rounds):
+        home = np.concatenate([_rounded(units[a : a + ROUTE_ROWS] @ centres.T).argmax(axis=1) for a in range(0, len(units), ROUTE_ROWS)])
+        sums = np.zeros_like(centres)
+        np.add.at(sums, home, units)
+        norm = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        centres = np.where(norm > 0, np.divide(sums, norm, out=np.zeros_like(sums), where=norm > 0), centres).round(6)
+    return centres
+
+
+def _rounded(scores):
+    return np.round(scores, SCORE_DECIMALS) + 0.0
+
+
+def routed(batches, vec_col, centres, radii, reach, nearest):
+    """Append ``lists`` and ``angle`` (to the nearest centre) to every row.
+
+    ``lists``: the ``nearest`` centres, best first; or, with ``radii``, every list that can hold a vector
+    within the angle ``reach`` (a number or a column) of the row's, which the triangle inequality on angles tells.
+    Vectors of another size than the centres have no list.
+    """
+    for whole in batches:
+        for start in range(0, whole.num_rows, ROUTE_ROWS):
+            batch = whole.slice(start, ROUTE_ROWS)
+            sizes, lists = np.zeros(batch.num_rows, np.int64), np.zeros(0, np.int32)
+            angle = np.full(batch.num_rows, np.nan)
+            groups = unit_rows(batch.column(vec_col))[1]
+            if len(centres) and centres.shape[1] in groups:
+                ids, rows = groups[centres.shape[1]]
+                scores = _rounded(rows @ centres.T)
+                angles = np.arccos(np.clip(scores, -1, 1))
+                angle[ids] = angles.min(axis=1)
+                if radii is None:
+                    some = np.argsort(-scores, axis=1, kind="stable")[:, :nearest]
+                    sizes[ids], lists = some.shape[1], some.ravel().astype(np.int32)
+                else:
+                    far = reach if isinstance(reach, float) else batch.column(reach).to_numpy(zero_copy_only=False)[ids][:, None]
+                    # the margin covers the rounding of scores, whose angles err most near 0
+                    near = angles - radii <= far + 1e-4
+                    sizes[ids], lists = near.sum(axis=1), np.nonzero(near)[1].astype(np.int32)
+            column = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(lists, pa.int32()))
+            known = pa.array(angle, pa.float64(), mask=np.isnan(angle))
+            yield pa.RecordBatch.from_arrays([*batch.columns, column, known], names=[*batch.schema.names, "lists", "angle"])
+
+
+def earliest_near(q_table, i_table, threshold, count):
+    """For each row of (ord, vec), the ``count`` rows of smallest ``other`` before it with a cosine of the threshold or more."""
+    found = []
+    items = unit_rows(i_table.column("vec"))[1]
+    others = _flat(i_table.column("other")).to_numpy(zero_copy_only=False)
+    for start in range(0, q_table.num_rows, QUERY_BLOCK):
+        part = q_table.slice(start, QUERY_BLOCK)
+        own = _flat(part.column("ord")).to_numpy(zero_copy_only=False)
+        for dim, (ids, rows) in unit_rows(part.column("vec"))[1].items():
+            if dim not in items:
+                continue
+            i_ids, i_rows = items[dim]
+            order = np.argsort(others[i_ids], kind="stable")
+            i_ids, i_rows = i_ids[order], i_rows[order]
+            taken = np.zeros(len(ids), np.int64)
+            for at in range(0, len(i_ids), ITEM_BLOCK):
+                block = others[i_ids[at : at + ITEM_BLOCK]]
+                active = np.flatnonzero((taken < count) & (own[ids] > block[0]))
+                if not len(active):
+                    continue
+                near = (rows[active] @ i_rows[at : at + ITEM_BLOCK].T >= threshold) & (block[None, :] < own[ids[active]][:, None])
+                near &= near.cumsum(axis=1) + taken[active][:, None] <= count
+                r, c = np.nonzero(near)
+                taken[active] += near.sum(axis=1)
+                found.append((own[ids[active[r]]], block[c]))
+    pairs = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 2
+    return pa.table({"ord": pa.array(pairs[0], pa.int64()), "other": pa.array(pairs[1], pa.int64())})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions import links, spans as sp
 from quillmesh.functions import markdown as md
 from quillmesh.functions import metadata as meta
-from quillmesh.functions.text import basename, lines_of, nonblank_queries, percent_badge
+from quillmesh.functions.text import basename, lines_of, nonblank_queries, numbered, percent_badge
 from quillmesh.operators.embedding import embed_texts, split_results
 from quillmesh.operators import chunking
 from quillmesh.operators.concepts import skip_notes
@@ -144,7 +144,7 @@ def q_add_line_numbers(spark, d):
 
 
 def _span_rows(df):
-    s = df.select("note_path", F.posexplode("spans").alias("span_no", "s")).select("note_path", "span_no", "s.*")
+    s = numbered(df, "spans", "note_path", pos="span_no", item="s").select("note_path", "span_no", "s.*")
     return s.select("note_path", *big("span_no", "start_line", "end_line"), "title", "header_path")
 
 
@@ -232,7 +232,7 @@ def _concept_list(c):
 
 
 def q_normalize_concepts(spark, d):
-    m = _metadata(spark, d).select("note_path", F.posexplode("m.concepts").alias("pos", "c"))
+    m = numbered(_metadata(spark, d), "m.concepts", "note_path", pos="pos", item="c")
     return m.select("note_path", *big("pos"), C("c.name").alias("name"), C("c.confidence").alias("confidence"))
 
 
@@ -276,18 +276,18 @@ DIM = 16
 
 
 def q_embed_text(spark, d):
-    """Notes through the batch adapter; texts over its limit fail by themselves and are reported."""
-    done, failed = split_results(embed_texts(src.notes(spark, d).select("note_path", C("content").alias("text")), _limited(), continue_on_error=True))
+    """Notes through the batch adapter; a few that the model refuses fail by themselves and are reported."""
+    done, failed = split_results(embed_texts(src.notes(spark, d).select("note_path", C("content").alias("text")), _choosy(), continue_on_error=True))
     slots = done.select("note_path", F.posexplode("vec").alias("slot", "value"))
     good = slots.select("note_path", *big("slot"), F.round(C("value").cast("double"), 6).alias("value"), F.lit("").alias("error"))
     return good.unionByName(failed.select("note_path", F.lit(-1).cast("bigint").alias("slot"), F.lit(0.0).alias("value"), "error"))
 
 
-TEXT_LIMIT = 6_000
+REFUSED = "00"
 
 
-def _limited(dim=DIM, limit=TEXT_LIMIT):
-    """Word-hash vectors as a plain callable that, like a model, refuses texts that are too long."""
+def _choosy(dim=DIM, refused=REFUSED):
+    """Word-hash vectors as a plain callable that, like a model, refuses some texts for what they say: one in 256 by digest."""
 
     def embed(texts):
         import hashlib
@@ -295,8 +295,8 @@ def _limited(dim=DIM, limit=TEXT_LIMIT):
 
         out = []
         for text in texts:
-            if len(text) > limit:
-                raise ValueError("text too long")
+            if hashlib.md5(text.encode()).hexdigest().startswith(refused):
+                raise ValueError("text refused")
             counts = [0.0] * dim
             for word in re.findall(r"[^ \n]+", text.lower()):
                 counts[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim] += 1.0
@@ -549,12 +549,12 @@ from notes n join (
   when book = greatest(tech, diary, book, idea) then '读书笔记' else '想法灵感' end as category
 from (select note_path, {_HITS} from notes)""",
     "embed_text": sql.with_(sql.NOTES)
-    + f"""select note_path, -1::bigint as slot, 0.0::double as value, 'text too long' as error from notes where length(content) > {TEXT_LIMIT}
+    + f"""select note_path, -1::bigint as slot, 0.0::double as value, 'text refused' as error from notes where starts_with(md5(content), '{REFUSED}')
 union all
 select note_path, slot, round((case when norm = 0 then 0 else c / norm end)::float::double, 6) as value, '' as error from (
   select note_path, slot, c, sqrt(sum(c * c) over (partition by note_path)) as norm from (
     select g.note_path, g.slot, coalesce(w.c, 0)::double as c
-    from (select note_path, unnest(range(0, {DIM})) as slot from notes where length(content) <= {TEXT_LIMIT}) g left join (
+    from (select note_path, unnest(range(0, {DIM})) as slot from notes where not starts_with(md5(content), '{REFUSED}')) g left join (
       select note_path, ('0x' || substr(md5(w), 1, 8))::bigint % {DIM} as slot, count(*) as c from (
         select note_path, unnest(regexp_extract_all(lower(content), '[^ \\n]+')) as w from notes) group by all) w
     on w.note_path = g.note_path and w.slot = g.slot))""",

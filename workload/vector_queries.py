@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from quillmesh.functions.vectors import MODEL_DIMENSIONS, cosine_similarity, dimension_of, hash_embedding
-from quillmesh.operators import search
+from quillmesh.operators import search, tiles
 from quillmesh.operators.ann import ann_topk, hyperplanes
 from quillmesh.operators.fusion import DEFAULT_WEIGHTS, combine_results, rrf_fusion
 from quillmesh.operators.hotset import hot_set
@@ -63,6 +65,28 @@ def q_ann_topk(spark, d):
     )
 
 
+IVF_SHARE = 0.25
+
+
+def _inverted(spark, d):
+    index = src.chunk_index(spark, d).select("chunk_id", "content_vec")
+    lists = tiles.fit_lists(index, "content_vec", "chunk_id")
+    return tiles.into_lists(index, "content_vec", lists), lists
+
+
+def q_ivf_topk(spark, d):
+    """Neighbours from the nearest quarter of the lists of an inverted file."""
+    stored, lists = _inverted(spark, d)
+    probes = math.ceil(IVF_SHARE * len(lists.centres))
+    return _scored(tiles.ivf_topk(_q(spark, d), stored, lists, LIMIT, probes))
+
+
+def q_ivf_recall(spark, d):
+    """Recall and compared pairs of the inverted file for every number of lists."""
+    curve = tiles.recall_curve(_q(spark, d), *_inverted(spark, d), LIMIT)
+    return curve.select("probes", F.round("recall", 9).alias("recall"), F.round("pair_share", 9).alias("pair_share"))
+
+
 def q_tag_filter(spark, d):
     """Content neighbours with the tag filter applied before the cut."""
     return _scored(
@@ -74,6 +98,12 @@ def q_fused_search(spark, d):
     return _scored(search.fused_search(_q(spark, d), src.chunk_index(spark, d), LIMIT))
 
 
+def q_tiled_search(spark, d):
+    """Fused search of the related notes' vectors over stored tiles, lists without a chance left closed."""
+    index, queries = _text_index(spark, d), _file_queries(spark, d)
+    return _scored(search.tiled_fused_search(queries, search.search_tiles(index, tags=None), LIMIT, query_tags=None))
+
+
 def q_rrf_fusion(spark, d):
     """Fusion of two of the ranked lists with another constant."""
     return _scored(rrf_fusion(_prefetched(spark, d), ["summary_vec", "content_vec"], LIMIT, k=10))
@@ -131,14 +161,16 @@ def q_hot_set(spark, d):
 def q_related_notes(spark, d):
     """Notes related to every indexed file: its title and summary are embedded,
     searched in an index of hashed text vectors, and the file itself excluded."""
-    index = _text_index(spark, d)
-    files = index.filter(F.endswith("chunk_id", F.lit("-chunk-0")))
-    queries = files.select(
+    return _formatted(search.search_notes(_file_queries(spark, d), _text_index(spark, d), LIMIT))
+
+
+def _file_queries(spark, d):
+    files = _text_index(spark, d).filter(F.endswith("chunk_id", F.lit("-chunk-0")))
+    return files.select(
         C("vec_id").alias("query_id"),
         hash_embedding(search.related_query_text(C("header_path"), C("content")), DIM).alias("query_vec"),
         C("file_path").alias("exclude_path"),
     )
-    return _formatted(search.search_notes(queries, index, LIMIT))
 
 
 def _text_index(spark, d):
@@ -253,14 +285,15 @@ TEXT_INDEX = ",\n".join(
   from documents d join v_content c on c.key = doc_id join v_summary s on s.key = doc_id join v_title t on t.key = doc_id)""",
     )
 )
-_RELATED = sql.with_(
+_RELATED_BASE = sql.with_(
     TEXT_INDEX,
     "t_query as (select doc_id as key, '# ' || source || chr(10) || text as text from documents where doc_id % 2 = 0)",
     _hash_vec("v_query", "t_query"),
     "text_queries as (select key as query_id, v as query_vec, 'n/' || (key // 2) || '.md' as exclude_path from v_query)",
     _three(False, "text_index", "text_queries"),
     _fuse("fused", ["kc", "ks", "kt"], LIMIT),
-) + _FORMAT.format(index="text_index", queries="text_queries")
+)
+_RELATED = _RELATED_BASE + _FORMAT.format(index="text_index", queries="text_queries")
 
 _PLANES = ", ".join(
     f"({i}, {[float(x) for x in plane]}::double[])" for i, plane in enumerate(hyperplanes(ANN_DIM, ANN_BANDS, ANN_BITS, ANN_SEED).T)
@@ -277,6 +310,61 @@ approx as (
     from near n join queries q using (query_id) join chunk_index c on c.vec_id = n.vec_id)
   qualify rank <= {LIMIT})"""
 
+
+
+def _unit(v):
+    return f"list_transform({v}, lambda x: x / sqrt(list_sum(list_transform({v}, lambda y: y * y))))"
+
+
+def _kmeans(rounds):
+    """Centres c0, c1, ... of the inverted file; rounds of assignment and means."""
+    ctes = [
+        f"""ku as materialized (
+  select chunk_id as key, ('0x' || substr(md5(chunk_id), 1, 8))::bigint as h, {_unit('content_vec')} as u from chunk_index),
+kn as (select count(*) as n from ku),
+ks as materialized (select ku.* from ku, kn where h < ceil(least(1, {tiles.SAMPLE_ROWS}::double / n) * 4294967296)),
+c0 as materialized (
+  select list, list_transform(u, lambda x: round(x, 6)) as c from (select row_number() over (order by h, key) - 1 as list, u from ks), kn
+  where list < round({tiles.LISTS_PER_ROOT} * sqrt(n)))"""
+    ]
+    for r in range(rounds):
+        ctes.append(
+            f"""m{r} as materialized (
+  select list, slot, sum(x) as x from (
+    select list, unnest(u) as x, generate_subscripts(u, 1) as slot from (
+      select key, u, list from ks, c{r} qualify row_number() over (partition by key order by round(list_dot_product(u, c), 9) desc, list) = 1))
+  group by all),
+c{r + 1} as materialized (
+  select c{r}.list, coalesce(n.c, c{r}.c) as c from c{r} left join (
+    select list, list_transform({_unit('s')}, lambda x: round(x, 6)) as c from (select list, list(x order by slot) as s from m{r} group by list)) n using (list))"""
+        )
+    return ",\n".join(ctes)
+
+
+_IVF = sql.with_(
+    *_CTE,
+    _kmeans(tiles.ROUNDS),
+    f"""home as materialized (
+  select key as chunk_id, list from ku, c{tiles.ROUNDS} qualify row_number() over (partition by key order by round(list_dot_product(u, c), 9) desc, list) = 1),
+probe as materialized (
+  select query_id, list, row_number() over (partition by query_id order by round(list_dot_product(u, c), 9) desc, list) as probes
+  from (select query_id, {_unit('query_vec')} as u from queries), c{tiles.ROUNDS})""",
+)
+_IVF_TOP = f""",
+found as (
+  select p.query_id, h.chunk_id, round(list_cosine_similarity(q.query_vec, i.content_vec), 9) as score
+  from probe p join home h using (list) join queries q using (query_id) join chunk_index i on i.chunk_id = h.chunk_id
+  where p.probes <= ceil({IVF_SHARE} * (select count(*) from c0)))
+select query_id, chunk_id, round(score, 6) as score, row_number() over (partition by query_id order by found.score desc, chunk_id) as rank
+from found qualify rank <= {LIMIT}"""
+_IVF_RECALL = ",\n" + _knn("top", "content_vec", LIMIT, False) + """,
+hits as (select p.probes, count(*) as hits from top join home h using (chunk_id) join probe p on p.query_id = top.query_id and p.list = h.list group by 1),
+sizes as (select list, count(*) as items from home group by 1),
+pairs as (select probes, sum(coalesce(items, 0)) as pairs from probe left join sizes using (list) group by 1)
+select probes, round(sum(coalesce(hits, 0)) over (order by probes) / sum(hits) over (), 9) as recall,
+  round(sum(pairs) over (order by probes) / sum(pairs) over (), 9) as pair_share
+from pairs left join hits using (probes)"""
+
 _MODELS = ", ".join(f"('{m}', {n})" for m, n in MODEL_DIMENSIONS.items())
 
 SQL = {
@@ -285,6 +373,9 @@ SQL = {
     + """select chunk_id, round(list_cosine_similarity(content_vec, summary_vec), 6) as content_summary,
   round(list_cosine_similarity(content_vec, title_vec), 6) as content_title, 0.0::double as other_size, 0.0::double as zero_norm from chunk_index""",
     "ann_topk": sql.with_(*_CTE, _ANN) + _OUT + "approx",
+    "ivf_topk": _IVF + _IVF_TOP,
+    "ivf_recall": _IVF + _IVF_RECALL,
+    "tiled_search": _RELATED_BASE + _OUT + "fused",
     "tag_filter": sql.with_(*_CTE, _knn("top", "content_vec", LIMIT, True)) + _OUT + "top",
     "fused_search": _FUSED + _OUT + "fused",
     "rrf_fusion": sql.with_(*_CTE, _three(True), _fuse("fused", ["ks", "kc"], LIMIT, k=10)) + _OUT + "fused",
