@@ -193,6 +193,10 @@ def concept_aliases(applied: DataFrame) -> DataFrame:
 SALT_ROWS = 10_000
 
 
+#: Mentions from which on a link is popular: with a limit, it is opened for a target only if it can change its list.
+POPULAR_MENTIONS = 5_000
+
+
 def related_by_concept(targets: DataFrame, note_state: DataFrame, limit: int | None = None) -> DataFrame:
     """Other notes that share stored links with the target notes.
 
@@ -201,7 +205,8 @@ def related_by_concept(targets: DataFrame, note_state: DataFrame, limit: int | N
     with ``limit`` only the first so many of each target.
     A bounded set of targets is broadcast and the notes are scanned in place;
     otherwise the two exploded link lists meet by link, the target side salted so
-    that one popular link is spread over many tasks.
+    that one popular link is spread over many tasks.  With a limit, popular links stay closed for targets
+    whose list they cannot change (see ``_without_popular``).
     """
     wanted = targets.filter(F.size("me_concepts") > 0).select(
         F.col("note_path").alias("target_path"), F.explode(F.array_distinct("me_concepts")).alias("link")
@@ -209,31 +214,17 @@ def related_by_concept(targets: DataFrame, note_state: DataFrame, limit: int | N
     have = note_state.filter(F.size("me_concepts") > 0).select(
         "note_path", F.posexplode("me_concepts").alias("pos", "link")
     )
-    if wanted.limit(BROADCAST_TARGETS + 1).count() <= BROADCAST_TARGETS:
-        pairs = have.join(F.broadcast(wanted), "link")
-    else:
-        # a piece holds some thousand notes of a link, however many notes list it
-        popular = have.groupBy("link").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts")).where("salts > 1")
-        salts = F.coalesce("salts", F.lit(1))
-        salted = wanted.join(popular, "link", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
-        spread = have.join(popular, "link", "left").withColumn("salt", F.pmod(F.xxhash64("note_path"), salts).cast("int")).drop("salts")
-        pairs = spread.join(salted, ["link", "salt"])
-    shared = (
-        pairs.filter(F.col("note_path") != F.col("target_path"))
-        .groupBy("target_path", "note_path")
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "link"))).alias("s"))
-    )
-    counted = shared.select(
-        "target_path",
-        "note_path",
-        F.transform("s", lambda x: x["link"]).alias("shared"),
-        F.size("s").alias("shared_count"),
-    )
     if limit is not None:
+        popular = _popular(note_state, wanted)
+        if popular.isEmpty():
+            counted = _shared(wanted, have)
+        else:
+            counted = _without_popular(wanted, have, note_state, popular, limit)
         # Spark keeps the best rows of each task before it moves any
         w = W.partitionBy("target_path").orderBy(F.desc("shared_count"), "note_path")
         return counted.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
     # one target may have most of the notes: sort by ranges, and number each range from where the one before ends
+    counted = _shared(wanted, have)
     order = [F.desc("shared_count"), F.col("note_path")]
     ranged = counted.repartitionByRange("target_path", *order).withColumn("_range", F.spark_partition_id())
     ranged = materialize(ranged, "related")
@@ -243,3 +234,58 @@ def related_by_concept(targets: DataFrame, note_state: DataFrame, limit: int | N
     own = W.partitionBy("target_path", "_range").orderBy(*order)
     numbered = ranged.withColumn("rank", F.row_number().over(own)).join(starts, ["target_path", "_range"])
     return numbered.select(*counted.columns, (F.col("rank") + F.col("_before")).alias("rank"))
+
+
+def _pairs(wanted: DataFrame, have: DataFrame) -> DataFrame:
+    """Every mention of a wanted link in another note."""
+    if wanted.limit(BROADCAST_TARGETS + 1).count() <= BROADCAST_TARGETS:
+        pairs = have.join(F.broadcast(wanted), "link")
+    else:
+        # a piece holds some thousand notes of a link, however many notes list it
+        popular = have.groupBy("link").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts")).where("salts > 1")
+        salts = F.coalesce("salts", F.lit(1))
+        salted = wanted.join(popular, "link", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+        spread = have.join(popular, "link", "left").withColumn("salt", F.pmod(F.xxhash64("note_path"), salts).cast("int")).drop("salts")
+        pairs = spread.join(salted, ["link", "salt"])
+    return pairs.filter(F.col("note_path") != F.col("target_path"))
+
+
+def _shared(wanted: DataFrame, have: DataFrame) -> DataFrame:
+    """(target_path, note_path, shared, shared_count) of all pairs with a shared link."""
+    shared = _pairs(wanted, have).groupBy("target_path", "note_path").agg(F.sort_array(F.collect_list(F.struct("pos", "link"))).alias("s"))
+    return shared.select("target_path", "note_path", F.transform("s", lambda x: x["link"]).alias("shared"), F.size("s").alias("shared_count"))
+
+
+def _popular(note_state: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(link, most): wanted links of very many mentions, and how often one note may list each at most."""
+    mentions = note_state.filter(F.size("me_concepts") > 0).select(
+        F.explode("me_concepts").alias("link"), (F.size("me_concepts") - F.size(F.array_distinct("me_concepts")) + 1).alias("repeats")
+    )
+    counts = mentions.groupBy("link").agg(F.count("*").alias("mentions"), F.max("repeats").alias("most"))
+    popular = counts.filter(F.col("mentions") > POPULAR_MENTIONS).join(wanted.select("link").distinct(), "link", "left_semi")
+    return materialize(popular.select("link", "most"), "popular")
+
+
+def _without_popular(wanted: DataFrame, have: DataFrame, note_state: DataFrame, popular: DataFrame, limit: int) -> DataFrame:
+    """Shared links of every pair that can be among a target's first ``limit``.
+
+    Rare links are opened first and give each target a ``limit``-th count.  Its popular links together add a
+    bounded count to any note.  A note that shares only popular links cannot enter the list if that bound
+    is below the ``limit``-th count; then only the notes already met are completed, from their own lists.
+    The other targets open all their links.
+    """
+    rare = materialize(_pairs(wanted.join(popular, "link", "left_anti"), have).groupBy("target_path", "note_path").agg(F.count("*").alias("part")), "rare-pairs")
+    nth = F.row_number().over(W.partitionBy("target_path").orderBy(F.desc("part"), "note_path"))
+    least = rare.withColumn("_n", nth).filter(F.col("_n") == limit).select("target_path", F.col("part").alias("least"))
+    bound = wanted.join(popular, "link").groupBy("target_path").agg(F.sum("most").alias("bound"))
+    state = wanted.select("target_path").distinct().join(bound, "target_path", "left").join(least, "target_path", "left")
+    state = state.select("target_path", F.coalesce("bound", F.lit(0)).alias("bound"), F.coalesce("least", F.lit(0)).alias("least"))
+    state = materialize(state.withColumn("opened", (F.col("bound") > 0) & (F.col("bound") >= F.col("least"))), "targets")
+    full = _shared(wanted.join(state.filter("opened"), "target_path", "left_semi"), have)
+    near = rare.join(state.filter("not opened"), "target_path").filter(F.col("part") + F.col("bound") >= F.col("least"))
+    own = wanted.groupBy("target_path").agg(F.collect_list("link").alias("_links"))
+    lists = note_state.filter(F.size("me_concepts") > 0).select("note_path", "me_concepts")
+    met = near.select("target_path", "note_path").join(own, "target_path").join(lists, "note_path")
+    shared = F.filter("me_concepts", lambda x: F.array_contains("_links", x))
+    closed = met.select("target_path", "note_path", shared.alias("shared")).withColumn("shared_count", F.size("shared"))
+    return full.unionByName(closed)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -377,3 +379,39 @@ def scroll_concepts(registry: DataFrame, after: str | None = None, limit: int =
     if after is not None:
         payload = payload.filter(F.col("concept") > after)
     return payload.orderBy("concept").limit(limit)
+
+
+class Pages(NamedTuple):
+    """Payload rows stored in name order, each with its ``page``, and the first and last name of every page."""
+
+    rows: DataFrame
+    bounds: DataFrame
+
+
+def store_pages(registry: DataFrame, limit: int = PAGE_SIZE) -> Pages:
+    """Cut the registry into pages of ``limit`` concepts in name order, once, for any number of readers.
+
+    One range partitioning sorts the names; counts of the ranges give every row its place, so no task holds
+    more than a range.  Pages are numbered from 1.
+    """
+    payload = registry.drop("concept_vec", "concept_summary_vec")
+    ordered = payload.repartitionByRange("concept").sortWithinPartitions("concept").withColumn("_at", F.monotonically_increasing_id())
+    rows = materialize(ordered, "pages")
+    # a row's number holds its range and its place there; there are as many counts as ranges
+    piece, place, first, starts = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1), 0, []
+    for r in rows.groupBy(piece.alias("piece")).count().orderBy("piece").collect():
+        starts.append((r["piece"], first))
+        first += r["count"]
+    begin = F.broadcast(registry.sparkSession.createDataFrame(starts, "_piece bigint, _first bigint"))
+    page = F.floor((F.col("_first") + F.col("_place")) / limit) + 1
+    numbered = rows.withColumns({"_piece": piece, "_place": place}).join(begin, "_piece").select(*payload.columns, page.alias("page"))
+    bounds = numbered.groupBy("page").agg(F.min("concept").alias("first"), F.max("concept").alias("last"), F.count("*").alias("concepts"))
+    return Pages(numbered, materialize(bounds, "page-bounds"))
+
+
+def read_page(pages: Pages, page: int) -> DataFrame:
+    """The concepts of one page, in name order; only files and row groups that its names lie in are read."""
+    found = pages.bounds.filter(F.col("page") == page).first()
+    if found is None:
+        return pages.rows.limit(0)
+    return pages.rows.filter(F.col("concept").between(found["first"], found["last"])).orderBy("concept")

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +38,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -56,6 +61,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return stored
 
 
+def materialize_observed(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, dict]:
+    """``materialize`` with totals of the rows that are written, taken while they are: no second scan."""
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    stored = materialize(df.observe(seen, *metrics), name)
+    return stored, seen.get
+
+
 def discard(*stored: DataFrame) -> None:
     """Delete tables that ``materialize`` wrote, once nothing reads them any more."""
     for df in stored:

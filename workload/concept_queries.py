@@ -266,6 +266,22 @@ def q_scroll_concepts(spark, d):
     return _registry_out(reg.scroll_concepts(r, after=last))
 
 
+def q_scroll_pages(spark, d):
+    """The whole registry with the page of every concept."""
+    pages = reg.store_pages(src.registry(spark, d))
+    return pages.rows.select("page", "concept", "summary", "note_count")
+
+
+def q_related_top(spark, d):
+    """The three closest notes of every note by shared links."""
+    s = src.note_state(spark, d)
+    r = con.related_by_concept(s, s, limit=3)
+    return r.select(
+        "target_path", "note_path", F.array_join("shared", "|").alias("shared"),
+        C("shared_count").cast("bigint").alias("shared_count"), C("rank").cast("bigint").alias("rank"),
+    )
+
+
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_") and callable(v)}
 
 # ---------------------------------------------------------------- SQL
@@ -473,6 +489,15 @@ from registry r full join updates u on u.concept = r.concept""",
   {_fmt(f"case when n is not null then timestamp '{NOW}' else last_used_at end")} as last_used_at
 from registry left join (
   select regexp_extract(link, '/(.+)\\]\\]', 1) as concept, count(*) as n from (select unnest(me_concepts) as link from note_state) group by 1) using (concept)""",
+    "scroll_pages": _REG + "select (row_number() over (order by concept) - 1) // 100 + 1 as page, concept, summary, note_count from registry",
+    "related_top": sql.with_(sql.NOTE_STATE)
+    + """, pairs as (
+  select t.note_path as target_path, s.note_path, list_filter(s.me_concepts, lambda c: list_contains(t.me_concepts, c)) as shared
+  from note_state s join note_state t on s.note_path <> t.note_path
+  where list_has_any(s.me_concepts, t.me_concepts))
+select target_path, note_path, array_to_string(shared, '|') as shared, len(shared) as shared_count,
+  row_number() over (partition by target_path order by len(shared) desc, note_path) as rank
+from pairs qualify rank <= 3""",
     "scroll_concepts": _REG + f"select {_REG_COLS} from registry order by concept limit 100 offset 100",
     "batch_summary": sql.with_(sql.NOTES, sql.ANSWERS)
     + """select count(*) as files_total, count(*) filter (where ok) as files_processed, count(*) filter (where not ok) as files_failed,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillmesh.functions.vectors import hash_embedding
@@ -10,8 +12,10 @@ from quillmesh.operators import registry as reg
 from quillmesh.operators.concepts import resolve_concepts, review_select
 from quillmesh.plans import indexing, review
 from quillmesh.session import fresh_path, materialize, path_exists
+from quillmesh.sources import bucketed_log, vault
 from quillmesh.sources import index_store as store
-from quillmesh.streaming import ambient, paragraphs, sink
+from quillmesh.sources import notes as note_source
+from quillmesh.streaming import ambient, paragraphs, refresh, sink
 from workload import concept_queries as cq
 from workload import inputs as src
 from workload import inputs_sql as sql
@@ -150,6 +154,47 @@ def q_incremental_index(spark, d):
     return indexing.refresh_index(old, fresh, stale)
 
 
+def q_incremental_stream(spark, d):
+    """All notes, then edits, blanked notes, deletions and late versions, streamed in two starts; the index left."""
+    source, path, checkpoint = (fresh_path(spark, n) for n in ("versions", "log", "ckpt"))
+    first = src.notes(spark, d).select("doc_id", "note_path", "content", F.lit(1).alias("version"))
+    doc = C("doc_id")
+    text = (
+        F.when(doc % 11 == 5, F.lit(None))
+        .when(doc % 17 == 4, F.lit(" \n"))
+        .when(doc % 7 == 3, F.concat("content", F.lit("\n\n# Added\ntext of "), doc.cast("string")))
+    )
+    edits = first.filter((doc % 11 == 5) | (doc % 17 == 4) | (doc % 7 == 3)).withColumns({"content": text, "version": F.lit(2)})
+    late = first.filter(doc % 13 == 2).withColumns({"content": F.lit("too late"), "version": F.lit(0)})
+    for part in (first, edits.unionByName(late)):
+        part.drop("doc_id").write.mode("append").parquet(source)
+        stream = spark.readStream.schema("note_path string, content string, version int").parquet(source)
+        refresh.start_refresh(stream, path, checkpoint, max_chars=MAX, interval=None).awaitTermination()
+    rows = sink.stored_rows(spark, path)
+    return rows.select("chunk_id", "file_path", "content", "header_path", *[C(c).cast("bigint").alias(c) for c in ("start_pos", "end_line")])
+
+
+def q_vault_roundtrip(spark, d):
+    """Notes written as files by tasks, some of them empty, and read back as a folder."""
+    root = fresh_path(spark, "vault")
+    n = src.notes(spark, d)
+    vault.write_notes(n.withColumn("content", F.when(C("doc_id") % 10 != 9, C("content")).otherwise("")), root)
+    return note_source.read_vault(spark, root).select("note_path", "title", "content")
+
+
+def q_bucketed_log(spark, d):
+    """Upserts, tombstones and more upserts in a bucketed log, compacted; its current rows."""
+    i = _index(spark, d).drop("summary_vec", "title_vec")
+    name = f"log_{uuid.uuid4().hex}"
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in i.schema.fields)
+    bucketed_log.open_log(spark, name, fresh_path(spark, "bucketed"), f"{ddl}, version bigint, deleted boolean", 8)
+    bucketed_log.append_upserts(i, name, F.lit(0))
+    bucketed_log.append_tombstones(i.filter(C("header_path") != ""), name, F.lit(1))
+    bucketed_log.append_upserts(_update(spark, d).drop("summary_vec", "title_vec"), name, F.lit(2))
+    bucketed_log.compact(spark, name, F.lit(3))
+    return _index_out(bucketed_log.current(spark, name))
+
+
 def _embedder(dim=vq.DIM):
     """Word-hash vectors as a plain callable, standing in for a model."""
 
@@ -191,6 +236,12 @@ def q_unified_index(spark, d):
                        "indexed_at", *heads)
 
 
+def q_index_totals(spark, d):
+    """Totals of the span path, taken while its rows were written."""
+    t = _unified(spark, d).totals
+    return spark.createDataFrame([tuple(t.values())], ", ".join(f"{k} bigint" for k in t))
+
+
 def _applied(spark, d):
     """Reviewer's choice applied to the notes of the incoming concepts."""
     incoming, registry = cq.tables(spark, d)
@@ -320,6 +371,24 @@ SQL = {
 select p.chunk_id, file_path, header_path, summary, tags, concepts, word_count, {NOW_MS}::bigint as indexed_at,
   round(c.v[3]::float::double, 6) as content_vec, round(s.v[3]::float::double, 6) as summary_vec, round(t.v[3]::float::double, 6) as title_vec
 from payload p join uv_content c on c.key = p.chunk_id join uv_summary s on s.key = p.chunk_id join uv_title t on t.key = p.chunk_id""",
+    "index_totals": _UNIFIED + """
+select count(distinct file_path) as notes, count(*) as chunks, 0::bigint as failed_chunks,
+  sum(len(list_filter(str_split(concepts, '|'), lambda x: x <> '')))::bigint as concepts, sum(word_count)::bigint as characters from payload""",
+    "incremental_stream": sql.with_(
+        sql.NOTES.replace("notes as (", "raw_notes as (", 1),
+        f"""notes as (
+  select * exclude (content), case when doc_id % 17 = 4 then ' ' || {sql.NL}
+    when doc_id % 7 = 3 then content || {sql.NL} || {sql.NL} || '# Added' || {sql.NL} || 'text of ' || doc_id else content end as content
+  from raw_notes where doc_id % 11 <> 5)""",
+        sql.LINES, sql.HEADERS, sql.HEADER_PATHS, sql.SECTIONS, sql.chunk_ctes(MAX), recursive=True,
+    )
+    + "select note_path || '-chunk-' || index as chunk_id, note_path as file_path, content, header_path, start_pos, end_line from chunks",
+    "vault_roundtrip": sql.with_(sql.NOTES) + "select note_path, title, case when doc_id % 10 <> 9 then content else '' end as content from notes",
+    "bucketed_log": _IDX
+    + f"""select {_COLS} from (
+  select chunk_id, file_path, 'v2 ' || content as summary, tags, title_vec as content_vec from chunk_index where {_EVEN}
+  union all select chunk_id, file_path, summary, tags, content_vec from chunk_index where not ({_EVEN}) and header_path = ''
+  union all select file_path || '-chunk-9', file_path, summary, tags, content_vec from chunk_index where chunk_id like '%-chunk-0')""",
     "ambient_recommend": _AMBIENT,
     "apply_concepts": cq.APPLIED
     + f""", names as (
