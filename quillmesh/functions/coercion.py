@@ -42,16 +42,20 @@ def as_items(v: Column) -> Column:
 
 
 def is_truthy(v: Column) -> Column:
-    kind = kind_of(v)
-    text = as_text(v)
-    return F.coalesce(
-        F.when(kind == "VOID", F.lit(False))
-        .when(kind == "STRING", text != "")
-        .when(kind == "BOOLEAN", text == "true")
-        .when(kind.isin("OBJECT", "ARRAY"), F.lit(True))
-        .otherwise(F.coalesce(text.try_cast("double"), F.lit(0.0)) != 0.0),
-        F.lit(False),
-    )
+    def judge(x: Column) -> Column:
+        return let(kind_of(x), lambda kind: let(as_text(x), lambda text: of_text(kind, text)))
+
+    def of_text(kind: Column, text: Column) -> Column:
+        return F.coalesce(
+            F.when(kind == "VOID", F.lit(False))
+            .when(kind == "STRING", text != "")
+            .when(kind == "BOOLEAN", text == "true")
+            .when(kind.isin("OBJECT", "ARRAY"), F.lit(True))
+            .otherwise(F.coalesce(text.try_cast("double"), F.lit(0.0)) != 0.0),
+            F.lit(False),
+        )
+
+    return let(v, judge)
 
 
 def _number_of_text(text: Column) -> Column:
@@ -70,22 +74,25 @@ def to_number(v: Column) -> Column:
     Hexadecimal, octal and binary texts count; an array is the number of its text: 0 when empty,
     its element's when it has one string, number or NULL, else none.
     """
-    kind = kind_of(v)
 
     def of_array(items: Column) -> Column:
         inner = kind_of(F.get(items, F.lit(0)))
+        text = trim_ws(as_text(F.get(items, F.lit(0))))
         one = F.when(inner == "VOID", F.lit(0.0)).when(
-            ~inner.isin("OBJECT", "ARRAY", "BOOLEAN"), _number_of_text(trim_ws(as_text(F.get(items, F.lit(0)))))
+            ~inner.isin("OBJECT", "ARRAY", "BOOLEAN"), let(text, _number_of_text)
         )
         return F.when(F.size(items) == 0, F.lit(0.0)).when(F.size(items) == 1, one)
 
-    text = trim_ws(as_text(v))
-    plain = _number_of_text(text)
-    return (
-        F.when(kind == "VOID", F.lit(0.0))
-        .when(kind == "BOOLEAN", (as_text(v) == "true").cast("double"))
-        .when(kind == "ARRAY", let(as_items(v), of_array))
-        .when(kind == "OBJECT", F.lit(None).cast("double"))
-        .when((kind == "STRING") & (text == ""), F.lit(0.0))
-        .otherwise(F.when(F.abs(plain) < F.lit(float("inf")), plain))
-    )
+    def of_kind(x: Column, kind: Column, text: Column) -> Column:
+        finite = let(_number_of_text(text), lambda n: F.when(F.abs(n) < F.lit(float("inf")), n))
+        return (
+            F.when(kind == "VOID", F.lit(0.0))
+            .when(kind == "BOOLEAN", (text == "true").cast("double"))
+            .when(kind == "ARRAY", let(as_items(x), of_array))
+            .when(kind == "OBJECT", F.lit(None).cast("double"))
+            .when((kind == "STRING") & (text == ""), F.lit(0.0))
+            .otherwise(finite)
+        )
+
+    # bound once each: Catalyst copies an expression to every place that refers to it
+    return let(v, lambda x: let(kind_of(x), lambda kind: let(trim_ws(as_text(x)), lambda text: of_kind(x, kind, text))))

@@ -18,9 +18,11 @@ SLICE = (
 
 
 def _line_field(item: Column, camel: str, snake: str) -> Column:
-    first = field(item, camel)
-    usable = first.isNotNull() & (kind_of(first) != "VOID")
-    return F.when(F.coalesce(usable, F.lit(False)), first).otherwise(field(item, snake))
+    def pick(first: Column) -> Column:
+        usable = first.isNotNull() & (kind_of(first) != "VOID")
+        return F.when(F.coalesce(usable, F.lit(False)), first).otherwise(field(item, snake))
+
+    return let(field(item, camel), pick)
 
 
 def parse_spans(answer: Column, total_lines: Column) -> Column:
@@ -31,9 +33,7 @@ def parse_spans(answer: Column, total_lines: Column) -> Column:
     """
 
     def one(item: Column) -> Column:
-        title = trim_ws(
-            F.coalesce(F.when(is_truthy(field(item, "title")), as_text(field(item, "title"))), F.lit(""))
-        )
+        title = let(field(item, "title"), lambda t: trim_ws(F.coalesce(F.when(is_truthy(t), as_text(t)), F.lit(""))))
         return F.struct(
             to_number(_line_field(item, "startLine", "start_line")).alias("s"),
             to_number(_line_field(item, "endLine", "end_line")).alias("e"),

@@ -6,8 +6,10 @@ count differently under UTF-16 rules; see the README.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def built_once(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Keep the columns that a function of plain values builds.
+
+    A large expression takes thousands of calls to the JVM, a second or more, and is the same every time;
+    jobs that run again and again, such as the batches of a stream, build it once.
+    """
+    made: dict[tuple, Column] = {}
+
+    @functools.wraps(build)
+    def get(*args) -> Column:
+        key = (id(SparkContext._gateway), *args)
+        if key not in made:
+            made[key] = build(*args)
+        return made[key]
+
+    return get
+
+
 def numbered(df: DataFrame, array: str, *keep: str, pos: str, item: str) -> DataFrame:
     """One row per element of a computed array column, with its position; none for empty arrays.
 

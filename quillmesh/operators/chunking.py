@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions import markdown as md
 from quillmesh.functions import metadata as meta
 from quillmesh.functions import spans as sp
-from quillmesh.functions.text import is_blank, let, lines_of, numbered, or_else
+from quillmesh.functions.text import built_once, is_blank, let, lines_of, numbered, or_else
 
 # Chunk size used when indexing, and the summary stand-in length.
 INDEX_CHUNK_CHARS = 500
@@ -17,9 +17,37 @@ SUMMARY_STAND_IN_CHARS = 200
 CHUNK_FIELDS = ["content", "header_path", "start_pos", "end_pos", "start_line", "end_line"]
 
 
+# The expressions of the jobs below, over the columns of those names.
+
+
+@built_once
+def _chunks(max_chars: int) -> Column:
+    return md.chunks(F.col("content"), max_chars)
+
+
+@built_once
+def _cleaned() -> Column:
+    return md.preprocess(F.col("content"))
+
+
+@built_once
+def _spans(max_chars: int) -> Column:
+    return resolved_spans(F.coalesce(F.col("response"), F.lit("")), F.col("cleaned"), max_chars)
+
+
+@built_once
+def _cut() -> Column:
+    return let(F.col("spans"), lambda s: sp.slice_spans(F.col("content"), s))
+
+
+@built_once
+def _metadata() -> Column:
+    return meta.normalize_metadata(F.coalesce(F.col("response"), F.lit("")), F.col("content"))
+
+
 def chunk_notes(notes: DataFrame, max_chars: int = INDEX_CHUNK_CHARS) -> DataFrame:
     """Rule-based chunks, one row each, numbered per note from 0."""
-    found = notes.select("note_path", F.posexplode(md.chunks(F.col("content"), max_chars)).alias("index", "c"))
+    found = notes.select("note_path", F.posexplode(_chunks(max_chars)).alias("index", "c"))
     return found.select("note_path", "index", *[F.col(f"c.{x}").alias(x) for x in CHUNK_FIELDS], F.col("c.path").alias("headers"))
 
 
@@ -47,10 +75,9 @@ def span_chunks(notes: DataFrame, answers: DataFrame, max_chars: int = INDEX_CHU
         answers.select("note_path", "response"), "note_path", "left"
     )
     # one step a projection: nested in a single expression they exceed the analyzer's iterations
-    masked = joined.select("note_path", "content", "response", md.preprocess(F.col("content")).alias("cleaned"))
-    spans = resolved_spans(F.coalesce(F.col("response"), F.lit("")), F.col("cleaned"), max_chars)
-    found = masked.select("note_path", "content", spans.alias("spans"))
-    cut = found.select("note_path", let(F.col("spans"), lambda s: sp.slice_spans(F.col("content"), s)).alias("cut"))
+    masked = joined.select("note_path", "content", "response", _cleaned().alias("cleaned"))
+    found = masked.select("note_path", "content", _spans(max_chars).alias("spans"))
+    cut = found.select("note_path", _cut().alias("cut"))
     rows = numbered(cut, "cut", "note_path", pos="index", item="c")
     return rows.select("note_path", "index", *[F.col(f"c.{x}").alias(x) for x in CHUNK_FIELDS])
 
@@ -58,9 +85,7 @@ def span_chunks(notes: DataFrame, answers: DataFrame, max_chars: int = INDEX_CHU
 def annotate_chunks(chunks: DataFrame, answers: DataFrame) -> DataFrame:
     """Attach normalised metadata; ``answers`` holds (note_path, index, response)."""
     joined = chunks.join(answers.select("note_path", "index", "response"), ["note_path", "index"], "left")
-    return joined.withColumn(
-        "metadata", meta.normalize_metadata(F.coalesce(F.col("response"), F.lit("")), F.col("content"))
-    ).drop("response")
+    return joined.withColumn("metadata", _metadata()).drop("response")
 
 
 def chunk_id(path: Column, index: Column) -> Column:

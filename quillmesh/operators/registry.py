@@ -11,7 +11,7 @@ from quillmesh.functions.links import DEFAULT_PREFIX, wrap
 from quillmesh.functions.text import let
 from quillmesh.operators.fusion import rrf_fusion
 from quillmesh.operators.knn import nearest
-from quillmesh.operators.tiles import Lists, earliest_near, fit_lists, into_lists
+from quillmesh.operators.tiles import Lists, earliest_near, earliest_near_few, fit_lists, into_lists
 from quillmesh.session import discard, materialize
 
 # Thresholds, page size, and the rank constant of the concept fusion
@@ -168,7 +168,8 @@ def _outcome(base: DataFrame, known: DataFrame, prefix: str) -> DataFrame:
 NEIGHBOURS = 16
 #: Edges that one task decides at a time.
 TASK_EDGES = 2_000_000
-#: Candidates per list of the threshold join.
+#: Up to this many candidates are broadcast; more are placed in lists of about LIST_ROWS.
+BROADCAST_CANDIDATES = 16_384
 LIST_ROWS = 2048
 
 
@@ -190,7 +191,8 @@ def elect_leaders(candidates: DataFrame, threshold: float = STRICT_THRESHOLD, ne
     alone = flagged.filter(~F.col("nonzero")).select("ord")
     distinct = flagged.filter("nonzero").groupBy("name_vec").agg(F.min("ord").cast("bigint").alias("ord"))
     distinct = materialize(distinct.select("ord", F.col("name_vec").alias("vec")), "candidates")
-    lists = fit_lists(distinct, "vec", "ord", count=max(1, distinct.count() // LIST_ROWS))
+    rows = distinct.count()
+    lists = fit_lists(distinct, "vec", "ord", count=rows // LIST_ROWS) if rows > BROADCAST_CANDIDATES else None
     status = _decide(distinct, distinct, threshold, neighbours, lists)
     while not (still := status.filter("status = 'open'").select("ord")).isEmpty():
         neighbours *= 4
@@ -202,10 +204,20 @@ def elect_leaders(candidates: DataFrame, threshold: float = STRICT_THRESHOLD, ne
     return status.filter("status = 'leader'").select("ord").unionByName(alone)
 
 
-def _decide(rows: DataFrame, among: DataFrame, threshold: float, neighbours: int, lists: Lists) -> DataFrame:
-    """(ord, status) of every row: leader, follower or open; ``among`` are the rows and earlier leaders."""
-    stored = into_lists(among.select(F.col("ord").alias("other"), "vec"), "vec", lists)
+def _edges(rows: DataFrame, among: DataFrame, threshold: float, neighbours: int, lists: Lists | None) -> DataFrame:
+    """The earliest near rows before each row; without ``lists`` the few ``among`` are broadcast and rows stay in place."""
+    others = among.select(F.col("ord").alias("other"), "vec")
+    if lists is None:
+        return materialize(earliest_near_few(rows, others, threshold, neighbours), "edges")
+    stored = into_lists(others, "vec", lists)
     edges = materialize(earliest_near(rows, stored, threshold, neighbours, lists), "edges")
+    discard(stored)
+    return edges
+
+
+def _decide(rows: DataFrame, among: DataFrame, threshold: float, neighbours: int, lists: Lists | None) -> DataFrame:
+    """(ord, status) of every row: leader, follower or open; ``among`` are the rows and earlier leaders."""
+    edges = _edges(rows, among, threshold, neighbours, lists)
     pieces = -(-edges.count() // TASK_EDGES)
     ends = edges.agg(F.percentile_approx("ord", [i / pieces for i in range(1, pieces)])).first()[0] if pieces > 1 else []
     bounds, decided = [None, *ends, None], None
@@ -227,7 +239,7 @@ def _decide(rows: DataFrame, among: DataFrame, threshold: float, neighbours: int
     # a row without edges has nobody before it
     free = rows.select("ord").join(decided.select("ord"), "ord", "left_anti").withColumn("status", F.lit("leader"))
     result = materialize(decided.unionByName(free), "status")
-    discard(stored, edges, decided)
+    discard(edges, decided)
     return result
 
 

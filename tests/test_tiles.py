@@ -135,6 +135,7 @@ def elected(df, **options):
 def test_leaders_equal_one_by_one(spark, monkeypatch, seed, spread, neighbours, task_edges, list_rows):
     monkeypatch.setattr(reg, "TASK_EDGES", task_edges)
     monkeypatch.setattr(reg, "LIST_ROWS", list_rows)
+    monkeypatch.setattr(reg, "BROADCAST_CANDIDATES", 10_000 if list_rows > 1000 else 100)
     vectors = np.random.default_rng(seed).permutation(clustered(seed, 6, 60, 8, spread))
     vectors[7] = 0
     vectors[30] = vectors[3]
@@ -145,6 +146,8 @@ def test_a_chain_takes_one_pass(spark, monkeypatch):
     passes = []
     monkeypatch.setattr(reg, "_decide", lambda *a, real=reg._decide: passes.append(1) or real(*a))
     monkeypatch.setattr(reg, "nearest", None)  # no search runs in the election
+    monkeypatch.setattr(reg, "BROADCAST_CANDIDATES", 50)
+    monkeypatch.setattr(reg, "LIST_ROWS", 40)
     # each vector is near the one before and the one after it, and no other
     vectors = np.eye(200, 201) + np.eye(200, 201, 1)
     assert elected(candidates(spark, vectors), threshold=0.5 - 1e-9) == list(range(0, 200, 2))
