@@ -8,7 +8,9 @@ labelling of least total cost, found by maximum flow after fixing the blocks who
 outweighs all their edges (which any minimum cut labels that way).
 
 Pages have no labels to learn from, so the weights of the classifier are set by hand; they are
-the parameters below.  Each page is worked on where it is read; nothing is shuffled.
+the parameters below.  What a name such as ``sidebar`` says is held against the text that the element
+holds: an element around the main part of a page, or around most of its text, is a wrapper, whatever it is
+called, and counts neither way.  Each page is worked on where it is read; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from quillmesh.llm.common import map_slices
 
 # Elements whose text is never shown, elements without content, elements that end a
 # block, those that an element of the same kind closes, and those that may stand in a head (any other ends it).
-DROPPED = frozenset("head title script style noscript template iframe object svg select option textarea canvas audio video map datalist".split())
+DROPPED = frozenset("head title script style noscript template iframe svg select option textarea audio video datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 "
@@ -40,19 +42,32 @@ IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript
 _SCOPES = frozenset("table ul ol dl div section article main body td th blockquote".split())
 
 #: What an element around a block adds to its log odds of being content.
-TAG_WEIGHT = {
-    "nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "button": -9.0, "menu": -9.0, "dialog": -9.0, "search": -9.0, "fieldset": -4.0,
-    "article": 4.5, "main": 3.0, "blockquote": 0.5, "figcaption": 0.0, "details": -0.5,
-}
-HEADER = -9.0
+TAG_WEIGHT = {"article": 4.5, "main": 3.0, "blockquote": 0.5, "figcaption": 0.0, "details": -0.5}
+#: The same for elements that are boilerplate by kind or by name, and for names that only begin like one.
+STRONG, WEAK, POSITIVE = -9.0, -2.5, 2.0
 HEADER_IN_ARTICLE = -4.0
-#: The same for words in class, id and role.
-HINT_WEIGHT = dict.fromkeys(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation footer masthead "
-    "comment comments commentlist disqus respond replies reply cookie cookies consent gdpr notice notices alert share sharing social related recommended recommendations "
-    "breadcrumb breadcrumbs newsletter subscribe signup login popup modal overlay pagination pager copyright widget toolbar topbar contentinfo complementary skip outbrain taboola".split(),
-    -9.0,
-) | dict.fromkeys("article content post entry story main articlebody".split(), 2.0) | {"header": HEADER}
+# Elements that are boilerplate by kind; words of classes, ids and roles that name boilerplate, readers'
+# comments and content; words that say where or what shape an element is, and those that turn a name's sense around.
+BOILERPLATE_TAGS = frozenset("nav footer aside form button menu dialog search fieldset header".split())
+BOILERPLATE = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation footer header masthead "
+    "cookie cookies consent gdpr notice notices alert share sharing social related recommended recommendations "
+    "breadcrumb breadcrumbs newsletter subscribe signup login popup modal overlay pagination pager copyright widget toolbar topbar contentinfo complementary skip outbrain taboola".split()
+)
+COMMENTS = frozenset("comment comments commentlist disqus respond replies reply".split())
+CONTENT = frozenset("article content post entry story main articlebody".split())
+SHAPES = frozenset(
+    "area box section container wrapper wrap block bar list links link item items inner outer group row col column slot unit form button buttons btn icons icon "
+    "left right top bottom fixed sticky small large posts articles stories news".split()
+)
+TURNS = frozenset("no not has have with without hide show is".split())
+#: A wrapper holds at least this share of the page's, or of its main part's, text outside links.
+WRAPPER = 0.5
+COMMENT_WRAPPER = 0.95
+#: The main part of a page: the marked element with most text outside links, if it has this share of it.
+MAIN_SHARE = 0.3
+#: What blocks gain where nothing on a page came out as content.
+SECOND_LOOK = 3.0
 #: What a block of links only adds, and where a block starts from.
 _LINKS = -5.0
 _BIAS = -1.2
@@ -61,20 +76,48 @@ ADJACENT = 1.5
 SIBLING = 0.5
 SCALE = 1000
 
-_TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SENTENCE = re.compile(r"[.!?…:;,。][\s)\"'”»]*$")
 
 
+def name_says(name: str) -> str:
+    """What a class, an id or a role calls its element: "boilerplate", "comments", "content", "weak" or nothing.
+
+    The last word that is no shape decides: ``site-footer``, ``comment-list``.  A boilerplate word elsewhere
+    only makes a weak case (``related-work``), and none after a word such as ``has`` or ``no``.
+    """
+    parts = [p.lower() for p in _NAME_PART.findall(name)]
+    if not parts or TURNS.intersection(parts):
+        return ""
+    core = list(parts)
+    while len(core) > 1 and core[-1] in SHAPES:
+        core.pop()
+    if core[-1] in COMMENTS or core[0] in COMMENTS:
+        return "comments"
+    if core[-1] in BOILERPLATE or (core[0] in BOILERPLATE and core[-1] in CONTENT):
+        return "boilerplate"
+    if BOILERPLATE.intersection(parts):
+        return "weak"
+    return "content" if CONTENT.intersection(parts) else ""
+
+
 @dataclass(slots=True)
 class Element:
     tag: str
     parent: Element | None
-    weight: float
+    says: frozenset[str]
     depth: int
     dropped: bool
     in_article: bool
     number: int
+    text: int = 0
+    plain: int = 0
+    weight: float = 0.0
+
+    @property
+    def rejected(self) -> bool:
+        """Whether its kind or a name calls it boilerplate."""
+        return self.tag in BOILERPLATE_TAGS or "comments" in self.says or ("boilerplate" in self.says and self.tag not in ("article", "main"))
 
 
 @dataclass(slots=True)
@@ -90,7 +133,8 @@ class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.number = 0
-        self.here = Element("", None, 0.0, 0, False, False, 0)
+        self.here = Element("", None, frozenset(), 0, False, False, 0)
+        self.elements = [self.here]
         self.blocks: list[Block] = []
         self.parts: list[str] = []
         self.linked = 0
@@ -118,13 +162,15 @@ class _Blocks(HTMLParser):
         if tag in CLOSES:
             self._close(CLOSES[tag])
         up = self.here
-        weight, hidden = self._weight(tag, attrs, up) if attrs or tag in TAG_WEIGHT or tag == "header" else (0.0, False)
+        says = frozenset() if tag in ("html", "body") else frozenset(
+            name_says(one) for name, value in attrs if name in ("class", "id", "role") and value for one in value.split()
+        )
         self.number += 1
         self.links += tag == "a"
         self.here = Element(
-            tag, up, up.weight + weight, up.depth + 1, up.dropped or tag in DROPPED or hidden,
-            up.in_article or tag in ("article", "main"), self.number,
-        )
+            tag, up, says, up.depth + 1, up.dropped or tag in DROPPED, up.in_article or tag in ("article", "main"), self.number
+        )
+        self.elements.append(self.here)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -165,25 +211,6 @@ class _Blocks(HTMLParser):
             self._leave(at.parent)
         self.past_head = self.past_head or not self.here.dropped
 
-    @staticmethod
-    def _weight(tag, attrs, up: Element) -> tuple[float, bool]:
-        weight = TAG_WEIGHT.get(tag, 0.0)
-        if tag == "header":
-            weight = HEADER_IN_ARTICLE if up.in_article else HEADER
-        hidden, hints = False, set()
-        for name, value in attrs:
-            if name == "hidden" or (name == "aria-hidden" and value == "true"):
-                hidden = True
-            elif name in ("class", "id", "role") and value:
-                hints.update(t.lower() for t in _TOKEN.findall(value))
-            elif name == "style" and value and _HIDDEN.search(value):
-                hidden = True
-        if hints and tag not in ("html", "body"):
-            found = [HINT_WEIGHT[h] for h in hints if h in HINT_WEIGHT]
-            if found and tag not in ("article", "main"):
-                weight += min(found) if min(found) < 0 else max(found)
-        return weight, hidden
-
     def handle_data(self, data):
         if not self.past_head and data.strip(" \t\n\r\f"):
             self._end_head()
@@ -203,6 +230,8 @@ class _Blocks(HTMLParser):
                 while at.parent is not None and at.tag not in BLOCKS:
                     at = at.parent
                 self.blocks.append(Block(text, self.linked, at, at.tag in ("h1", "h2", "h3", "h4", "h5", "h6")))
+                at.text += len(text)
+                at.plain += max(0, len(text) - self.linked)
             self.parts, self.linked, self.owner = [], 0, None
 
 
@@ -211,9 +240,45 @@ def blocks_of(html: str) -> list[Block]:
     parser.feed(html)
     parser.close()
     parser.flush()
+    _weigh(parser.elements)
     return parser.blocks
 
 
+def _weigh(elements: list[Element]) -> None:
+    """Give every element what it and those around it add to the log odds; parents stand before their children."""
+    for e in reversed(elements):
+        if e.parent is not None:
+            e.parent.text += e.text
+            e.parent.plain += e.plain
+    page = elements[0]
+    marked = [e for e in elements if (e.tag in ("article", "main") or "content" in e.says) and not e.rejected]
+    main = max(marked, key=lambda e: e.plain, default=None)
+    small = main is not None and 0 < main.plain < MAIN_SHARE * page.plain
+    if main is not None and main.plain < MAIN_SHARE * page.plain:
+        main = None
+    around, at = set(), main
+    while at is not None:
+        around.add(at.number)
+        at = at.parent
+    inside = set()
+    for e in elements[1:]:
+        if main is not None and (e.parent.number == main.number or e.parent.number in inside):
+            inside.add(e.number)
+        own = TAG_WEIGHT.get(e.tag, 0.0)
+        if e.rejected:
+            comments = "comments" in e.says
+            # beside a short article only what holds next to everything is a wrapper
+            share = COMMENT_WRAPPER if comments or small else WRAPPER
+            held = e.plain >= share * page.plain if main is None else e.number in inside and e.plain >= share * main.plain
+            wrapper = e.number in around or (held and e.tag not in ("footer", "nav", "aside"))
+            # an empty page has no wrappers
+            if not (wrapper and e.plain):
+                own = HEADER_IN_ARTICLE if e.tag == "header" and e.in_article and not e.says else STRONG
+        elif e.tag not in ("article", "main"):
+            own += WEAK if "weak" in e.says else POSITIVE if "content" in e.says else 0.0
+        e.weight = e.parent.weight + own
+
+
 def log_odds(b: Block) -> float:
     """The classifier: positive for content."""
     n = len(b.text)
@@ -351,14 +416,21 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     blocks = blocks_of(html)
-    own = []
-    for b in blocks:
-        p = 1 / (1 + math.exp(-log_odds(b)))
-        own.append(int(SCALE * (math.log(p) - math.log1p(-p))))
-    keep = minimum_cut(own, edges_of(blocks))
+    odds, edges = [log_odds(b) for b in blocks], edges_of(blocks)
+    keep = minimum_cut([_capacity(x) for x in odds], edges)
+    if not any(keep):
+        # a few short lines and no marks: what neither links nor stands in boilerplate is the text
+        odds = [x + SECOND_LOOK if b.element.weight > STRONG / 2 else x for x, b in zip(odds, blocks, strict=True)]
+        keep = minimum_cut([_capacity(x) for x in odds], edges)
     return "\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 
+def _capacity(odds: float) -> int:
+    """What calling a block boilerplate costs more than calling it content: the difference of the costs -log p and -log (1 - p)."""
+    p = 1 / (1 + math.exp(-odds))
+    return int(SCALE * (math.log(p) - math.log1p(-p)))
+
+
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page row: (id, url, text, n_chars).
 

@@ -469,3 +469,56 @@ def test_components(spark):
     got = {x.node: x.component for x in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert {k: got.get(k, k) for k in root} == root
     assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+ARTICLE = (
+    "<p>The first paragraph of an article that is long enough to be one, with a sentence. And more of it here.</p>"
+    "<p>A second paragraph follows with many words, commas, and another sentence that ends here.</p>"
+    "<p>The third paragraph is the last one of this article and says what was to be said in the end.</p>"
+)
+
+
+def test_wrappers_of_any_name_keep_the_article():
+    want = html_text.main_text(f"<article>{ARTICLE}</article>")
+    assert want.count("\n") == 2
+    around = "<body><nav><ul><li><a href=x>a</a></ul></nav>{}<footer>(c) all of it</footer>"
+    for word in sorted(html_text.BOILERPLATE | html_text.COMMENTS):
+        for page in (
+            f'<div class="{word}"><article>{ARTICLE}</article></div>', f'<div class="layout has-{word}"><article>{ARTICLE}</article></div>',
+            f'<div id="{word}"><div class="content">{ARTICLE}</div></div>', f'<article><div class="{word}">{ARTICLE}</div></article>',
+            f'<article><section id="{word}-work">{ARTICLE}</section></article>', f'<div class="{word}">{ARTICLE}</div>',
+            f'<main><div class="article-{word}-wrapper">{ARTICLE}</div></main>',
+        ):
+            assert html_text.main_text(around.format(page)) == want, page
+    for page in (
+        f'<div class="page no-banner"><div class="content">{ARTICLE}</div></div>', f'<article><div id="social-media-in-schools">{ARTICLE}</div></article>',
+        f'<form id="aspnetForm"><div class="content">{ARTICLE}</div></form>', f"<form>{ARTICLE}</form>", f"<header>{ARTICLE}</header>",
+        f"<article><div hidden>{ARTICLE}</div></article>", f'<article><div style="display:none">{ARTICLE}</div></article>', f"<article><object>{ARTICLE}</object></article>",
+    ):
+        assert html_text.main_text(page) == want, page
+
+
+def test_boilerplate_beside_the_article_goes():
+    want = html_text.main_text(f"<article>{ARTICLE}</article>")
+    comment = "<p>Great article, I really like this sentence here. Thanks for it, and more of it please.</p>" * 6
+    for page in (
+        f'<article>{ARTICLE}</article><div id="comments">{comment}</div>', f'<article>{ARTICLE}<div class="comments">{comment}</div></article>',
+        f'<div class="post">{ARTICLE}</div><div class="comment-list">' + f'<article class="comment">{comment}</article>' * 4 + "</div>",
+        f'<div class="content">{ARTICLE}</div><aside>{ARTICLE.replace("article", "story")}</aside>',
+    ):
+        assert html_text.main_text(page) == want, page
+    for word in sorted(html_text.BOILERPLATE):
+        beside = f'<div class="site-{word}"><p>Some words of another kind stand here, and they end in a sentence too.</p></div>'
+        assert html_text.main_text(f"{beside}<article>{ARTICLE}</article>{beside}") == want, word
+    assert html_text.main_text("<article><p>Short.</p></article><footer>" + "All rights are held by someone, and a lot of text says so. " * 9 + "</footer>") == "Short."
+
+
+def test_short_pages_without_marks():
+    assert html_text.main_text("<div><p>One short line</p><p>Two</p></div>") == "One short line\nTwo"
+    assert html_text.main_text("<p>Hi") == "Hi"
+    assert html_text.main_text("<nav><p>Home</p></nav>") == ""
+
+
+def test_deeply_nested_pages_take_linear_time():
+    page = "<div class=x>" * 20_000 + "<p>" + "A sentence of the page. " * 20 + "</p>" + "</div>" * 20_000
+    assert html_text.main_text(page).startswith("A sentence")
