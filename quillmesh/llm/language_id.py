@@ -13,23 +13,30 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.llm.common import map_slices
+from quillmesh.session import materialize
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 EMBEDDING = 8
-#: Labelled texts per language that the network is fitted on, about.
+#: Labelled texts per language that the network is fitted on at most, and in all, if that leaves one per language.
 SAMPLE_ROWS = 600
+TOTAL_ROWS = 60_000
 EPOCHS = 5
 #: Windows that are worked on at a time.
 CHUNK = 256
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter; numbers such as the half sign, superscripts or Roman numerals are none."""
+    return any(m.group().isalpha() for m in _MAYBE_LETTER.finditer(text))
 
 
 def windows_of(text: str) -> np.ndarray:
@@ -145,19 +152,26 @@ def fit(texts: list[str], labels: list[str], epochs: int = EPOCHS, batch: int =
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Network | None:
-    """A network from about ``sample_rows`` texts per language; None if no row has both text and language.
+    """A network from at most ``sample_rows`` texts per language; None if no row has both text and language.
 
-    Every language is learned.  Rows are chosen by the hash of their text, at a rate that the count of their language sets.
+    Every language is learned.  Distinct texts are chosen, those of the smallest hashes in each language, so that a
+    repeated text counts once.  A first cut by hash, at a rate that the number of distinct texts sets, keeps all others
+    from moving.
     """
     import pickle
 
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
-        F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
+        F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h")
     )
+    counts = materialize(rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")), "languages")
+    per = max(1, min(sample_rows, TOTAL_ROWS // max(1, counts.count())))
+    # twice the rate that would do, as counts are rough and hashes uneven
     million = 1_000_000
-    rates = rows.groupBy("lang").agg(F.expr(f"{million * sample_rows} div count(*) + 1").alias("rate"))
-    known = rows.join(F.broadcast(rates), "lang")
-    chosen = known.where(F.pmod(F.xxhash64("text"), F.lit(million)) < F.col("rate")).select("text", "lang")
+    rates = counts.select("lang", F.ceil(F.lit(2.0 * million * per) / F.col("n") + 20).alias("rate"))
+    some = rows.join(rates, "lang").where(F.pmod("h", F.lit(million)) < F.col("rate"))
+    distinct = some.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = distinct.withColumn("nth", nth).where(F.col("nth") <= per).select("text", "lang")
 
     def run(batches):
         import pyarrow as pa
@@ -181,7 +195,7 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
 
     def work(idents, texts, tables):
         langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        asked = [i for i, t in enumerate(texts) if net and t and _LETTER.search(t)]
+        asked = [i for i, t in enumerate(texts) if net and t and has_letter(t)]
         waiting, rows = [], 0
         for n, i in enumerate(asked):
             waiting.append((i, windows_of(texts[i])))
