@@ -22,6 +22,7 @@ two texts, which is less to move than two sets of hashes.  Classes and shingles
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm.common import map_slices
 from quillmesh.llm.components import components
-from quillmesh.session import materialize
+from quillmesh.session import discard, materialize
 
 SHINGLE = 5
 #: The similarity of a link, as a fraction.
@@ -42,10 +43,14 @@ HEAVY_TOKENS = 1 << 18
 HEAVY_LEAST = 16
 #: Tokens that a task counts together.
 COUNT_TOKENS = 4_000_000
+#: Shared tokens that the matrix may miss before it counts one whose place in either set comes too late.
+LATE = 2
 #: Members of a group that a class is compared with before the group is opened as a whole.
 PROBES = 8
 #: Texts of a block of a group, about.
 BLOCK = 32
+#: Classes up to this many (8 bytes each) are broadcast to choose the texts of pairs.
+FEW_KEYS = 200_000
 #: Sets that a task remembers while it compares pairs.
 REMEMBERED = 2_000
 
@@ -159,7 +164,7 @@ def _list_tokens(heavy: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen = Shingles(), set()
         for b in batches:
-            tokens, keys, sizes = [], [], []
+            tokens, keys, sizes, rests = [], [], [], []
             for text in b["text"].to_pylist():
                 s = shingles(text)
                 if not len(s) or (key := class_of(s)) in seen:
@@ -177,9 +182,10 @@ def _list_tokens(heavy: np.ndarray):
                 tokens.append(first.view(np.int64))
                 keys.append(np.full(take, key, np.int64))
                 sizes.append(np.full(take, len(s), np.int32))
+                rests.append(np.arange(len(s), len(s) - take, -1, dtype=np.int32))
             if tokens:
-                columns = [pa.array(np.concatenate(c)) for c in (tokens, keys, sizes)]
-                table = pa.RecordBatch.from_arrays(columns, names=["token", "key", "n"])
+                columns = [pa.array(np.concatenate(c)) for c in (tokens, keys, sizes, rests)]
+                table = pa.RecordBatch.from_arrays(columns, names=["token", "key", "n", "rest"])
                 for start in range(0, table.num_rows, 200_000):
                     yield table.slice(start, 200_000)
 
@@ -202,6 +208,11 @@ def _least_shared(n, m):
     return F.greatest(F.lit(1), overlap - rest)
 
 
+def _early(rest, sizes):
+    """Whether a shared token with ``rest`` tokens from it on can be among the first ``LATE + 1`` of similar sets of those sizes in all."""
+    return (NUMERATOR + DENOMINATOR) * (rest + LATE) >= NUMERATOR * sizes
+
+
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar."""
 
@@ -209,6 +220,10 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         keep = [similar(shingles.of(i, s), shingles.of(j, t)) for i, j, s, t in zip(a, b, x, y, strict=True)]
         return [v for v, k in zip(a, keep, strict=True) if k], [v for v, k in zip(b, keep, strict=True) if k]
 
+    # few pairs: only the texts that they name move
+    named = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    if named.limit(FEW_KEYS + 1).count() <= FEW_KEYS:
+        texts = texts.join(F.broadcast(named), "key", "left_semi")
     left = texts.select(F.col("key").alias("a"), F.col("text").alias("x"))
     right = texts.select(F.col("key").alias("b"), F.col("text").alias("y"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
@@ -219,20 +234,28 @@ def _ask(lists: DataFrame, grouped: DataFrame) -> DataFrame:
     """(a, group, members, only): the classes and the other groups that can hold a similar set.
 
     Of two groups the classes of the smaller one ask, which covers every pair between them.
+
+    ``rest`` is the number of a class's tokens from a listed one on.  The first token that two similar sets share stands
+    so early that the smaller ``rest`` is no less than their overlap; the next may stand one place later, and so
+    on.  Only tokens that early are counted, with ``LATE`` places to spare, so the first ``LATE + 1`` shared tokens of
+    a similar pair count.  Tokens of a common passage that ends many sets stand too late.
     """
     members = grouped.groupBy("component").agg(F.count("*").alias("members")).withColumnRenamed("component", "group")
-    placed = lists.select("token", "key", "n").join(grouped.withColumnRenamed("node", "key"), "key", "left")
-    placed = placed.select("token", "key", "n", F.coalesce("component", "key").alias("group"))
+    placed = lists.select("token", "key", "n", "rest").join(grouped.withColumnRenamed("node", "key"), "key", "left")
+    placed = placed.select("token", "key", "n", "rest", F.coalesce("component", "key").alias("group"))
     mixed = placed.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("token")
     matrix = placed.join(mixed, "token").join(members, "group", "left").withColumn("members", F.coalesce("members", F.lit(1)))
     matrix = materialize(matrix, "matrix")
     cells = matrix.groupBy("token", "group").agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.first("members").alias("members"), F.min("key").alias("only")
-    )
-    query = matrix.select("token", F.col("key").alias("a"), "n", F.struct("members", "group").alias("own"))
+        F.min("n").alias("low"), F.max("n").alias("high"), F.first("members").alias("members"), F.min("key").alias("only"),
+        F.max("rest").alias("reach"),
+    )
+    query = matrix.select("token", F.col("key").alias("a"), "n", "rest", F.struct("members", "group").alias("own"))
     smaller = F.col("own") < F.struct("members", "group")
     can = (DENOMINATOR * F.col("n") >= NUMERATOR * F.col("low")) & (DENOMINATOR * F.col("high") >= NUMERATOR * F.col("n"))
-    met = query.join(cells, "token").where(smaller & can)
+    # the overlap of similar sets is least with the smallest partner that the group can have
+    partner = F.greatest("low", F.ceil(NUMERATOR * F.col("n") / F.lit(DENOMINATOR)))
+    met = query.join(cells, "token").where(smaller & can & _early(F.least("rest", "reach"), F.col("n") + partner))
     asked = met.groupBy("a", "group").agg(
         F.count("*").alias("shared"), F.first("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"),
         F.first("members").alias("members"), F.min("only").alias("only"),
@@ -240,8 +263,10 @@ def _ask(lists: DataFrame, grouped: DataFrame) -> DataFrame:
     # the bound falls towards both ends of the sizes that a partner can have
     low = F.greatest("low", F.floor(NUMERATOR * F.col("n") / F.lit(DENOMINATOR)))
     high = F.least("high", F.ceil(DENOMINATOR * F.col("n") / F.lit(NUMERATOR)))
-    bound = F.least(_least_shared(F.col("n"), low), _least_shared(F.col("n"), high))
-    return materialize(asked.where(F.col("shared") >= bound).select("a", "group", "members", "only"), "asked")
+    bound = F.least(_least_shared(F.col("n"), low), _least_shared(F.col("n"), high), F.lit(LATE + 1))
+    asked = materialize(asked.where(F.col("shared") >= bound).select("a", "group", "members", "only"), "asked")
+    discard(matrix)
+    return asked
 
 
 def _probes(asked: DataFrame, grouped: DataFrame, done: DataFrame) -> DataFrame:
@@ -305,7 +330,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     rows = rows.select("id", F.xxhash64("id", "text").alias("rk"), "text")
     facts = materialize(rows.mapInArrow(_facts, "kind int, id bigint, rk bigint, key bigint, n bigint"), "facts")
-    listed = rows.select("text").mapInArrow(_list_tokens(_heavy(facts)), "token bigint, key bigint, n int")
+    listed = rows.select("text").mapInArrow(_list_tokens(_heavy(facts)), "token bigint, key bigint, n int, rest int")
 
     # lists of two classes or more, with the list's first class and the one before each
     order = Window.partitionBy("token").orderBy("n", "key")
@@ -341,31 +366,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # the token-group matrix over the lists that hold more than one group
     grouped = components(found)
-    probed = _probes(_ask(lists, grouped), grouped, pairs)
-    found = materialize(found.unionByName(_verify(probed, texts)), "links")
-    grouped = components(found)
+    asked = _ask(lists, grouped)
+    probed = _probes(asked, grouped, pairs)
+    discard(asked)
+    more = materialize(_verify(probed, texts), "links")
+    before, grouped = grouped, components(found.unionByName(more))
+    discard(before)
     rest = _ask(lists, grouped)
+    discard(lists)
     single = _probes(rest.where("members = 1"), grouped, pairs.unionByName(probed))
-    late = _verify(single, texts).unionByName(_open(rest.where("members > 1"), grouped, texts))
-    final = components(found.unionByName(late))
+    discard(pairs, probed)
+    late = materialize(_verify(single, texts).unionByName(_open(rest.where("members > 1"), grouped, texts)), "links")
+    discard(rest, single, texts, grouped)
+    final = components(found.unionByName(more).unionByName(late))
+    discard(found, more, late)
 
     joined = facts.where("kind = 0").join(final.withColumnRenamed("node", "key"), "key", "left")
     joined = joined.select("id", "rk", "n", "key", F.coalesce("component", "key").alias("group"))
     best = joined.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "rk")).alias("best"))
     out = joined.join(best, "group", "left")
     linked = F.col("group").isNotNull()
-    return out.select(
+    out = out.select(
         "id",
         "rk",
         F.col("n").alias("n_shingles"),
         F.when(linked, F.col("best.id")).otherwise(F.col("id")).alias("component_id"),
         F.when(linked, F.col("best.id").eqNullSafe(F.col("id")) & (F.col("best.rk") == F.col("rk"))).otherwise(F.lit(True)).alias("first"),
     )
+    out = materialize(out, "near-duplicates")
+    discard(facts, final)
+    return out
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows, one of each component; all columns stay.  Texts without words all stay, but repeated rows do not."""
-    found = near_duplicates(docs, id_col, text_col).where("first").select(F.col("id").alias("_id"), F.col("rk").alias("_rk")).distinct()
-    keyed = docs.withColumn("_rk", F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col)))
-    kept = keyed.join(found, keyed["_rk"].eqNullSafe(found["_rk"]) & keyed[id_col].cast("bigint").eqNullSafe(found["_id"])).drop("_id", found["_rk"])
-    return kept.withColumn("_n", F.row_number().over(Window.partitionBy("_rk").orderBy(F.lit(1)))).where("_n = 1").drop("_rk", "_n")
+    """The input's rows, one of each component; all columns stay, whatever their names.
+
+    Texts without words all stay, but repeated rows do not.
+    """
+    own = uuid.uuid4().hex
+    key, ident, place = f"key_{own}", f"id_{own}", f"place_{own}"
+    found = near_duplicates(docs, id_col, text_col).where("first").select(F.col("id").alias(ident), F.col("rk").alias(f"{key}_first")).distinct()
+    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col)))
+    same = F.col(key).eqNullSafe(F.col(f"{key}_first")) & F.col(id_col).cast("bigint").eqNullSafe(F.col(ident))
+    kept = keyed.join(found, same).drop(ident, f"{key}_first")
+    return kept.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(1)))).where(F.col(place) == 1).drop(key, place)

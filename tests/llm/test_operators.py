@@ -522,3 +522,62 @@ def test_short_pages_without_marks():
 def test_deeply_nested_pages_take_linear_time():
     page = "<div class=x>" * 20_000 + "<p>" + "A sentence of the page. " * 20 + "</p>" + "</div>" * 20_000
     assert html_text.main_text(page).startswith("A sentence")
+
+
+def test_numbers_are_no_letters():
+    assert not any(map(language_id.has_letter, ["", "²³", "½", "Ⅷ", "①", "12 _ 3", "٣", "!?"]))
+    assert all(map(language_id.has_letter, ["a", "½ x", "ß", "中", "ʰ", "²é"]))
+
+
+def test_a_repeated_text_is_learned_once(spark, monkeypatch):
+    seen = []
+
+    def spy(texts, langs, **_):
+        raise RuntimeError(f"rows {len(texts)} {len(set(texts))} {sorted(set(langs))}")
+
+    monkeypatch.setattr(language_id, "fit", spy)
+    r = random.Random(9)
+    rows = [("the same text again", "en")] * 3000 + [(prose(r, 5), r.choice(["en", "de"])) for _ in range(4000)] + [("einzig", "fr"), (None, "en"), ("x", None)]
+    data = spark.createDataFrame(rows, "text string, lang string").repartition(6)
+    with pytest.raises(Exception, match=r"rows 401 401 \['de', 'en', 'fr'\]"):
+        language_id.train(data, sample_rows=200)
+    assert seen == []
+
+
+def test_late_tokens_of_a_common_passage(spark, monkeypatch):
+    """Texts that end in one passage, some similar by it and some not; every list goes through the matrix."""
+    r = random.Random(12)
+    passage = [f"p{i}" for i in range(80)]
+    texts = []
+    for own in (8, 14, 18, 22, 30, 60):
+        for _ in range(12):
+            texts.append(" ".join([f"u{r.randint(0, 10**9)}" for _ in range(own)] + passage))
+    for _ in range(30):
+        base = r.choice(texts).split()
+        for _ in range(r.randint(0, 6)):
+            base[r.randrange(len(base))] = f"v{r.randint(0, 10**9)}"
+        texts.append(" ".join(base))
+    monkeypatch.setattr(jaccard_join, "HEAVY_LEAST", 2)
+    monkeypatch.setattr(jaccard_join, "FEW_KEYS", r.choice([0, 10**6]))
+    shingles = jaccard_join.Shingles()
+    sets = [set(shingles(t).tolist()) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    got = {x.id: x.component_id for x in jaccard_join.near_duplicates(frame(spark, texts)).collect()}
+    assert got == {i: root(i) for i in range(len(texts))}
+    assert 5 < len(set(got.values())) < len(texts) - 10
+
+
+def test_keep_first_keeps_columns_of_any_name(spark):
+    rows = [(1, "same words in this short text here", 5, 6, 7), (2, "same words in this short text here", 5, 6, 7), (3, None, 5, 6, 7)]
+    data = spark.createDataFrame(rows, "doc_id bigint, text string, _n int, _rk int, first int")
+    assert sorted(tuple(r) for r in jaccard_join.keep_first(data).collect()) == [rows[0], rows[2]]
