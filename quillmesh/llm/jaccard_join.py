@@ -341,27 +341,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.count("*").over(whole).alias("size"),
         F.first("key").over(order).alias("lead"),
         F.first("n").over(order).alias("lead_n"),
+        F.first("rest").over(order).alias("lead_rest"),
         F.lag("key").over(order).alias("prev"),
         F.lag("n").over(order).alias("prev_n"),
+        F.lag("rest").over(order).alias("prev_rest"),
     )
     lists = materialize(ranked.where("size > 1"), "lists")
     near = [
         lists.where(F.col("key") != F.col(k)).select(
-            F.least("key", k).alias("a"), F.greatest("key", k).alias("b"), F.col("n").cast("bigint").alias("n"), F.col(f"{k}_n").cast("bigint").alias("m")
-        )
+            F.least("key", k).alias("a"), F.greatest("key", k).alias("b"), F.col("n").cast("bigint").alias("n"), F.col(f"{k}_n").cast("bigint").alias("m"),
+            F.least("rest", f"{k}_rest").alias("rest"),
+        )
         for k in ("lead", "prev")
     ]
-    met = near[0].unionByName(near[1].where("n is not null")).where(_size_fits("n", "m")).groupBy("a", "b")
+    # tokens that stand too late for a similar pair's first ones are not worth moving; what that misses the matrix finds
+    met = near[0].unionByName(near[1]).where(_size_fits("n", "m") & _early(F.col("rest"), F.col("n") + F.col("m"))).groupBy("a", "b")
     met = met.agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("m").alias("m"))
     # a pair that another list's first class hides is found by the matrix
-    pairs = materialize(met.where(2 * F.col("shared") >= _least_shared(F.col("n"), F.col("m"))).select("a", "b"), "pairs")
+    pairs = materialize(met.where(2 * F.col("shared") >= F.least(_least_shared(F.col("n"), F.col("m")), F.lit(2 * LATE))).select("a", "b"), "pairs")
 
     classes = facts.where("kind = 0 and key is not null")
     wanted = lists.select("key").distinct()
-    chosen = classes.join(wanted, "key").groupBy("key").agg(F.min("rk").alias("rk"))
-    # repeated rows are equal in rk; one text for each class
-    texts = rows.select("rk", "text").join(chosen, "rk").dropDuplicates(["rk", "key"])
+    chosen = materialize(classes.join(wanted, "key").groupBy("key").agg(F.min("rk").alias("rk")), "chosen")
+    # few of them choose the texts in place; repeated rows are equal in rk, and one text stays for each class
+    few = chosen.count() <= FEW_KEYS
+    texts = rows.select("rk", "text").join(F.broadcast(chosen) if few else chosen, "rk").dropDuplicates(["rk", "key"])
     texts = materialize(texts.select("key", "text"), "texts")
+    discard(chosen)
     found = materialize(_verify(pairs, texts), "links")
 
     # the token-group matrix over the lists that hold more than one group
