@@ -85,6 +85,7 @@ NAMES = [
     "md_chunks", "preprocess_notes", "slice_spans", "normalize_metadata", "chunk_payload", "read_note_state", "set_concepts",
     "related_by_concept", "dedup_merge_reasons", "vector_topk", "fused_search", "ann_topk", "combine_results", "hot_set",
     "register_batch", "index_upsert", "micro_batch_sink", "paragraph_debounce", "incremental_index", "concept_upsert",
+    "ivf_recall", "tiled_search", "bucketed_log", "related_top", "scroll_pages", "index_totals",
 ]
 
 
