@@ -264,17 +264,80 @@ def test_decontamination(spark):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
     got = decontamination.find_contamination(frame(spark, texts), bench).collect()
     assert {x.id for x in got if x.contaminated} == dirty
-    # the same answer where the benchmark has to be read in many blocks
-    size, decontamination.BLOCK_CHARS = decontamination.BLOCK_CHARS, 1_000
-    try:
-        again = decontamination.find_contamination(frame(spark, texts), bench).collect()
-        kept = decontamination.drop_contaminated(frame(spark, texts), bench).collect()
-    finally:
-        decontamination.BLOCK_CHARS = size
-    assert sorted(again) == sorted(got)
+    kept = decontamination.drop_contaminated(frame(spark, texts), bench).collect()
     assert {x.doc_id for x in kept} == set(range(202)) - dirty
 
 
+def plain_contamination(texts, items):
+    """Every text against every item at every shift where the words under some mask are equal."""
+    out = {}
+    for i, text in enumerate(texts):
+        a, n, names, spans = decontamination.tokens(text), 0, set(), set()
+        for ident, item in items:
+            b, met = decontamination.tokens(item), set()
+            if len(b) >= 10:
+                masks = [(m, None) for m in decontamination.MASKS]
+            elif len(b) >= 6:
+                masks = [(decontamination.SHORT_MASKS[len(b) >= 8], 2)]
+            else:
+                masks = [(tuple(range(len(b))), 1)]
+            for shift in range(-len(b), len(a)):
+                first, last = max(0, -shift), min(len(b), len(a) - shift)
+                equal = {p: b[p] == a[p + shift] for p in range(first, last)}
+                if any(all(equal.get(p + k) for k in m) for m, top in masks for p in range(len(b) if top is None else top) if b):
+                    row = np.array([equal[p] for p in range(first, last)])
+                    met |= {(first + shift + s, first + shift + e) for s, e in decontamination.overlaps(row, len(b))}
+            if met:
+                n, spans, names = n + 1, spans | met, names | {ident}
+        covered = len({k for s, e in spans for k in range(s, e)})
+        out[i] = (n, covered, ",".join(map(str, sorted(names))), ",".join(f"{s}:{e}" for s, e in sorted(spans)))
+    return out
+
+
+@pytest.mark.parametrize("limits", [{}, {"HOT_ROWS": 2, "BROADCAST_TEXTS": 0, "MAX_FILTER_BITS": 64, "KNOWN_WORDS": 20}])
+def test_contamination_equals_plain_version(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(decontamination, name, value)
+    r = random.Random(12)
+    few = WORDS[:25]
+    items = [" ".join(r.choice(few) for _ in range(n)) for n in (*range(10), *range(10, 60, 7))]
+    items += [items[-1], "again " * 14, "one two " * 12]
+    texts = [" ".join(r.choice(few) for _ in range(r.randint(0, 40))) for _ in range(20)] + ["again " * 50, "one two " * 30, "", None]
+    for item in items:
+        for replaced in range(3):
+            words = item.split()
+            for k in r.sample(range(len(words)), min(len(words), replaced)):
+                words[k] = "other"
+            texts.append(f"{prose(r, 6)} {' '.join(words)} {prose(r, 3)} {item[: len(item) // 2]}")
+    texts += texts[40:44] * 3
+    wanted = plain_contamination(texts, list(enumerate(items)))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = decontamination.find_contamination(frame(spark, texts), bench).collect()
+    assert {x.id: (x.n_items, x.n_words, x.items, x.spans) for x in got} == wanted
+    clean = {i for i, x in wanted.items() if not x[0]}
+    assert 0 < len(clean) < len(texts)
+    docs = frame(spark, texts).withColumn("_digest", F.lit("mine")).withColumn("_row", F.lit(1)).withColumn("_salt", F.lit(2))
+    kept = decontamination.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns
+    assert {x.doc_id for x in kept.collect()} == clean
+
+
+def test_repeated_words_are_linear():
+    a, b = np.arange(300_000), np.arange(5, 200_000)
+    assert decontamination.differences(a, b).tolist() == list(range(-199_999, 300_000 - 5))
+    r = np.random.default_rng(4)
+    a, b = np.unique(r.integers(0, 3_000, 500)), np.unique(r.integers(100, 9_000, 400))
+    assert decontamination.differences(a, b).tolist() == np.unique(np.subtract.outer(a, b)).tolist()
+
+
+def test_benchmark_stays_a_table(spark):
+    """No row of the benchmark is collected, and the filter's size is bounded."""
+    items = decontamination._items(spark.range(400).selectExpr("id AS item_id", "repeat(concat('w', id, ' x', id % 7, ' '), 20) AS text"), "item_id", "text")
+    bits, masks = decontamination._filter(decontamination._seeds(items))
+    assert masks == [0, 1, 2, 3]
+    assert 64 * len(bits) <= decontamination.MAX_FILTER_BITS
+
+
 # packing ---------------------------------------------------------------------------------------------
 
 PATHS = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
