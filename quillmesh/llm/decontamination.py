@@ -44,14 +44,15 @@ WHOLE_MASKS = tuple(tuple(range(n)) for n in range(1, MIN_TOLERANT))
 ALL_MASKS = (*MASKS, *SHORT_MASKS, *WHOLE_MASKS)
 
 #: Bits of the filter for each seed, and at most (32 MB).
-FILTER_BITS = 64
+FILTER_BITS = 256
 MAX_FILTER_BITS = 1 << 28
-PROBES = 3
+PROBES = 4
 #: Rows of one key in a join from which it is salted, and the most keys that are.
 HOT_ROWS = 20_000
 MAX_HOT_KEYS = 4_096
-#: Hashes of words that a task remembers.
+#: Hashes of words that a task remembers, and words that it looks at together.
 KNOWN_WORDS = 1 << 20
+RUN_WORDS = 1 << 17
 
 FOUND = "id bigint, n_items bigint, n_words bigint, items string, spans string, contaminated boolean"
 _WORDS = re.compile(r"\w+")
@@ -214,6 +215,35 @@ def _passing(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return at
 
 
+def _runs(rows: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of about ``RUN_WORDS`` words; a longer text is a run by itself."""
+    low = n = 0
+    for high, row in enumerate(rows):
+        if n and n + len(row) > RUN_WORDS:
+            yield low, high
+            low, n = high, 0
+        n += len(row)
+    if n:
+        yield low, len(rows)
+
+
+def _hits(rows: list[np.ndarray], masks: list[int], bits: np.ndarray) -> dict[int, list[dict]]:
+    """The hashes that the filter knows, and their positions, for each text that has any; the texts are looked at in one row."""
+    words = np.concatenate(rows)
+    ends = np.cumsum([len(r) for r in rows])
+    hits = defaultdict(list)
+    for mask in masks:
+        keys = seed_hashes(words, mask)
+        at = _passing(keys, bits)
+        text = np.searchsorted(ends, at, "right")
+        inside = at + ALL_MASKS[mask][-1] < ends[text]  # the words of a seed are those of one text
+        at, text = at[inside], text[inside]
+        for n in np.unique(text).tolist():
+            mine = at[text == n]
+            hits[n] += [{"key": key, "at": where} for key, where in _by_key(keys[mine], mine - (ends[n] - len(rows[n])))]
+    return hits
+
+
 def _digest(text_col: str):
     return F.md5(F.col(text_col).cast("binary"))
 
@@ -224,15 +254,10 @@ def _candidates(docs: DataFrame, text_col: str, bits: np.ndarray, masks: list[in
 
     def work(digests, texts, hashes):
         out = []
-        for digest, text in zip(digests, texts, strict=True):
-            words = hashes.row(text)
-            hits = []
-            for mask in masks:
-                keys = seed_hashes(words, mask)
-                at = _passing(keys, shared.value)
-                hits += [{"key": key, "at": where} for key, where in _by_key(keys[at], at)]
-            if hits:
-                out.append((digest, _signed(words), hits))
+        rows = [hashes.row(t) for t in texts]
+        for low, high in _runs(rows):
+            found = _hits(rows[low:high], masks, shared.value)
+            out += [(digests[low + n], _signed(rows[low + n]), hits) for n, hits in found.items()]
         return zip(*out, strict=True)
 
     rows = docs.where(F.col(text_col).isNotNull()).select(_digest(text_col), F.col(text_col))

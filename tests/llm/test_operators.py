@@ -294,7 +294,7 @@ def plain_contamination(texts, items):
     return out
 
 
-@pytest.mark.parametrize("limits", [{}, {"HOT_ROWS": 2, "BROADCAST_TEXTS": 0, "MAX_FILTER_BITS": 64, "KNOWN_WORDS": 20}])
+@pytest.mark.parametrize("limits", [{}, {"HOT_ROWS": 2, "BROADCAST_TEXTS": 0, "MAX_FILTER_BITS": 64, "KNOWN_WORDS": 20, "RUN_WORDS": 30}])
 def test_contamination_equals_plain_version(spark, monkeypatch, limits):
     for name, value in limits.items():
         monkeypatch.setattr(decontamination, name, value)
