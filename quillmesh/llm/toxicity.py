@@ -117,15 +117,18 @@ def train(
     """[(coordinate, weight)] with the bias under coordinate -1.
 
     Fits on the documents of at most ``sample_rows`` ids of ``labels``, the first in the order of their
-    hashes, half of each label.  The ids are chosen before any text is read and go to every executor; only the texts
-    chosen move.  Rows with NULL id or label are left out.  Without rows: just a bias of -2.
+    hashes, half of each label, and at most as many rows, whatever ids are repeated.  The ids are chosen before any text is read
+    and go to every executor; only the texts chosen move.  An id with several labels has the greatest.  Rows with NULL id or label are
+    left out.  Without rows: just a bias of -2.
     """
     rows = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
+    rows = rows.groupBy("_id").agg(F.max("_y").alias("_y"))
     half = sample_rows // 2
     one, zero = (rows.where(F.col("_y") == v).orderBy(F.xxhash64("_id"), "_id").limit(half) for v in (1, 0))
     chosen = F.broadcast(one.unionByName(zero))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(chosen, "_id").select("_text", "_y")
+    texts = texts.orderBy(F.xxhash64("_text"), "_text", "_y").limit(sample_rows)
 
     def fit(batches):
         import pyarrow as pa

@@ -242,6 +242,18 @@ def test_field_likelihood_gradient():
     assert [(s, e, k) for s, e, k, _ in field.decode(sentence[0][0])] == [(4, 16, 3)]
 
 
+def test_toxicity_sample_is_bounded_in_rows(spark, monkeypatch):
+    """One id with very many rows, and labels given many times, leave the fitting task its bound."""
+    lines = [(i % 3 if i < 900 else i, f"words number {i}", i % 2) for i in range(1_000)]
+    data = spark.createDataFrame(lines, "doc_id bigint, text string, label int").repartition(4)
+    labels = data.selectExpr("doc_id", "doc_id % 2 AS label").union(data.selectExpr("doc_id", "doc_id % 2 AS label"))
+    seen = []
+    fitted = type(data).mapInArrow
+    monkeypatch.setattr(type(data), "mapInArrow", lambda df, *a, **k: seen.append(df.count()) or fitted(df, *a, **k))
+    toxicity.train(data, labels, sample_rows=60)
+    assert seen == [60]
+
+
 # decontamination -------------------------------------------------------------------------------------
 
 
