@@ -191,6 +191,8 @@ def concept_aliases(applied: DataFrame) -> DataFrame:
 
 #: Notes of one link that meet its targets in one piece, about.
 SALT_ROWS = 10_000
+#: Links of a note, or a target, whose subsets are listed; longer lists meet by link.
+SUBSET_LINKS = 6
 
 
 #: Mentions from which on a link is popular: with a limit, it is opened for a target only if it can change its list.
@@ -205,8 +207,8 @@ def related_by_concept(targets: DataFrame, note_state: DataFrame, limit: int | N
     with ``limit`` only the first so many of each target.
     A bounded set of targets is broadcast and the notes are scanned in place;
     otherwise the two exploded link lists meet by link, the target side salted so
-    that one popular link is spread over many tasks.  With a limit, popular links stay closed for targets
-    whose list they cannot change (see ``_without_popular``).
+    that one popular link is spread over many tasks.  With a limit, only the first holders of the links that a
+    target has are opened (see ``_best_shared``).
     """
     wanted = targets.filter(F.size("me_concepts") > 0).select(
         F.col("note_path").alias("target_path"), F.explode(F.array_distinct("me_concepts")).alias("link")
@@ -215,11 +217,7 @@ def related_by_concept(targets: DataFrame, note_state: DataFrame, limit: int | N
         "note_path", F.posexplode("me_concepts").alias("pos", "link")
     )
     if limit is not None:
-        popular = _popular(note_state, wanted)
-        if popular.isEmpty():
-            counted = _shared(wanted, have)
-        else:
-            counted = _without_popular(wanted, have, note_state, popular, limit)
+        counted = _best_shared(targets, note_state, limit)
         # Spark keeps the best rows of each task before it moves any
         w = W.partitionBy("target_path").orderBy(F.desc("shared_count"), "note_path")
         return counted.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
@@ -236,6 +234,62 @@ def related_by_concept(targets: DataFrame, note_state: DataFrame, limit: int | N
     return numbered.select(*counted.columns, (F.col("rank") + F.col("_before")).alias("rank"))
 
 
+def _listed(notes: DataFrame, path: str) -> DataFrame:
+    """(path, entries, links, parts): all links of a path with their positions, the distinct ones, and in how many rows they came."""
+    rows = notes.filter((F.size("me_concepts") > 0) & F.col("note_path").isNotNull())
+    own = rows.select(F.col("note_path").alias(path), F.posexplode("me_concepts").alias("pos", "link"))
+    merged = own.filter("link is not null").groupBy(path).agg(F.sort_array(F.collect_list(F.struct("pos", "link"))).alias("entries"))
+    parts = rows.groupBy(F.col("note_path").alias(path)).agg(F.count("*").alias("parts"))
+    return merged.join(parts, path).withColumn("links", F.array_sort(F.array_distinct(F.transform("entries", lambda x: x["link"]))))
+
+
+def _subsets(df: DataFrame) -> DataFrame:
+    """One row per non-empty subset of the few ``links``."""
+    masks = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size("links")) - 1)
+    return df.withColumn("_mask", F.explode(masks)).withColumn("subset", F.filter("links", lambda x, i: F.call_function("getbit", F.col("_mask"), i) == 1)).drop("_mask")
+
+
+def _best_shared(targets: DataFrame, note_state: DataFrame, limit: int) -> DataFrame:
+    """Shared links of every pair that can be among a target's first ``limit``, without opening a link's whole list.
+
+    Let S be the links that a note shares with a target.  Notes that come before it among the holders of S, by mentions of S and
+    path, share at least as much with the target, so a note of the target's first ``limit`` is among the first
+    ``limit`` + 1 holders of S (the target may be one).  Holders are listed for every subset of a note's links; notes and targets
+    of more than SUBSET_LINKS links, and targets whose path comes more than once, meet all notes by link.
+    """
+    notes = materialize(_listed(note_state, "note_path"), "listed-notes")
+    wanted = materialize(_listed(targets, "target_path"), "listed-targets")
+    few = F.size("links") <= SUBSET_LINKS
+    simple = few & (F.col("parts") == 1)
+    holders = _subsets(notes.filter(few)).select("subset", "note_path", F.size(F.filter("entries", lambda x: F.array_contains("subset", x["link"]))).alias("n"))
+    first = W.partitionBy("subset").orderBy(F.desc("n"), "note_path")
+    heads = holders.withColumn("_at", F.row_number().over(first)).where(F.col("_at") <= limit + 1).select("subset", "note_path")
+    asking = _subsets(wanted.filter(simple)).select("subset", "target_path")
+    # a subset of very many targets is spread over tasks
+    crowded = asking.groupBy("subset").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts")).where("salts > 1")
+    salts = F.coalesce("salts", F.lit(1))
+    asking = asking.join(crowded, "subset", "left").withColumn("salt", F.pmod(F.xxhash64("target_path"), salts).cast("int")).drop("salts")
+    heads = heads.join(crowded, "subset", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    met = asking.join(heads, ["subset", "salt"]).where(F.col("note_path") != F.col("target_path")).select("target_path", "note_path").distinct()
+    shared = F.transform(F.filter("entries", lambda x: F.array_contains("links", x["link"])), lambda x: x["link"])
+    full = met.join(wanted.select("target_path", "links"), "target_path").join(notes.select("note_path", "entries"), "note_path")
+    counted = full.select("target_path", "note_path", shared.alias("shared")).withColumn("shared_count", F.size("shared"))
+    # the rest meets by link
+    own = targets.filter(F.size("me_concepts") > 0).select(F.col("note_path").alias("target_path"), F.explode(F.array_distinct("me_concepts")).alias("link"))
+    odd, long = wanted.filter(~simple).select("target_path"), notes.filter(~few).select("note_path")
+    if not odd.isEmpty():
+        counted = counted.unionByName(_by_links(own.join(odd, "target_path", "left_semi"), note_state, limit))
+    if not long.isEmpty():
+        counted = counted.unionByName(_by_links(own.join(odd, "target_path", "left_anti"), note_state.join(long, "note_path", "left_semi"), limit))
+    return counted
+
+
+def _by_links(wanted: DataFrame, note_state: DataFrame, limit: int) -> DataFrame:
+    have = note_state.filter(F.size("me_concepts") > 0).select("note_path", F.posexplode("me_concepts").alias("pos", "link"))
+    popular = _popular(note_state, wanted)
+    return _shared(wanted, have) if popular.isEmpty() else _without_popular(wanted, have, note_state, popular, limit)
+
+
 def _pairs(wanted: DataFrame, have: DataFrame) -> DataFrame:
     """Every mention of a wanted link in another note."""
     if wanted.limit(BROADCAST_TARGETS + 1).count() <= BROADCAST_TARGETS:
