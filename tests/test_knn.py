@@ -1,11 +1,15 @@
 """Nearest-neighbour operators against brute force."""
 
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import one
 from pyspark.sql import functions as F
 
 from quillmesh.functions.vectors import cosine_similarity, dimension_of
+from quillmesh.operators import knn, topk_kernel
 from quillmesh.operators.ann import ann_topk, recall_at_k
 from quillmesh.operators.fusion import combine_results, rrf_fusion
 from quillmesh.operators.knn import nearest
@@ -167,3 +171,21 @@ def test_unusable_vectors_and_raw_thresholds(spark, plan):
     near = spark.createDataFrame([("a", [0.8999999997, (1 - 0.8999999997**2) ** 0.5])], "chunk_id string, content_vec array<double>")
     assert nearest(q, near, 1, min_score=0.9, **plan).count() == 0
     assert nearest(q, near, 1, min_score=0.8999999996, **plan).count() == 1
+
+
+def test_items_are_not_copied_for_a_few_queries_each():
+    # a session may claim far more cores than there are queries worth a copy of all items
+    many = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=SimpleNamespace(defaultParallelism=1000)))
+    assert knn.tasks_for(many, 100_000) <= 100_000 // 2048
+    assert knn.tasks_for(many, 100) == 1
+    assert knn.tasks_for(many, 10 * knn.TILE_ROWS[1]) >= 10
+
+
+def test_packed_blocks_hold_every_row_in_order(spark):
+    rows = [(f"k{n:04d}" if n else None, [float(n), 1.0] if n % 5 else None) for n in range(2500)]
+    items = spark.createDataFrame(rows, "chunk_id string, content_vec array<double>").repartition(7)
+    blocks = knn._packed(items, ["chunk_id"]).orderBy("_at").collect()
+    tables = [pa.ipc.open_stream(b["_block"]).read_all() for b in blocks]
+    assert max(t.num_rows for t in tables) <= topk_kernel.ITEM_BLOCK
+    got = pa.concat_tables(tables).to_pylist()
+    assert [(r["chunk_id"], r["content_vec"]) for r in got] == [*rows[1:], rows[0]]
