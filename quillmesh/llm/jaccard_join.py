@@ -6,15 +6,16 @@
    so only these are listed by token.  Frequent tokens - shared passages - come last, so they are
    listed only where little else is left.
 3. Within a token's list every class is paired with the list's first class and with the one before it;
-   pairs met often enough are compared.  That is linear in the list, and gathers similar documents in
-   groups: the components so far.
+   of the pairs met often enough, those of a class and the ``PARTNERS`` before it that it meets most are compared.  That is
+   linear in the classes, and gathers similar documents in groups: the components so far.
 4. Lists whose classes are all in one group are done: nothing can come of them.  For the others the
    token-group matrix holds the union of listed tokens of every group.  The tokens that a class shares with a
    group bound its overlap with any member; only groups that can reach the similarity are opened: first
    for ``PROBES`` members each, which merges what belongs together, then for all members of those left,
-   in blocks that the union of their own tokens opens or keeps shut.
+   in blocks that the union of their own tokens opens or keeps shut.  One link to a member is enough there, because
+   a group is one component already.
 
-No link between different sets is lost, a group of near copies costs rows in proportion to its members, and nothing but
+No link that could join two groups is lost, a group of near copies costs rows in proportion to its members, and nothing but
 the ``HEAVY_TOKENS`` most frequent tokens goes through the driver.  Comparisons read the
 two texts, which is less to move than two sets of hashes.  Classes and shingles are known by
 64-bit hashes; two of a billion classes share one with a chance of 3 percent.
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm.common import map_slices
 from quillmesh.llm.components import components
-from quillmesh.session import discard, materialize
+from quillmesh.session import discard, discard_unheld, materialize
 
 SHINGLE = 5
 #: The similarity of a link, as a fraction.
@@ -45,6 +46,8 @@ HEAVY_LEAST = 16
 COUNT_TOKENS = 4_000_000
 #: Shared tokens that the matrix may miss before it counts one whose place in either set comes too late.
 LATE = 2
+#: Earlier classes that a class is compared with before there are groups; the matrix finds what the others could add.
+PARTNERS = 8
 #: Members of a group that a class is compared with before the group is opened as a whole.
 PROBES = 8
 #: Texts of a block of a group, about.
@@ -282,7 +285,9 @@ def _probes(asked: DataFrame, grouped: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def _open(asked: DataFrame, grouped: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) of the classes asked and any member of their groups.
+    """Links (a, b) of the classes asked and members of their groups, at most one of a class and a block of members.
+
+    A group is one component, so further links to it would join nothing; a class with any link to it has one here.
 
     Both sides are cut into blocks of about ``BLOCK`` texts, and a row is a block of classes that ask beside a block of
     members.  The union of a block's tokens bounds what a class can share with its members; only
@@ -307,9 +312,10 @@ def _open(asked: DataFrame, grouped: DataFrame, texts: DataFrame) -> DataFrame:
                 at = np.minimum(np.searchsorted(union, mine), len(union) - 1)
                 if DENOMINATOR * np.count_nonzero(union[at] == mine) < NUMERATOR * len(mine):
                     continue
-                found = [o for o, s in zip(others, sets, strict=True) if similar(mine, s)]
-                left += [key] * len(found)
-                right += found
+                found = next((o for o, s in zip(others, sets, strict=True) if similar(mine, s)), None)
+                if found is not None:
+                    left.append(key)
+                    right.append(found)
         return left, right
 
     both = blocks(wide, "a", ("a", "x")).join(blocks(members, "b", ("b", "y")), "group").select("a", "x", "b", "y")
@@ -349,16 +355,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = materialize(ranked.where("size > 1"), "lists")
     near = [
         lists.where(F.col("key") != F.col(k)).select(
-            F.least("key", k).alias("a"), F.greatest("key", k).alias("b"), F.col("n").cast("bigint").alias("n"), F.col(f"{k}_n").cast("bigint").alias("m"),
-            F.least("rest", f"{k}_rest").alias("rest"),
-        )
+            "key", F.col(k).alias("other"), F.col("n").cast("bigint").alias("n"), F.col(f"{k}_n").cast("bigint").alias("m"), F.least("rest", f"{k}_rest").alias("rest")
+        )
         for k in ("lead", "prev")
     ]
     # tokens that stand too late for a similar pair's first ones are not worth moving; what that misses the matrix finds
-    met = near[0].unionByName(near[1]).where(_size_fits("n", "m") & _early(F.col("rest"), F.col("n") + F.col("m"))).groupBy("a", "b")
+    met = near[0].unionByName(near[1]).where(_size_fits("n", "m") & _early(F.col("rest"), F.col("n") + F.col("m"))).repartition("key").groupBy("key", "other")
     met = met.agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("m").alias("m"))
-    # a pair that another list's first class hides is found by the matrix
-    pairs = materialize(met.where(2 * F.col("shared") >= F.least(_least_shared(F.col("n"), F.col("m")), F.lit(2 * LATE))).select("a", "b"), "pairs")
+    # a pair that another list's first class hides, or that a class's better partners do, is found by the matrix
+    often = met.where(2 * F.col("shared") >= F.least(_least_shared(F.col("n"), F.col("m")), F.lit(2 * LATE)))
+    best = Window.partitionBy("key").orderBy(F.desc("shared"), "other")
+    often = often.withColumn("place", F.row_number().over(best)).where(F.col("place") <= PARTNERS)
+    pairs = materialize(often.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")), "pairs")
 
     classes = facts.where("kind = 0 and key is not null")
     wanted = lists.select("key").distinct()
@@ -367,6 +375,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     few = chosen.count() <= FEW_KEYS
     texts = rows.select("rk", "text").join(F.broadcast(chosen) if few else chosen, "rk").dropDuplicates(["rk", "key"])
     texts = materialize(texts.select("key", "text"), "texts")
+    discard_unheld(texts)
     discard(chosen)
     found = materialize(_verify(pairs, texts), "links")
 
@@ -383,7 +392,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     single = _probes(rest.where("members = 1"), grouped, pairs.unionByName(probed))
     discard(pairs, probed)
     late = materialize(_verify(single, texts).unionByName(_open(rest.where("members > 1"), grouped, texts)), "links")
-    discard(rest, single, texts, grouped)
+    discard(rest, single, grouped)
+    del texts
     final = components(found.unionByName(more).unionByName(late))
     discard(found, more, late)
 

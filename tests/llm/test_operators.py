@@ -534,6 +534,20 @@ def test_repeated_rows_have_one_text(spark, monkeypatch):
     assert sorted(set(keys)) == sorted(keys) and len(keys) == len(near)
 
 
+def test_near_copies_are_compared_with_a_few_partners_each(spark, monkeypatch):
+    r = random.Random(16)
+    words = prose(r, 120).split()
+    near = [" ".join(words[:j] + [r.choice(WORDS), "x"] + words[j + 2 : k] + [f"z{j}"] + words[k + 1 :]) for j in range(0, 50, 7) for k in range(60, 120, 4)]
+    compared = []
+    verify = jaccard_join._verify
+    monkeypatch.setattr(jaccard_join, "_verify", lambda pairs, texts: compared.append(pairs.count()) or verify(pairs, texts))
+    monkeypatch.setattr(jaccard_join, "PARTNERS", 2)
+    got = jaccard_join.near_duplicates(frame(spark, near)).collect()
+    sets = {i: shingles(t) for i, t in enumerate(near)}
+    assert {x.id: x.component_id for x in got} == plain_components(sets)
+    assert 0 < compared[0] <= 2 * len(near)
+
+
 def test_components(spark):
     r = random.Random(14)
     edges = [(i, i + 1) for i in range(100, 160)] + [(r.randrange(300, 400), r.randrange(300, 400)) for _ in range(60)] + [(7, 7), (5, 900), (900, 5), (5, 6)]
