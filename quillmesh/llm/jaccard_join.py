@@ -11,7 +11,8 @@
 4. Lists whose classes are all in one group are done: nothing can come of them.  For the others the
    token-group matrix holds the union of listed tokens of every group.  The tokens that a class shares with a
    group bound its overlap with any member; only groups that can reach the similarity are opened: first
-   for ``PROBES`` members each, which merges what belongs together, then for all members of those left,
+   for ``PROBES`` members each of the ``PARTNERS`` groups that a class shares most with, which merges what belongs together,
+   then for all members of all groups left,
    in blocks that the union of their own tokens opens or keeps shut.  One link to a member is enough there, because
    a group is one component already.
 
@@ -46,7 +47,8 @@ HEAVY_LEAST = 16
 COUNT_TOKENS = 4_000_000
 #: Shared tokens that the matrix may miss before it counts one whose place in either set comes too late.
 LATE = 2
-#: Earlier classes that a class is compared with before there are groups; the matrix finds what the others could add.
+#: Earlier classes that a class is compared with before there are groups, and groups that it is compared with before all are;
+#: what the others could add is found after that.
 PARTNERS = 8
 #: Members of a group that a class is compared with before the group is opened as a whole.
 PROBES = 8
@@ -216,6 +218,27 @@ def _early(rest, sizes):
     return (NUMERATOR + DENOMINATOR) * (rest + LATE) >= NUMERATOR * sizes
 
 
+def _texts(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(key, text) of each class once, by the chosen rows (key, rk, copies).
+
+    Few of them choose the texts in place.  Repeated rows are equal in rk; only their texts move, so that one stays.
+    """
+    if chosen.count() > FEW_KEYS:
+        # the join brings equal rows together
+        return rows.join(chosen, "rk").dropDuplicates(["rk", "key"]).select("key", "text")
+    texts = rows.join(F.broadcast(chosen.where("copies = 1")), "rk").select("key", "text")
+    repeated = chosen.where("copies > 1")
+    if repeated.isEmpty():
+        return texts
+    return texts.unionByName(rows.join(F.broadcast(repeated), "rk").dropDuplicates(["rk", "key"]).select("key", "text"))
+
+
+def _named(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """The texts of the classes named; if these are many, all texts."""
+    named = keys.distinct()
+    return texts.join(F.broadcast(named), "key", "left_semi") if named.limit(FEW_KEYS + 1).count() <= FEW_KEYS else texts
+
+
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar."""
 
@@ -223,10 +246,7 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         keep = [similar(shingles.of(i, s), shingles.of(j, t)) for i, j, s, t in zip(a, b, x, y, strict=True)]
         return [v for v, k in zip(a, keep, strict=True) if k], [v for v, k in zip(b, keep, strict=True) if k]
 
-    # few pairs: only the texts that they name move
-    named = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    if named.limit(FEW_KEYS + 1).count() <= FEW_KEYS:
-        texts = texts.join(F.broadcast(named), "key", "left_semi")
+    texts = _named(texts, pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))))
     left = texts.select(F.col("key").alias("a"), F.col("text").alias("x"))
     right = texts.select(F.col("key").alias("b"), F.col("text").alias("y"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
@@ -234,7 +254,7 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _ask(lists: DataFrame, grouped: DataFrame) -> DataFrame:
-    """(a, group, members, only): the classes and the other groups that can hold a similar set.
+    """(a, group, members, only, shared): the classes and the other groups that can hold a similar set, and the tokens that tell so.
 
     Of two groups the classes of the smaller one ask, which covers every pair between them.
 
@@ -267,13 +287,16 @@ def _ask(lists: DataFrame, grouped: DataFrame) -> DataFrame:
     low = F.greatest("low", F.floor(NUMERATOR * F.col("n") / F.lit(DENOMINATOR)))
     high = F.least("high", F.ceil(DENOMINATOR * F.col("n") / F.lit(NUMERATOR)))
     bound = F.least(_least_shared(F.col("n"), low), _least_shared(F.col("n"), high), F.lit(LATE + 1))
-    asked = materialize(asked.where(F.col("shared") >= bound).select("a", "group", "members", "only"), "asked")
+    asked = materialize(asked.where(F.col("shared") >= bound).select("a", "group", "members", "only", "shared"), "asked")
     discard(matrix)
     return asked
 
 
-def _probes(asked: DataFrame, grouped: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the classes asked and about ``PROBES`` members of their groups, without those done."""
+def _probes(asked: DataFrame, grouped: DataFrame, done: DataFrame, most: int | None = None) -> DataFrame:
+    """Pairs (a, b) of the classes asked and about ``PROBES`` members of their groups, or of the ``most`` groups that each shares most with, without those done."""
+    if most is not None:
+        best = Window.partitionBy("a").orderBy(F.desc("shared"), "group")
+        asked = asked.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most)
     single = asked.where("members = 1").select("a", F.col("only").alias("b"))
     member = grouped.select(F.col("node").alias("b"), F.col("component").alias("group"))
     sizes = asked.where("members > 1").select("group", "members").distinct()
@@ -285,7 +308,7 @@ def _probes(asked: DataFrame, grouped: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def _open(asked: DataFrame, grouped: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) of the classes asked and members of their groups, at most one of a class and a block of members.
+    """Links (a, b) of the classes asked and members of their groups, at most one of a class and a group.
 
     A group is one component, so further links to it would join nothing; a class with any link to it has one here.
 
@@ -295,6 +318,7 @@ def _open(asked: DataFrame, grouped: DataFrame, texts: DataFrame) -> DataFrame:
     """
     wide = asked.select("a", "group")
     members = grouped.select(F.col("node").alias("b"), F.col("component").alias("group")).join(wide.select("group").distinct(), "group")
+    texts = _named(texts, wide.select(F.col("a").alias("key")).unionByName(members.select(F.col("b").alias("key"))))
 
     def blocks(rows: DataFrame, key: str, names: tuple[str, str]) -> DataFrame:
         sizes = rows.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("_blocks"))
@@ -302,9 +326,9 @@ def _open(asked: DataFrame, grouped: DataFrame, texts: DataFrame) -> DataFrame:
         full = placed.join(texts.withColumnRenamed("key", key), key).groupBy("group", "_block")
         return full.agg(F.collect_list(key).alias(names[0]), F.collect_list("text").alias(names[1])).drop("_block")
 
-    def work(a, x, b, y, shingles):
-        left, right = [], []
-        for keys, texts_, others, theirs in zip(a, x, b, y, strict=True):
+    def work(group, a, x, b, y, shingles):
+        left, right, into = [], [], []
+        for own, keys, texts_, others, theirs in zip(group, a, x, b, y, strict=True):
             sets = [shingles.of(k, t) for k, t in zip(others, theirs, strict=True)]
             union = np.unique(np.concatenate(sets))
             for key, text in zip(keys, texts_, strict=True):
@@ -316,10 +340,11 @@ def _open(asked: DataFrame, grouped: DataFrame, texts: DataFrame) -> DataFrame:
                 if found is not None:
                     left.append(key)
                     right.append(found)
-        return left, right
+                    into.append(own)
+        return left, right, into
 
-    both = blocks(wide, "a", ("a", "x")).join(blocks(members, "b", ("b", "y")), "group").select("a", "x", "b", "y")
-    found = map_slices(both, work, "a bigint, b bigint", Shingles, rows=4)
+    both = blocks(wide, "a", ("a", "x")).join(blocks(members, "b", ("b", "y")), "group").select("group", "a", "x", "b", "y")
+    found = map_slices(both, work, "a bigint, b bigint, group bigint", Shingles, rows=4).groupBy("a", "group").agg(F.min("b").alias("b"))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
@@ -370,11 +395,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     classes = facts.where("kind = 0 and key is not null")
     wanted = lists.select("key").distinct()
-    chosen = materialize(classes.join(wanted, "key").groupBy("key").agg(F.min("rk").alias("rk")), "chosen")
-    # few of them choose the texts in place; repeated rows are equal in rk, and one text stays for each class
-    few = chosen.count() <= FEW_KEYS
-    texts = rows.select("rk", "text").join(F.broadcast(chosen) if few else chosen, "rk").dropDuplicates(["rk", "key"])
-    texts = materialize(texts.select("key", "text"), "texts")
+    copies = classes.groupBy("rk").agg(F.count("*").alias("copies")).where("copies > 1")
+    chosen = classes.join(wanted, "key").groupBy("key").agg(F.min("rk").alias("rk"))
+    chosen = materialize(chosen.join(copies, "rk", "left").withColumn("copies", F.coalesce("copies", F.lit(1))), "chosen")
+    texts = materialize(_texts(rows.select("rk", "text"), chosen), "texts")
     discard_unheld(texts)
     discard(chosen)
     found = materialize(_verify(pairs, texts), "links")
@@ -382,7 +406,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the token-group matrix over the lists that hold more than one group
     grouped = components(found)
     asked = _ask(lists, grouped)
-    probed = _probes(asked, grouped, pairs)
+    probed = _probes(asked, grouped, pairs, PARTNERS)
     discard(asked)
     more = materialize(_verify(probed, texts), "links")
     before, grouped = grouped, components(found.unionByName(more))

@@ -548,6 +548,36 @@ def test_near_copies_are_compared_with_a_few_partners_each(spark, monkeypatch):
     assert 0 < compared[0] <= 2 * len(near)
 
 
+def test_only_named_and_repeated_texts_move(spark, monkeypatch):
+    r = random.Random(17)
+    texts = [prose(r, 30) for _ in range(60)] + [f"{prose(r, 4)} {prose(random.Random(18), 60)}" for _ in range(20)]
+    plans = {}
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    stored = jaccard_join.materialize
+    monkeypatch.setattr(jaccard_join, "materialize", lambda df, name: plans.setdefault(name, plan(df)) and stored(df, name))
+    jaccard_join.near_duplicates(frame(spark, texts))
+    assert "hashpartitioning(rk" not in plans["texts"] and "Broadcast" in plans["texts"]
+    # a class beside a group of three blocks: one link, and only the texts of either move
+    words = prose(r, 100).split()
+    near = [" ".join([*words[:k], "x", *words[k + 1 :]]) for k in range(3 * jaccard_join.BLOCK)]
+    keyed = spark.createDataFrame([(k, t) for k, t in enumerate([*near, " ".join(words), *texts])], "key bigint, text string")
+    grouped = spark.createDataFrame([(k, 0) for k in range(len(near))] + [(10**6, 10**6)], "node bigint, component bigint")
+    asked = spark.createDataFrame([(len(near), 0)], "a bigint, group bigint")
+    found = jaccard_join._open(asked, grouped, keyed)
+    assert "LeftSemi" in plan(found)
+    (link,) = found.collect()
+    assert link.a < len(near) == link.b
+
+
+def test_first_probes_are_a_few_of_each_class(spark):
+    asked = spark.createDataFrame([(1, g, 1, g, 3 + g % 7) for g in range(20, 60)] + [(2, 30, 1, 30, 3)], "a bigint, group bigint, members bigint, only bigint, shared bigint")
+    none = spark.createDataFrame([], "a bigint, b bigint")
+    grouped = spark.createDataFrame([], "node bigint, component bigint")
+    pairs = lambda **most: {(x.a, x.b) for x in jaccard_join._probes(asked, grouped, none, **most).collect()}
+    assert pairs(most=2) == {(1, 20), (1, 27), (2, 30)}
+    assert len(pairs()) == 41
+
+
 def test_components(spark):
     r = random.Random(14)
     edges = [(i, i + 1) for i in range(100, 160)] + [(r.randrange(300, 400), r.randrange(300, 400)) for _ in range(60)] + [(7, 7), (5, 900), (900, 5), (5, 6)]
