@@ -5,12 +5,15 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmesh.functions.links import DEFAULT_PREFIX, wrap
 from quillmesh.functions.text import let
+from quillmesh.functions.vectors import cosine_similarity
 from quillmesh.operators.fusion import rrf_fusion
 from quillmesh.operators.knn import nearest
+from quillmesh.operators.topk_kernel import SCORE_DECIMALS
 from quillmesh.operators.tiles import Lists, earliest_near, earliest_near_few, fit_lists, into_lists
 from quillmesh.session import discard, materialize
 
@@ -87,10 +90,60 @@ def register_or_match(
 ) -> DataFrame:
     """Match every incoming concept against the registry snapshot.
 
-    One pass over the registry answers both matches: the strict score is the
-    nearest name's cosine, the loose one the agreement of both neighbours.
+    The strict score is the nearest name's cosine, the loose one the agreement of the name and reason neighbours.
+    Where a threshold asks that one concept be nearest on both vectors, as the default does, the nearest name is looked for first, and
+    reasons only of what it leaves unmatched: whether any concept has a better reason than that one.  A lower
+    threshold takes two neighbours per vector, in one pass over the registry.
     Returns (ord, matched, concept, summary, similarity, is_new, link, match_kind).
     """
+    if loose is None or 1 / (CONCEPT_RRF_K + 1) + 1 / (CONCEPT_RRF_K + 2) < loose:
+        base = _nearest_on_both(incoming, registry, strict, loose, min_cosine, knn_options)
+    else:
+        base = _two_of_each(incoming, registry, strict, loose, min_cosine, knn_options)
+    return _outcome(incoming.select("ord", "name", "reason").join(base, "ord", "left"), registry, prefix)
+
+
+def _nearest_on_both(
+    incoming: DataFrame, registry: DataFrame, strict: float, loose: float | None, min_cosine: float | None, knn_options: dict
+) -> DataFrame:
+    """(ord, strict_concept, strict_score, loose_concept, loose_score): what is nearest by name, and by reason as well."""
+    by_name = nearest(incoming, registry, 1, vectors=CONCEPT_VECTORS[:1], query_key="ord", item_key="concept", **knn_options)
+    best = F.min(F.struct((-F.col("score")).alias("s"), "concept"))
+    named = materialize(by_name.groupBy("ord").agg(best.alias("b")).select("ord", "b.concept", (-F.col("b.s")).alias("score")), "named")
+    is_strict = F.col("score") >= strict
+    agreed = 2 / (CONCEPT_RRF_K + 1)
+    if loose is None or agreed < loose:
+        both = named.select("ord", F.lit(None).cast("string").alias("agreed"))
+    else:
+        likely = named.filter(~is_strict) if min_cosine is None else named.filter(~is_strict & (F.col("score") >= min_cosine))
+        known = cosine_similarity(F.col("reason_vec"), F.col("concept_summary_vec"))
+        # a concept of the same reason score has the place of its name
+        asked = (
+            incoming.select("ord", "reason_vec")
+            .join(likely.select("ord", "concept"), "ord")
+            .join(registry.select("concept", "concept_summary_vec"), "concept", "left")
+            .withColumn("known", F.round(F.nanvl(known, F.lit(None).cast("double")), SCORE_DECIMALS))
+            .withColumn("known", F.max("known").over(W.partitionBy("ord")))
+            .select("ord", "reason_vec", "known")
+        )
+        by_reason = nearest(
+            asked, registry, 1, vectors=CONCEPT_VECTORS[1:], query_key="ord", item_key="concept",
+            min_score=min_cosine, query_floor="known", settle=True, **knn_options,
+        )
+        both = likely.select("ord", "concept").join(by_reason.select("ord", "concept"), ["ord", "concept"]).select("ord", F.col("concept").alias("agreed")).distinct()
+    return named.join(both, "ord", "left").select(
+        "ord",
+        F.when(is_strict, F.col("concept")).alias("strict_concept"),
+        F.when(is_strict, F.col("score")).alias("strict_score"),
+        F.col("agreed").alias("loose_concept"),
+        F.when(F.col("agreed").isNotNull(), F.lit(agreed)).alias("loose_score"),
+    )
+
+
+def _two_of_each(
+    incoming: DataFrame, registry: DataFrame, strict: float, loose: float, min_cosine: float | None, knn_options: dict
+) -> DataFrame:
+    """The same for any threshold, from two neighbours per vector."""
     ranked = nearest(
         incoming, registry, 2, vectors=CONCEPT_VECTORS, query_key="ord", item_key="concept", **knn_options
     )
@@ -98,19 +151,13 @@ def register_or_match(
     found = ranked.groupBy("ord").agg(F.collect_list(F.struct("vec_name", "rank", "concept", "score")).alias("near"))
     by_name = F.filter("near", lambda x: (x["vec_name"] == "concept_vec") & (x["rank"] == 1) & (x["score"] >= strict))
     eligible = F.col("near") if min_cosine is None else F.filter("near", lambda x: x["score"] >= min_cosine)
-    no_loose = F.lit(None).cast("struct<concept:string,score:double>")
-    base = found.select(
-        "ord",
-        F.get(by_name, F.lit(0)).alias("s"),
-        (no_loose if loose is None else _agreed(eligible, loose)).alias("l"),
-    ).select(
+    return found.select("ord", F.get(by_name, F.lit(0)).alias("s"), _agreed(eligible, loose).alias("l")).select(
         "ord",
         F.col("s.concept").alias("strict_concept"),
         F.col("s.score").alias("strict_score"),
         F.col("l.concept").alias("loose_concept"),
         F.col("l.score").alias("loose_score"),
     )
-    return _outcome(incoming.select("ord", "name", "reason").join(base, "ord", "left"), registry, prefix)
 
 
 def _agreed(near: Column, threshold: float) -> Column:
